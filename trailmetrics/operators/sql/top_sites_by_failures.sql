@@ -1,0 +1,8 @@
+-- Ties at rank k are settled by site name, so the list is repeatable.
+SELECT site, count(*) AS failures
+FROM {facts}
+WHERE timestamp BETWEEN CAST(:report_ts AS TIMESTAMP) - make_interval(0, 0, 0, 7)
+                    AND CAST(:report_ts AS TIMESTAMP)
+GROUP BY site
+ORDER BY failures DESC, site ASC NULLS LAST
+LIMIT :k
