@@ -71,7 +71,7 @@ def date_spine(facts: DataFrame, binding: Binding) -> DataFrame:
 
 
 def fused_rollup(facts: DataFrame, binding: Binding) -> DataFrame:
-    return rollup.rollup(facts, binding.report_ts)
+    return rollup.by_each_key(materialise(rollup.rollup(facts, binding.report_ts), "rollup"))
 
 
 ON_A_BINDING: dict[str, Callable[[DataFrame, Binding], DataFrame]] = {

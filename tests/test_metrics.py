@@ -105,8 +105,14 @@ def test_windows_across_a_clock_change(make_facts, metrics):
 
 def test_rollup_tells_totals_from_null_keys(make_facts):
     rolled = rollup.rollup(make_facts([(None, at(R), None)]), R)
-    grains = {r.grain: (r.site, r.failure_type, r.n_30d) for r in rolled.collect()}
-    assert grains == {g: (None, None, 1) for g in (rollup.BY_SITE, rollup.BY_FAILURE_TYPE, rollup.BY_DATE, rollup.TOTAL)}
+    found = {r.grain: (r.site, r.failure_type, r.date, r.n_30d) for r in rolled.collect()}
+    day = date(2026, 3, 7)
+    assert found == {rollup.BY_SITE: (None, None, None, 1), rollup.BY_TYPE_AND_DATE: (None, None, day, 1)}
+    found = {r.grain: (r.site, r.failure_type, r.date, r.n_30d) for r in rollup.by_each_key(rolled).collect()}
+    assert found == {
+        rollup.BY_SITE: (None, None, None, 1), rollup.BY_TYPE: (None, None, None, 1),
+        rollup.BY_DATE: (None, None, day, 1), rollup.TOTAL: (None, None, None, 1),
+    }
 
 
 def test_catalog_names_what_is_missing(tmp_path):

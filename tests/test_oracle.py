@@ -49,7 +49,7 @@ def test_entry(spark):
 def test_known_counts(spark, scale, table, n_24h, n_7d, n_30d, trend, quiet):
     binding = BINDINGS[table]
     rolled = rollup.rollup(binding.facts(spark, f"/root/testdata/sf{scale}"), binding.report_ts).persist()
-    (total,) = rolled.where(f"grain = {rollup.TOTAL}").collect()
+    (total,) = rollup.by_each_key(rolled).where(f"grain = {rollup.TOTAL}").collect()
     assert (total.n_24h, total.n_7d, total.n_30d) == (n_24h, n_7d, n_30d)
     series = rows(rollup.metrics_of(rolled, binding.report_ts)["trend_30d"])
     assert sum(n for _, n in series) == trend

@@ -1,18 +1,18 @@
-"""Contracts: each rule counts its violations, all rules of a dataset in one pass."""
+"""Contracts: rules as SQL conditions, all rules of a dataset counted in one pass."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmetrics import fixed_values as fixed
 from trailmetrics.operators.documents import DOCUMENT_SCHEMAS, ITEMS, PAGE
 
-Rules = Mapping[str, Column]
+Rules = Mapping[str, str]
 
 
 class ContractViolation(ValueError):
@@ -22,123 +22,90 @@ class ContractViolation(ValueError):
 def violations(rows: DataFrame, rules: Rules, empty: str | None = None) -> DataFrame:
     """``(rule, violations)``, one row per rule.
 
-    A rule is a boolean (true breaks it; NULL does not) or a number of breaches in the row;
-    ``empty`` names a rule that only a dataset without rows breaks. Works on datasets of any
-    size: one scan, one partial row per task.
+    A rule is a condition that is true for a row that breaks it (NULL does not), or the number
+    of breaches in the row; ``empty`` names a rule that only a dataset without rows breaks.
+    Works on datasets of any size: one scan, one partial row per task.
     """
-    types = rows.select(*[rule.alias(name) for name, rule in rules.items()]).schema
     counts = {
-        name: F.count_if(rule) if isinstance(types[name].dataType, T.BooleanType) else F.sum(rule)
-        for name, rule in rules.items()
+        name: f"coalesce(sum(CAST(({rule}) AS BIGINT)), 0L)" for name, rule in rules.items()
     }
     if empty:
-        counts[empty] = (F.count("*") == 0).cast("bigint")
-    totals = rows.agg(
-        *[F.coalesce(n, F.lit(0)).cast("bigint").alias(name) for name, n in counts.items()]
+        counts[empty] = "CAST(count(*) = 0 AS BIGINT)"
+    pairs = (
+        f"named_struct('rule', '{name}', 'violations', {count})" for name, count in counts.items()
     )
-    pairs = [
-        F.struct(F.lit(name).alias("rule"), F.col(f"`{name}`").alias("violations"))
-        for name in counts
-    ]
-    return totals.select(F.inline(F.array(*pairs)))
+    found = rows.agg(F.expr(f"array({', '.join(pairs)})").alias("rules"))
+    return found.select(F.inline("rules"))
 
 
-def _not_count(value: Column) -> Column:
-    return value.isNull() | (value < 0)
+def _not_count(value: str) -> str:
+    return f"{value} IS NULL OR {value} < 0"
 
 
-def _how_many(array: str, bad: Callable[..., Column]) -> Column:
-    return F.coalesce(F.array_size(F.filter(array, bad)), F.lit(0))
+def _how_many(array: str, bad: str) -> str:
+    """Number of items ``x`` of an array for which ``bad`` holds; none if the array is NULL."""
+    return f"coalesce(array_size(filter({array}, x -> {bad})), 0)"
 
 
 def _missing(*names: str) -> Rules:
-    return {f"{name} is missing": F.col(name).isNull() for name in names}
+    return {f"{name} is missing": f"{name} IS NULL" for name in names}
 
 
-def _stamp_rules() -> Rules:
-    return _missing("schema_version", "generated_at", "report_ts")
+_STAMP_RULES = _missing("schema_version", "generated_at", "report_ts")
+_WINDOW_DAYS_RULES = {"window_days is below 1": "window_days IS NULL OR window_days < 1"}
 
 
-def _site_rules(array: str) -> Rules:
+def _ranked_rules(array: str, key: str, count: str) -> Rules:
     return {
         **_missing(array),
-        f"{array} item is missing": _how_many(array, lambda x: x.isNull()),
-        f"{array}.site is missing": _how_many(
-            array, lambda x: x.isNotNull() & x["site"].isNull()
+        f"{array} item is missing": _how_many(array, "x IS NULL"),
+        f"{array}.{key} is missing": _how_many(array, f"x IS NOT NULL AND x.{key} IS NULL"),
+        f"{array}.{count} is not a count": _how_many(
+            array, f"x IS NOT NULL AND ({_not_count(f'x.{count}')})"
         ),
-        f"{array}.failures is not a count": _how_many(
-            array, lambda x: x.isNotNull() & _not_count(x["failures"])
-        ),
-    }
-
-
-def summary_rules() -> Rules:
-    return {
-        **_stamp_rules(),
-        "failures_last_24h is not a count": _not_count(F.col("failures_last_24h")),
-        "failures_last_7d is not a count": _not_count(F.col("failures_last_7d")),
-        "failures_last_7d is below failures_last_24h": F.col("failures_last_7d")
-        < F.col("failures_last_24h"),
-        **_site_rules("top_sites"),
     }
 
 
-def trend_rules(days: int = fixed.TREND_DAYS) -> Rules:
+def _trend_rules(days: int = fixed.TREND_DAYS) -> Rules:
     """Beside the shape: exactly ``days`` days, each the day after the one before it."""
-    first = F.try_to_date(F.get("days", F.lit(0))["date"])
-
-    def out_of_step(day: Column, i: Column) -> Column:
-        return ~F.try_to_date(day["date"]).eqNullSafe(F.date_add(first, i))
-
+    in_step = "try_to_date(x.date) <=> date_add(try_to_date(get(days, 0).date), i)"
     return {
-        **_stamp_rules(),
+        **_STAMP_RULES,
         **_missing("days"),
-        "days.date is missing": _how_many("days", lambda d: d["date"].isNull()),
-        "days.failures is not a count": _how_many("days", lambda d: _not_count(d["failures"])),
-        f"days are not {days}": ~F.array_size("days").eqNullSafe(F.lit(days)),
-        "days are not consecutive": _how_many("days", out_of_step) > 0,
-    }
-
-
-def top_sites_rules() -> Rules:
-    return {
-        **_stamp_rules(),
-        "window_days is below 1": F.col("window_days").isNull() | (F.col("window_days") < 1),
-        **_site_rules("sites"),
-    }
-
-
-def exceptions_rules() -> Rules:
-    return {
-        **_stamp_rules(),
-        "window_days is below 1": F.col("window_days").isNull() | (F.col("window_days") < 1),
-        **_missing("exceptions"),
-        "exceptions item is missing": _how_many("exceptions", lambda x: x.isNull()),
-        "exceptions.failure_type is missing": _how_many(
-            "exceptions", lambda x: x.isNotNull() & x["failure_type"].isNull()
-        ),
-        "exceptions.count is not a count": _how_many(
-            "exceptions", lambda x: x.isNotNull() & _not_count(x["count"])
-        ),
+        "days.date is missing": _how_many("days", "x.date IS NULL"),
+        "days.failures is not a count": _how_many("days", _not_count("x.failures")),
+        f"days are not {days}": f"NOT array_size(days) <=> {days}",
+        "days are not consecutive": f"array_size(filter(days, (x, i) -> NOT {in_step})) > 0",
     }
 
 
-def manifest_rules() -> Rules:
-    known = F.col("status").isin(fixed.STATUS_SUCCESS, fixed.STATUS_ERROR)
-    return {
-        **_stamp_rules(),
+DOCUMENT_RULES: dict[str, Rules] = {
+    fixed.SUMMARY: {
+        **_STAMP_RULES,
+        "failures_last_24h is not a count": _not_count("failures_last_24h"),
+        "failures_last_7d is not a count": _not_count("failures_last_7d"),
+        "failures_last_7d is below failures_last_24h": "failures_last_7d < failures_last_24h",
+        **_ranked_rules("top_sites", "site", "failures"),
+    },
+    fixed.TREND_30D: _trend_rules(),
+    fixed.TOP_SITES: {
+        **_STAMP_RULES,
+        **_WINDOW_DAYS_RULES,
+        **_ranked_rules("sites", "site", "failures"),
+    },
+    fixed.EXCEPTIONS: {
+        **_STAMP_RULES,
+        **_WINDOW_DAYS_RULES,
+        **_ranked_rules("exceptions", "failure_type", "count"),
+    },
+    fixed.MANIFEST: {
+        **_STAMP_RULES,
         **_missing("run_id", "artifacts"),
-        "status is unknown": ~F.coalesce(known, F.lit(False)),
-        "artifacts item is missing": _how_many("artifacts", lambda name: name.isNull()),
-    }
-
-
-DOCUMENT_RULES: dict[str, Callable[[], Rules]] = {
-    fixed.SUMMARY: summary_rules,
-    fixed.TREND_30D: trend_rules,
-    fixed.TOP_SITES: top_sites_rules,
-    fixed.EXCEPTIONS: exceptions_rules,
-    fixed.MANIFEST: manifest_rules,
+        "status is unknown": (
+            f"NOT coalesce(status IN ('{fixed.STATUS_SUCCESS}', '{fixed.STATUS_ERROR}'), false)"
+        ),
+        "artifacts item is missing": _how_many("artifacts", "x IS NULL"),
+    },
 }
 
 
@@ -155,11 +122,11 @@ def document_violations(document: DataFrame, artifact: str) -> DataFrame:
             F.lit(f"columns differ: {', '.join(sorted(wrong))}").alias("rule"),
             F.lit(len(wrong)).cast("bigint").alias("violations"),
         )
-    return violations(document, DOCUMENT_RULES[artifact](), empty="document is missing")
+    return violations(document, DOCUMENT_RULES[artifact], empty="document is missing")
 
 
 def check_documents(documents: Mapping[str, DataFrame]) -> None:
-    """Raise, naming documents and rules, unless every contract holds. Runs one job."""
+    """Raise, naming documents and rules, unless every contract holds."""
     found = reduce(
         DataFrame.unionAll,
         [
@@ -169,114 +136,115 @@ def check_documents(documents: Mapping[str, DataFrame]) -> None:
             for artifact, document in documents.items()
         ],
     )
-    broken = found.where("violations > 0").orderBy("artifact", "rule").collect()
+    broken = sorted(tuple(row) for row in found.where("violations > 0").collect())
     if broken:
         raise ContractViolation(
-            "; ".join(f"{r.artifact}: {r.rule} ({r.violations})" for r in broken)
+            "; ".join(f"{artifact}: {rule} ({n})" for artifact, rule, n in broken)
         )
 
 
 def run_consistency(payloads: DataFrame) -> DataFrame:
     """``(rule, violations)``: runs whose stored documents disagree on a stamp."""
-    stamp = F.try_parse_json("value")
+    stamps = ("report_ts", "generated_at")
+    document = F.try_parse_json("value")
     stamped = payloads.select(
         "run_id",
-        F.try_variant_get(stamp, "$.report_ts", "string").alias("report_ts"),
-        F.try_variant_get(stamp, "$.generated_at", "string").alias("generated_at"),
-    )
-    per_run = stamped.groupBy("run_id").agg(
         *[
-            (~F.min(F.coalesce(c, F.lit(""))).eqNullSafe(F.max(F.coalesce(c, F.lit("")))))
-            .alias(c)
-            for c in ("report_ts", "generated_at")
-        ]
+            F.coalesce(F.try_variant_get(document, f"$.{stamp}", "string"), F.lit("")).alias(stamp)
+            for stamp in stamps
+        ],
     )
-    return violations(
-        per_run,
-        {f"{c} differs within a run": F.col(c) for c in ("report_ts", "generated_at")},
+    differing = stamped.groupBy("run_id").agg(
+        *[(F.min(stamp) != F.max(stamp)).alias(stamp) for stamp in stamps]
     )
+    return violations(differing, {f"{stamp} differs within a run": stamp for stamp in stamps})
 
 
-def _whole_number(value: Column, minimum: int) -> Column:
-    """A JSON number without a fraction, at least ``minimum``; 5.0 is one, "5" and 5.5 are not."""
-    number = F.try_variant_get(value, "$", "double")
-    is_number = F.schema_of_variant(value).rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))$")
-    return F.coalesce(
-        is_number & (number == F.floor(number)) & (number >= minimum), F.lit(False)
-    )
+# SQL conditions on variants: ``value`` is the text of an expression.
 
 
-def _is_string(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
+def _child(value: str, name: str) -> str:
+    return f"try_variant_get({value}, '$.{name}', 'variant')"
 
 
-def _is_array(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("ARRAY<"), F.lit(False))
+def _keys(value: str) -> str:
+    """Keys of a JSON object; NULL for anything else."""
+    return f"json_object_keys(to_json({value}))"
 
 
-def _keys(value: Column) -> Column:
-    """Keys of a JSON object; NULL for anything else."""
-    return F.json_object_keys(F.to_json(value))
+def _wrong_keys(value: str, names: Sequence[str]) -> str:
+    expected = ", ".join(f"'{name}'" for name in sorted(names))
+    return f"NOT coalesce(array_sort({_keys(value)}) = array({expected}), false)"
 
 
-def _has(value: Column, name: str) -> Column:
-    """The key is present, even with a JSON null; an absent one breaks the key rule instead."""
-    return F.coalesce(F.array_contains(_keys(value), name), F.lit(False))
+def _is_string(value: str) -> str:
+    return f"coalesce(schema_of_variant({value}) = 'STRING', false)"
 
 
-def _wrong_keys(names: Sequence[str]) -> Callable[[Column], Column]:
-    expected = F.array(*map(F.lit, sorted(names)))
-    return lambda value: ~F.coalesce(F.array_sort(_keys(value)) == expected, F.lit(False))
+def _is_array(value: str) -> str:
+    return f"coalesce(startswith(schema_of_variant({value}), 'ARRAY<'), false)"
 
 
-def _wrong_value(field: T.StructField) -> Callable[[Column], Column]:
-    def wrong(parent: Column) -> Column:
-        value = F.try_variant_get(parent, f"$.{field.name}", "variant")
-        if isinstance(field.dataType, T.StringType):
-            right = _is_string(value)
-        elif isinstance(field.dataType, T.ArrayType):
-            right = _is_array(value)
-        else:
-            right = _whole_number(value, 1 if field.name == "window_days" else 0)
-        return _has(parent, field.name) & ~right
+def _is_whole_number(value: str, minimum: int) -> str:
+    """A JSON number without a fraction, at least ``minimum``; 5.0 is one, "5" and 5.5 are not."""
+    number = f"try_variant_get({value}, '$', 'double')"
+    return (
+        f"coalesce(schema_of_variant({value}) RLIKE '^(BIGINT|DOUBLE|FLOAT|DECIMAL[(].*[)])$'"
+        f" AND {number} = floor({number}) AND {number} >= {minimum}, false)"
+    )
 
-    return wrong
 
+def _wrong_value(parent: str, field: T.StructField) -> str:
+    """The key is there, even with a JSON null, and wrong; an absent key breaks the key rule."""
+    value = _child(parent, field.name)
+    if isinstance(field.dataType, T.StringType):
+        right = _is_string(value)
+    elif isinstance(field.dataType, T.ArrayType):
+        right = _is_array(value)
+    else:
+        right = _is_whole_number(value, 1 if field.name == "window_days" else 0)
+    return f"coalesce(array_contains({_keys(parent)}, '{field.name}'), false) AND NOT {right}"
 
-def stored_json_violations(payloads: DataFrame, artifact: str) -> DataFrame:
-    """``(rule, violations)`` of stored JSON text, read strictly.
 
-    ``from_json`` would drop unknown keys, turn numbers into strings and map wrong values to
-    NULL, so the text is checked as a variant, whose values keep the type they were written with.
-    """
+def _stored_rules(artifact: str) -> Rules:
     schema = DOCUMENT_SCHEMAS[artifact]
-    value = F.col("document")
-    parsed = value.isNotNull()
     rules = {
-        "text is not JSON": value.isNull(),
-        "keys differ": parsed & _wrong_keys(schema.names)(value),
+        "text is not JSON": "document IS NULL",
+        "keys differ": f"document IS NOT NULL AND {_wrong_keys('document', schema.names)}",
     }
     for field in schema:
-        rules[f"{field.name} has a wrong value"] = parsed & _wrong_value(field)(value)
+        rules[f"{field.name} has a wrong value"] = _wrong_value("document", field)
     array = schema[ITEMS[artifact]]
     item = array.dataType.elementType
-    elements = F.try_variant_get(value, f"$.{array.name}", "array<variant>")
+    elements = f"try_variant_get(document, '$.{array.name}', 'array<variant>')"
     if isinstance(item, T.StructType):
-        item_rules = {f"{array.name} item keys differ": _wrong_keys(item.names)} | {
-            f"{array.name}.{field.name} has a wrong value": _wrong_value(field) for field in item
-        }
+        rules[f"{array.name} item keys differ"] = _how_many(elements, _wrong_keys("x", item.names))
+        for field in item:
+            rules[f"{array.name}.{field.name} has a wrong value"] = _how_many(
+                elements, _wrong_value("x", field)
+            )
     else:
-        item_rules = {f"{array.name} item has a wrong value": lambda name: ~_is_string(name)}
-    for rule, bad in item_rules.items():
-        rules[rule] = F.coalesce(F.array_size(F.filter(elements, bad)), F.lit(0))
+        rules[f"{array.name} item has a wrong value"] = _how_many(
+            elements, f"NOT {_is_string('x')}"
+        )
     if artifact == fixed.MANIFEST:
-        status = F.try_variant_get(value, "$.status", "string")
-        rules["status is unknown"] = _is_string(
-            F.try_variant_get(value, "$.status", "variant")
-        ) & ~status.isin(fixed.STATUS_SUCCESS, fixed.STATUS_ERROR)
+        rules["status is unknown"] = (
+            f"{_is_string(_child('document', 'status'))} AND"
+            " try_variant_get(document, '$.status', 'string')"
+            f" NOT IN ('{fixed.STATUS_SUCCESS}', '{fixed.STATUS_ERROR}')"
+        )
+    return rules
+
+
+def stored_json_violations(payloads: DataFrame, artifact: str) -> DataFrame:
+    """``(rule, violations)`` of stored JSON text, read strictly.
+
+    ``from_json`` would drop unknown keys, turn numbers into strings and map wrong values to
+    NULL, so the text is checked as a variant, whose values keep the type they were written with.
+    """
     texts = payloads.where(F.col("artifact") == artifact)
     return violations(
         texts.select(F.try_parse_json("value").alias("document")),
-        rules,
+        _stored_rules(artifact),
         empty="document is missing",
     )

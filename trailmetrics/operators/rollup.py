@@ -21,16 +21,21 @@ from trailmetrics.sources.facts import facts_in_window
 
 # grouping_id() over (site, failure_type, date): a set bit marks a key that is rolled up.
 BY_SITE = 0b011
-BY_FAILURE_TYPE = 0b101
+BY_TYPE_AND_DATE = 0b100
+BY_TYPE = 0b101
 BY_DATE = 0b110
 TOTAL = 0b111
 
+_COUNTS = ("n_24h", "n_7d", "n_30d")
+
 
 def rollup(facts: DataFrame, report_ts: str, tz: str = "UTC") -> DataFrame:
-    """Counts of the three windows by site, by failure type, by day and in total.
+    """Counts of the three windows by site, and by failure type and day.
 
-    One scan and one shuffle. Each task sends one row per key it saw, so neither hot keys nor
-    the number of facts decide the shuffle size. ``grain`` tells a rolled-up key from a NULL one.
+    One scan and one shuffle. Each task sends one row per site and one per type and day it saw,
+    so neither hot keys nor the number of facts decide the shuffle size. Types, days and totals
+    all follow from the second grain, which stays small; rolling them up here as well would
+    look each fact up four times instead of two. ``grain`` tells a rolled-up key from a NULL one.
     """
     report_ts = normalise_report_ts(report_ts)
     with session_zone(facts.sparkSession, tz):
@@ -43,7 +48,7 @@ def rollup(facts: DataFrame, report_ts: str, tz: str = "UTC") -> DataFrame:
             in_window(event_time, anchor, LAST_7D).alias("in_7d"),
         )
         return rows.groupingSets(
-            [["site"], ["failure_type"], ["date"], []], "site", "failure_type", "date"
+            [["site"], ["failure_type", "date"]], "site", "failure_type", "date"
         ).agg(
             F.grouping_id().alias("grain"),
             F.count_if("in_24h").alias("n_24h"),
@@ -52,24 +57,34 @@ def rollup(facts: DataFrame, report_ts: str, tz: str = "UTC") -> DataFrame:
         )
 
 
+def by_each_key(rolled: DataFrame) -> DataFrame:
+    """Counts by site, by failure type, by day and in total, out of a materialised rollup."""
+    keys = ("site", "failure_type", "date")
+    rest = (
+        rolled.where(F.col("grain") == BY_TYPE_AND_DATE)
+        .drop("grain")
+        .groupingSets([["failure_type"], ["date"], []], *keys)
+        .agg(F.grouping_id().alias("grain"), *[F.sum(n).alias(n) for n in _COUNTS])
+    )
+    return rolled.where(F.col("grain") == BY_SITE).unionByName(rest)
+
+
 def metrics_of(
     rolled: DataFrame, report_ts: str, k: int = fixed.TOP_K, tz: str = "UTC"
 ) -> dict[str, DataFrame]:
     """The required metrics out of a rollup; equal, row for row, to those of the catalog.
 
-    A key counts for a window only if it has rows there. Totals are summed because grouping
-    sets give no total row for empty input.
+    A key counts for a window only if it has rows there. Each metric reads the rollup again, so
+    materialise it first.
     """
     report_ts = normalise_report_ts(report_ts)
-
-    def grain(which: int) -> DataFrame:
-        return rolled.where(F.col("grain") == which)
+    by_type_and_date = rolled.where(F.col("grain") == BY_TYPE_AND_DATE)
 
     def total(column: str, name: str) -> DataFrame:
-        return grain(TOTAL).agg(F.coalesce(F.sum(column), F.lit(0)).alias(name))
+        return by_type_and_date.agg(F.coalesce(F.sum(column), F.lit(0)).alias(name))
 
     def sites(column: str) -> DataFrame:
-        counts = grain(BY_SITE).where(F.col(column) > 0)
+        counts = rolled.where((F.col("grain") == BY_SITE) & (F.col(column) > 0))
         return top_k(counts.select("site", F.col(column).alias("failures")), "site", k=k)
 
     spark = rolled.sparkSession
@@ -80,11 +95,11 @@ def metrics_of(
         "failures_last_7d": total("n_7d", "failures_last_7d"),
         "top_sites_by_failures": sites("n_7d"),
         "trend_30d": zero_filled(
-            spine, grain(BY_DATE).select("date", F.col("n_30d").alias("failures"))
+            spine, by_type_and_date.groupBy("date").agg(F.sum("n_30d").alias("failures"))
         ),
         "top_sites_30d": sites("n_30d"),
-        "exceptions_7d": grain(BY_FAILURE_TYPE)
-        .where(F.col("n_7d") > 0)
-        .select("failure_type", F.col("n_7d").alias("count"))
+        "exceptions_7d": by_type_and_date.groupBy("failure_type")
+        .agg(F.sum("n_7d").alias("count"))
+        .where(F.col("count") > 0)
         .orderBy(F.desc("count"), F.asc_nulls_last("failure_type")),
     }
