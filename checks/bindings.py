@@ -82,3 +82,19 @@ LINEITEM = Binding(
         "document_id": "l_orderkey || '-' || l_linenumber",
     },
 )
+
+
+def client_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as facts, with the market segment of the customer as their client."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    clients = customers.select(
+        F.concat(F.lit("site_"), F.col("c_custkey")).alias("site"),
+        F.col("c_mktsegment").alias("client"),
+    )
+    return ORDERS.facts(spark, sf_dir).join(clients, "site")
+
+
+CLIENT_ORDERS_SQL = (
+    f"SELECT o.*, c.c_mktsegment AS client FROM ({ORDERS.facts_sql}) o"
+    " JOIN customer c ON o.site = 'site_' || c.c_custkey"
+)

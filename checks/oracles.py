@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from checks.bindings import EVENTS, LINEITEM, ORDERS, Binding
-from checks.queries import EARLIER_TS, GENERATED_AT
+from checks.bindings import CLIENT_ORDERS_SQL, EVENTS, LINEITEM, ORDERS, Binding
+from checks.queries import BACKFILL, EARLIER_TS, GENERATED_AT
 from trailmetrics import fixed_values as fixed
 
 _WINDOWS = {"24h": "24 HOUR", "7d": "7 DAY", "30d": "30 DAY"}
@@ -374,6 +374,62 @@ def _latest(report_ts: str) -> str:
     )
 
 
+def _ranked_by(scope: str, counts: str) -> str:
+    return (
+        f"SELECT {scope}, row_number() OVER (PARTITION BY {scope}"
+        f" ORDER BY failures DESC, site ASC NULLS LAST) AS position, site, failures"
+        f" FROM ({counts}) QUALIFY position <= {fixed.TOP_K}"
+    )
+
+
+def _by_client(ts: str) -> dict[str, str]:
+    in_7d, in_30d = _between(ts, "7d"), _between(ts, "30d")
+    top = f"SELECT client, site, count(*) AS failures FROM facts WHERE {in_30d} GROUP BY ALL"
+    return {
+        "failures_by_client": (
+            f"SELECT client, count(*) FILTER (WHERE {in_7d}) AS failures_last_7d"
+            " FROM facts GROUP BY client"
+        ),
+        "top_sites_by_client": _ranked_by("client", top),
+        "exceptions_by_client": (
+            f'SELECT client, failure_type, count(*) AS "count" FROM facts WHERE {in_7d}'
+            " GROUP BY ALL"
+        ),
+        "trend_by_client": (
+            "SELECT c.client, CAST(s.date AS VARCHAR) AS date, coalesce(d.failures, 0) AS failures"
+            f" FROM (SELECT DISTINCT client FROM facts) c CROSS JOIN ({_spine(ts)}) s"
+            ' LEFT JOIN (SELECT client, CAST("timestamp" AS DATE) AS date, count(*) AS failures'
+            f" FROM facts WHERE {in_30d} GROUP BY ALL) d USING (client, date)"
+        ),
+    }
+
+
+_BACKFILL_RUNS = "(VALUES {}) r(report_ts, anchor)".format(
+    ", ".join(f"('{ts}', {_instant(ts)})" for ts in BACKFILL)
+)
+
+
+def _in_run(window: str) -> str:
+    return f'"timestamp" BETWEEN anchor - INTERVAL {_WINDOWS[window]} AND anchor'
+
+
+_BACKFILL_SQL = f"""
+    SELECT report_ts, site, failure_type, CAST(date AS VARCHAR) AS date,
+           GROUPING(site, failure_type, date) AS grain,
+           count(*) FILTER (WHERE {_in_run("24h")}) AS n_24h,
+           count(*) FILTER (WHERE {_in_run("7d")}) AS n_7d,
+           count(*) AS n_30d
+    FROM (SELECT *, CAST("timestamp" AS DATE) AS date FROM facts JOIN {_BACKFILL_RUNS}
+          ON {_in_run("30d")})
+    GROUP BY GROUPING SETS ((report_ts, site), (report_ts, failure_type, date))"""
+
+_TOP_SITES_BY_RUN = _ranked_by(
+    "report_ts",
+    "SELECT report_ts, site, count(*) AS failures FROM facts"
+    f" JOIN {_BACKFILL_RUNS} ON {_in_run('7d')} GROUP BY ALL",
+)
+
+
 _SYNTHETIC = f"""
     WITH d AS (
         SELECT event_id AS id, md5('{fixed.SYNTHETIC_SEED}:' || event_id) AS h FROM events
@@ -415,10 +471,17 @@ def all_oracles() -> dict[str, str]:
         "run_history": f"{_run_items(EARLIER_TS)} UNION ALL {_run_items(ts)}",
         "latest_run": _latest(ts),
         "current_payloads": _run_items(ts),
+        "backfill_runs": _BACKFILL_SQL,
+        "top_sites_by_run": _TOP_SITES_BY_RUN,
         "run_metrics_log": f"{_run_log(EARLIER_TS)} UNION ALL {_run_log(ts)}",
     }
+    by_client = {
+        name: f"WITH facts AS ({CLIENT_ORDERS_SQL}) {sql}"
+        for name, sql in _by_client(ORDERS.report_ts).items()
+    }
     return (
         bound
+        | by_client
         | {name: _with_facts(EVENTS, sql) for name, sql in on_events.items()}
         | {
             "synthetic_failures": _SYNTHETIC,

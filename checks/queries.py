@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.bindings import EVENTS, LINEITEM, ORDERS, Binding
+from checks.bindings import EVENTS, LINEITEM, ORDERS, Binding, client_orders
 from trailmetrics import fixed_values as fixed
 from trailmetrics.functions import windows
-from trailmetrics.operators import catalog, contracts, documents, rollup, windowed
-from trailmetrics.plans import history, publish
+from trailmetrics.operators import catalog, contracts, documents, rollup, scoped, windowed
+from trailmetrics.plans import backfill, history, publish
 from trailmetrics.session import materialise, scratch_path, session_zone
 from trailmetrics.sources import facts as fact_source
 from trailmetrics.sources.synthetic import synthetic_failures
@@ -274,6 +274,41 @@ def missing_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def by_client(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One metric for every market segment that has orders."""
+    facts = client_orders(spark, sf_dir)
+    rolled = materialise(rollup.rollup(facts, ORDERS.report_ts, scope=["client"]), "clients")
+    metrics = scoped.metrics_by(
+        rolled, ["client"], facts.select("client").distinct(), windows.instant(ORDERS.report_ts)
+    )
+    return _plain(metrics[name])
+
+
+# Daily reports, one an hour after another, and one that shares no window edge with the rest.
+BACKFILL = tuple(f"2024-01-{day}T12:00:00Z" for day in range(20, 31)) + (
+    "2024-01-30T13:00:00Z",
+    "2024-01-05T07:31:17Z",
+)
+
+
+def _backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backfill.backfill_rollup(EVENTS.facts(spark, sf_dir), BACKFILL)
+
+
+def backfill_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup of every report instant from one pass over the events."""
+    return _plain(_backfilled(spark, sf_dir))
+
+
+def top_sites_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rolled = materialise(_backfilled(spark, sf_dir), "backfill")
+    runs = backfill.instants(spark, BACKFILL)
+    metrics = scoped.metrics_by(
+        rolled, ["report_ts"], runs, F.col("report_ts").cast("timestamp")
+    )
+    return metrics["top_sites_by_failures"]
+
+
 def all_queries() -> dict[str, Query]:
     bound = {
         f"{name}{suffix}": _bound(query, binding)
@@ -302,4 +337,10 @@ def all_queries() -> dict[str, Query]:
         "current_payloads": current_payloads,
         "missing_artifacts": missing_artifacts,
         "run_metrics_log": run_metrics_log,
+        "failures_by_client": partial(by_client, name="failures_last_7d"),
+        "top_sites_by_client": partial(by_client, name="top_sites_30d"),
+        "exceptions_by_client": partial(by_client, name="exceptions_7d"),
+        "trend_by_client": partial(by_client, name="trend_30d"),
+        "backfill_runs": backfill_runs,
+        "top_sites_by_run": top_sites_by_run,
     }

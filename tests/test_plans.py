@@ -59,6 +59,15 @@ def test_stored_facts_are_pruned_by_day(stored):
         assert partition_filters and all("event_date" in line for line in partition_filters)
 
 
+def test_each_metric_opens_no_more_days_than_its_window_needs(stored):
+    first_day = {"failures_last_24h": "2024-01-28", "failures_last_7d": "2024-01-22",
+                 "top_sites_by_failures": "2024-01-22", "exceptions_7d": "2024-01-22",
+                 "trend_30d": "2023-12-30", "top_sites_30d": "2023-12-30"}
+    for name, day in first_day.items():
+        assert "(event_date#" in (text := plan(catalog.metric(name, stored, REPORT_TS)))
+        assert f">= {day})" in text and "<= 2024-01-31)" in text, name
+
+
 def test_rollup_is_one_scan_and_one_shuffle(facts):
     text = plan(rollup.rollup(facts, REPORT_TS))
     tree = text.split("\n\n")[0]

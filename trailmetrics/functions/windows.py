@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _ISO_INSTANT = re.compile(r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(Z|[+-]\d{2}:\d{2})")
+_PUNCTUATION = "[^a-zA-Z0-9]"
 
 
 @dataclass(frozen=True)
@@ -78,4 +79,8 @@ def trailing_days(anchor: Column, days: int) -> Column:
 
 def run_id(report_ts: Column) -> Column:
     """Run identifier: the report instant without its punctuation."""
-    return F.regexp_replace(report_ts, "[^a-zA-Z0-9]", "")
+    return F.regexp_replace(report_ts, _PUNCTUATION, "")
+
+
+def run_id_of(report_ts: str) -> str:
+    return re.sub(_PUNCTUATION, "", report_ts)

@@ -8,12 +8,22 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 
 from trailmetrics import fixed_values as fixed
-from trailmetrics.functions.windows import LAST_30D, normalise_report_ts
+from trailmetrics.functions.windows import LAST_7D, LAST_24H, LAST_30D, normalise_report_ts
 from trailmetrics.session import session_zone
 from trailmetrics.sources.facts import prune_days
 
 _SQL_FOLDER = Path(__file__).with_name("sql")
 
+# How far back each metric looks: the day partitions it has to open.
+_REACH = {
+    "failures_last_24h": LAST_24H,
+    "failures_last_7d": LAST_7D,
+    "top_sites_by_failures": LAST_7D,
+    "trend_30d": LAST_30D,
+    "top_sites_30d": LAST_30D,
+    "exceptions_7d": LAST_7D,
+}
+
 
 class MissingMetric(LookupError):
     """The catalog lacks a metric every run needs."""
@@ -36,14 +46,18 @@ def metric(
     tz: str = "UTC",
     catalog: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """One metric as a lazy DataFrame; its bounds fold to constants and reach the scan."""
+    """One metric as a lazy DataFrame; its bounds fold to constants and reach the scan.
+
+    Metrics beyond the required ones may look back any time, so no day partition is left out
+    for them.
+    """
     catalog = load_catalog() if catalog is None else catalog
     report_ts = normalise_report_ts(report_ts)
     with session_zone(facts.sparkSession, tz):
+        if name in _REACH:
+            facts = prune_days(facts, report_ts, _REACH[name])
         return facts.sparkSession.sql(
-            catalog[name],
-            args={"report_ts": report_ts, "k": k},
-            facts=prune_days(facts, report_ts, LAST_30D),
+            catalog[name], args={"report_ts": report_ts, "k": k}, facts=facts
         )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from trailmetrics.session import session_zone
 from trailmetrics.sources.facts import facts_in_window
 
 # grouping_id() over (site, failure_type, date): a set bit marks a key that is rolled up.
+# Scope columns come first and are never rolled up, so they leave the ids as they are.
 BY_SITE = 0b011
 BY_TYPE_AND_DATE = 0b100
 BY_TYPE = 0b101
@@ -29,8 +32,10 @@ TOTAL = 0b111
 _COUNTS = ("n_24h", "n_7d", "n_30d")
 
 
-def rollup(facts: DataFrame, report_ts: str, tz: str = "UTC") -> DataFrame:
-    """Counts of the three windows by site, and by failure type and day.
+def rollup(
+    facts: DataFrame, report_ts: str, tz: str = "UTC", scope: Sequence[str] = ()
+) -> DataFrame:
+    """Counts of the three windows by site, and by failure type and day, within each ``scope``.
 
     One scan and one shuffle. Each task sends one row per site and one per type and day it saw,
     so neither hot keys nor the number of facts decide the shuffle size. Types, days and totals
@@ -41,6 +46,7 @@ def rollup(facts: DataFrame, report_ts: str, tz: str = "UTC") -> DataFrame:
     with session_zone(facts.sparkSession, tz):
         event_time, anchor = F.col("timestamp"), instant(report_ts)
         rows = facts_in_window(facts, report_ts, LAST_30D).select(
+            *scope,
             "site",
             "failure_type",
             day_bucket(event_time).alias("date"),
@@ -48,7 +54,11 @@ def rollup(facts: DataFrame, report_ts: str, tz: str = "UTC") -> DataFrame:
             in_window(event_time, anchor, LAST_7D).alias("in_7d"),
         )
         return rows.groupingSets(
-            [["site"], ["failure_type", "date"]], "site", "failure_type", "date"
+            [[*scope, "site"], [*scope, "failure_type", "date"]],
+            *scope,
+            "site",
+            "failure_type",
+            "date",
         ).agg(
             F.grouping_id().alias("grain"),
             F.count_if("in_24h").alias("n_24h"),

@@ -42,15 +42,9 @@ def utc_now() -> str:
 
 def _run_metrics(documents: dict[str, DataFrame]) -> DataFrame:
     """One row with a map: the two totals, and the number of items per payload document."""
-    totals = documents[fixed.SUMMARY].select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(name).alias("name"), F.col(name).alias("n"))
-                    for name in ("failures_last_24h", "failures_last_7d")
-                ]
-            )
-        )
+    totals = documents[fixed.SUMMARY].selectExpr(
+        "stack(2, 'failures_last_24h', failures_last_24h, 'failures_last_7d', failures_last_7d)"
+        " AS (name, n)"
     )
     sizes = [
         documents[artifact].select(
@@ -83,12 +77,25 @@ def publish_run(
     """
     check_fact_schema(facts)
     report_ts = windows.normalise_report_ts(report_ts)
-    run_id = "".join(filter(str.isalnum, report_ts))
+    run_id = windows.run_id_of(report_ts)
     if not history.committed_runs(spark, root).where(F.col("run_id") == run_id).isEmpty():
         raise history.RunAlreadyPublished(f"{run_id} is committed below {root}")
-    attempt = f"a-{uuid.uuid4()}"
+    rolled = materialise(rollup(facts, report_ts, tz), "rollup")
+    return publish_rollup(rolled, root, report_ts, generated_at, k, tz, page_items)
+
 
-    rolled = materialise(rollup(facts, report_ts, tz), f"rollup-{run_id}")
+def publish_rollup(
+    rolled: DataFrame,
+    root: str,
+    report_ts: str,
+    generated_at: str | None = None,
+    k: int = fixed.TOP_K,
+    tz: str = "UTC",
+    page_items: int = PAGE_ITEMS,
+) -> PublishedRun:
+    """What follows the rollup of a run that is not committed yet: check, store, commit."""
+    spark, run_id = rolled.sparkSession, windows.run_id_of(report_ts)
+    attempt = f"a-{uuid.uuid4()}"
     metrics = metrics_of(rolled, report_ts, k, tz)
     generated_at = generated_at or utc_now()
     pages = max(1, math.ceil(metrics["exceptions_7d"].count() / page_items))
