@@ -277,7 +277,9 @@ def missing_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def by_client(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One metric for every market segment that has orders."""
     facts = client_orders(spark, sf_dir)
-    rolled = materialise(rollup.rollup(facts, ORDERS.report_ts, scope=["client"]), "clients")
+    rolled = materialise(
+        rollup.rollup(facts, ORDERS.report_ts, scope=["client"], shared_scan=True), "clients"
+    )
     metrics = scoped.metrics_by(
         rolled, ["client"], facts.select("client").distinct(), windows.instant(ORDERS.report_ts)
     )

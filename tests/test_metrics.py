@@ -21,7 +21,12 @@ def by_rollup(facts, report_ts=R, k=10, tz="UTC"):
     return rollup.metrics_of(rollup.rollup(facts, report_ts, tz), report_ts, k, tz)
 
 
-@pytest.fixture(params=[by_catalog, by_rollup])
+def by_shared_scan(facts, report_ts=R, k=10, tz="UTC"):
+    rolled = rollup.rollup(facts, report_ts, tz, shared_scan=True)
+    return rollup.metrics_of(rolled, report_ts, k, tz)
+
+
+@pytest.fixture(params=[by_catalog, by_rollup, by_shared_scan])
 def metrics(request):
     return request.param
 

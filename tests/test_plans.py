@@ -68,9 +68,15 @@ def test_each_metric_opens_no_more_days_than_its_window_needs(stored):
         assert f">= {day})" in text and "<= 2024-01-31)" in text, name
 
 
-def test_rollup_is_one_scan_and_one_shuffle(facts):
+def test_rollup_reads_two_columns_per_branch_and_shuffles_counts_only(facts):
     text = plan(rollup.rollup(facts, REPORT_TS))
-    tree = text.split("\n\n")[0]
+    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint>" in text
+    assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string>" in text
+    assert text.split("\n\n")[0].count("Exchange") == 2 and "Expand" not in text
+
+
+def test_rollup_over_a_shared_scan_is_one_scan_and_one_shuffle(facts):
+    tree = plan(rollup.rollup(facts, REPORT_TS, shared_scan=True)).split("\n\n")[0]
     assert tree.count("Scan parquet") == 1
     assert tree.count("Exchange") == 1
 

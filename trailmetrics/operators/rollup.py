@@ -33,14 +33,21 @@ _COUNTS = ("n_24h", "n_7d", "n_30d")
 
 
 def rollup(
-    facts: DataFrame, report_ts: str, tz: str = "UTC", scope: Sequence[str] = ()
+    facts: DataFrame,
+    report_ts: str,
+    tz: str = "UTC",
+    scope: Sequence[str] = (),
+    shared_scan: bool = False,
 ) -> DataFrame:
     """Counts of the three windows by site, and by failure type and day, within each ``scope``.
 
-    One scan and one shuffle. Each task sends one row per site and one per type and day it saw,
-    so neither hot keys nor the number of facts decide the shuffle size. Types, days and totals
-    all follow from the second grain, which stays small; rolling them up here as well would
-    look each fact up four times instead of two. ``grain`` tells a rolled-up key from a NULL one.
+    One job. Each task sends one row per site, or per type and day, it saw, so neither hot keys
+    nor the number of facts decide the shuffle size. Types, days and totals all follow from the
+    second grain, which stays small. ``grain`` tells a rolled-up key from a NULL one.
+
+    By default the grains are two branches of the job that read two columns each: of a stored
+    table that costs less than to copy each row for both. ``shared_scan`` makes them grouping
+    sets over one scan, for facts that are costly to come by, such as the result of a join.
     """
     report_ts = normalise_report_ts(report_ts)
     with session_zone(facts.sparkSession, tz):
@@ -53,18 +60,23 @@ def rollup(
             in_window(event_time, anchor, LAST_24H).alias("in_24h"),
             in_window(event_time, anchor, LAST_7D).alias("in_7d"),
         )
-        return rows.groupingSets(
-            [[*scope, "site"], [*scope, "failure_type", "date"]],
-            *scope,
-            "site",
-            "failure_type",
-            "date",
-        ).agg(
-            F.grouping_id().alias("grain"),
-            F.count_if("in_24h").alias("n_24h"),
-            F.count_if("in_7d").alias("n_7d"),
-            F.count("*").alias("n_30d"),
-        )
+    counts = [
+        F.count_if("in_24h").alias("n_24h"),
+        F.count_if("in_7d").alias("n_7d"),
+        F.count("*").alias("n_30d"),
+    ]
+    by_site, by_type_and_date = [*scope, "site"], [*scope, "failure_type", "date"]
+    if shared_scan:
+        keys = [*scope, "site", "failure_type", "date"]
+        sets = rows.groupingSets([by_site, by_type_and_date], *keys)
+        return sets.agg(F.grouping_id().alias("grain"), *counts)
+    sites = rows.groupBy(*by_site).agg(F.lit(BY_SITE).cast("bigint").alias("grain"), *counts)
+    types = rows.groupBy(*by_type_and_date).agg(
+        F.lit(BY_TYPE_AND_DATE).cast("bigint").alias("grain"), *counts
+    )
+    return sites.unionByName(types, allowMissingColumns=True).select(
+        *scope, "site", "failure_type", "date", "grain", *_COUNTS
+    )
 
 
 def by_each_key(rolled: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailmetrics import fixed_values as fixed
@@ -25,6 +26,7 @@ from trailmetrics.sources.facts import EVENT_DATE, check_fact_schema
 # Up to this many report instants, their days (31 each) are small enough to broadcast.
 BROADCAST_INSTANTS = 10_000
 
+_DAY_MICROS = 86_400_000_000
 _WINDOWS = {"n_24h": LAST_24H, "n_7d": LAST_7D, "n_30d": LAST_30D}
 
 
@@ -38,14 +40,36 @@ def instants(spark: SparkSession, report_instants: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(ts,) for ts in stamps], "report_ts STRING")
 
 
+def _slots(runs: DataFrame, run_days: DataFrame) -> DataFrame:
+    """``(day, at, until)``: the days of all runs, cut at every edge of their windows.
+
+    Windows hold both their ends, so an edge is a slot of its own, from one edge to the next
+    microsecond. Both bounds of a slot belong to it.
+    """
+    day_start = F.timestamp_micros(F.unix_date("day").cast("bigint") * _DAY_MICROS)
+    edges = runs.select(F.explode(F.array("anchor", *_WINDOWS)).alias("at"))
+    after = F.timestamp_micros(F.unix_micros("at") + 1)
+    starts = run_days.select(day_start.alias("at")).unionAll(edges).unionAll(edges.select(after))
+    next_start = F.lead("at").over(W.partitionBy("day").orderBy("at"))
+    next_day = (F.unix_date("day").cast("bigint") + 1) * _DAY_MICROS
+    return (
+        starts.distinct()
+        .withColumn("day", utc_day(F.col("at")))
+        .select(
+            "day",
+            "at",
+            F.timestamp_micros(F.coalesce(F.unix_micros(next_start), next_day) - 1).alias("until"),
+        )
+    )
+
+
 def backfill_rollup(
     facts: DataFrame, report_instants: Sequence[str], tz: str = "UTC"
 ) -> DataFrame:
     """The rollup of every report instant, as rows of one table with a ``report_ts``.
 
-    All windows together cut time into slots: between two neighbouring window edges, a fact is
-    in the same windows as its neighbours. So the facts are first counted per slot, each of them
-    once, and only those counts are then spread over the runs whose windows hold the slot.
+    Within a slot, all facts are in the same windows. So the facts are first counted per slot,
+    each of them once, and only those counts are then spread over the runs that hold the slot.
     """
     spark = facts.sparkSession
     with session_zone(spark, tz):
@@ -61,54 +85,34 @@ def backfill_rollup(
                 F.sequence(utc_day(F.col("n_30d")), utc_day(F.col("anchor")), F.expr("INTERVAL 1 DAY"))
             ),
         )
-        edges = runs.select(F.explode(F.array("anchor", *_WINDOWS)).alias("edge"))
-        days = (
-            run_days.select("day", F.lit(None).cast("timestamp").alias("edge"))
-            .unionAll(edges.select(utc_day(F.col("edge")), "edge"))
-            .groupBy("day")
-            .agg(F.collect_set("edge").alias("edges"))
-        )
+        slots = _slots(runs, run_days)
         if len(report_instants) <= BROADCAST_INSTANTS:
-            days, run_days = F.broadcast(days), F.broadcast(run_days)
+            slots, run_days = F.broadcast(slots), F.broadcast(run_days)
 
         stamps = _sorted_stamps(report_instants)
         first, last = instant(stamps[0]) - LAST_30D.interval, instant(stamps[-1])
-        day = F.col(EVENT_DATE) if EVENT_DATE in facts.columns else utc_day(F.col("timestamp"))
-        # Edges before a fact count twice, one at the same instant once: even slots lie between
-        # edges, odd ones are the edges themselves, as windows hold both their ends.
-        slot = F.expr(
-            "size(filter(edges, e -> e < timestamp)) + size(filter(edges, e -> e <= timestamp))"
-        )
-        slots = (
-            facts.where(F.col("timestamp").between(first, last))
+        event_time = F.col("timestamp")
+        day = F.col(EVENT_DATE) if EVENT_DATE in facts.columns else utc_day(event_time)
+        counts = (
+            facts.where(event_time.between(first, last))
             .where(day.between(utc_day(first), utc_day(last)))
             .select("site", "failure_type", "timestamp", day.alias("day"))
-            .join(days, "day")
-            .select(
-                "day",
-                slot.alias("slot"),
-                "site",
-                "failure_type",
-                day_bucket(F.col("timestamp")).alias("date"),
-                "timestamp",
-            )
+            .join(slots, "day")
+            .where(event_time.between(F.col("at"), F.col("until")))
+            .select("at", "site", "failure_type", day_bucket(event_time).alias("date"))
             .groupingSets(
-                [["day", "slot", "site"], ["day", "slot", "failure_type", "date"]],
-                "day",
-                "slot",
+                [["at", "site"], ["at", "failure_type", "date"]],
+                "at",
                 "site",
                 "failure_type",
                 "date",
             )
-            .agg(
-                F.grouping_id().alias("grain"),
-                F.count("*").alias("n"),
-                F.min("timestamp").alias("at"),
-            )
+            .agg(F.grouping_id().alias("grain"), F.count("*").alias("n"))
+            .withColumn("day", utc_day(F.col("at")))
         )
         held = (F.col("at") >= F.col("n_30d")) & (F.col("at") <= F.col("anchor"))
         return (
-            slots.join(run_days, "day")
+            counts.join(run_days, "day")
             .where(held)
             .groupBy("report_ts", "site", "failure_type", "date", "grain")
             .agg(
