@@ -123,7 +123,7 @@ def _event_documents(
 ) -> dict[str, DataFrame]:
     rolled = materialise(rollup.rollup(EVENTS.facts(spark, sf_dir), report_ts), "rollup")
     return documents.payload_documents(
-        rollup.metrics_of(rolled, report_ts), report_ts, GENERATED_AT
+        rollup.metrics_of(rolled, report_ts, ordered=False), report_ts, GENERATED_AT
     )
 
 

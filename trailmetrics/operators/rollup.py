@@ -92,12 +92,16 @@ def by_each_key(rolled: DataFrame) -> DataFrame:
 
 
 def metrics_of(
-    rolled: DataFrame, report_ts: str, k: int = fixed.TOP_K, tz: str = "UTC"
+    rolled: DataFrame,
+    report_ts: str,
+    k: int = fixed.TOP_K,
+    tz: str = "UTC",
+    ordered: bool = True,
 ) -> dict[str, DataFrame]:
     """The required metrics out of a rollup; equal, row for row, to those of the catalog.
 
     A key counts for a window only if it has rows there. Each metric reads the rollup again, so
-    materialise it first.
+    materialise it first. Documents sort their items themselves and need no ``ordered`` rows.
     """
     report_ts = normalise_report_ts(report_ts)
     by_type_and_date = rolled.where(F.col("grain") == BY_TYPE_AND_DATE)
@@ -112,16 +116,22 @@ def metrics_of(
     spark = rolled.sparkSession
     with session_zone(spark, tz):
         spine = date_spine(spark.range(1), instant(report_ts)).select("date")
+    trend = zero_filled(
+        spine, by_type_and_date.groupBy("date").agg(F.sum("n_30d").alias("failures"))
+    )
+    types = (
+        by_type_and_date.groupBy("failure_type")
+        .agg(F.sum("n_7d").alias("count"))
+        .where(F.col("count") > 0)
+    )
+    if ordered:
+        trend = trend.orderBy("date")
+        types = types.orderBy(F.desc("count"), F.asc_nulls_last("failure_type"))
     return {
         "failures_last_24h": total("n_24h", "failures_last_24h"),
         "failures_last_7d": total("n_7d", "failures_last_7d"),
         "top_sites_by_failures": sites("n_7d"),
-        "trend_30d": zero_filled(
-            spine, by_type_and_date.groupBy("date").agg(F.sum("n_30d").alias("failures"))
-        ),
+        "trend_30d": trend,
         "top_sites_30d": sites("n_30d"),
-        "exceptions_7d": by_type_and_date.groupBy("failure_type")
-        .agg(F.sum("n_7d").alias("count"))
-        .where(F.col("count") > 0)
-        .orderBy(F.desc("count"), F.asc_nulls_last("failure_type")),
+        "exceptions_7d": types,
     }

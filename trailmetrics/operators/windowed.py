@@ -45,12 +45,10 @@ def date_spine(anchors: DataFrame, anchor: Column, days: int = fixed.TREND_DAYS)
 
 
 def zero_filled(spine: DataFrame, per_day: DataFrame) -> DataFrame:
-    """The daily series of a report: each spine date with its count, or zero.
+    """The daily series of a report, in no order: each spine date with its count, or zero.
 
     ``per_day`` covers one window and so has at most one row per day of it: safe to broadcast.
     """
-    return (
-        spine.join(F.broadcast(per_day), "date", "left")
-        .select("date", F.coalesce("failures", F.lit(0)).alias("failures"))
-        .orderBy("date")
+    return spine.join(F.broadcast(per_day), "date", "left").select(
+        "date", F.coalesce("failures", F.lit(0)).alias("failures")
     )

@@ -96,7 +96,7 @@ def publish_rollup(
     """What follows the rollup of a run that is not committed yet: check, store, commit."""
     spark, run_id = rolled.sparkSession, windows.run_id_of(report_ts)
     attempt = f"a-{uuid.uuid4()}"
-    metrics = metrics_of(rolled, report_ts, k, tz)
+    metrics = metrics_of(rolled, report_ts, k, tz, ordered=False)
     generated_at = generated_at or utc_now()
     pages = max(1, math.ceil(metrics["exceptions_7d"].count() / page_items))
     payloads = docs.payload_documents(metrics, report_ts, generated_at, pages)
