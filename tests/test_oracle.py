@@ -54,3 +54,4 @@ def test_known_counts(spark, scale, table, n_24h, n_7d, n_30d, trend, quiet):
     series = rows(rollup.metrics_of(rolled, binding.report_ts)["trend_30d"])
     assert sum(n for _, n in series) == trend
     assert sum(n == 0 for _, n in series) == quiet
+    rolled.unpersist()
