@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trailmetrics.llm.quality import op9_random_indexing
 from trailmetrics.llm.sharding import op6_virtual_slots
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: list[Query] = [
     op6_virtual_slots,
+    op9_random_indexing,
 ]
 
 
