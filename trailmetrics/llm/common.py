@@ -42,3 +42,14 @@ def row_slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Reco
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def text_key(text: Column) -> list[Column]:
+    """Two columns that stand for a whole text: 96 bits of two unrelated hashes."""
+    return [F.xxhash64(text).alias("key_a"), F.crc32(text.cast("binary")).alias("key_b")]
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int = 500_000) -> DataFrame:
+    """Joins ``right``, a stored table of narrow rows, as a broadcast if it has been counted to hold at most
+    ``rows`` of them; else Spark shuffles both sides."""
+    return left.join(F.broadcast(right) if right.count() <= rows else right, on, how)

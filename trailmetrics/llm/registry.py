@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trailmetrics.llm.decontaminate import op10_winnowing
 from trailmetrics.llm.quality import op9_random_indexing
 from trailmetrics.llm.sharding import op6_virtual_slots
 
@@ -14,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: list[Query] = [
     op6_virtual_slots,
     op9_random_indexing,
+    op10_winnowing,
 ]
 
 
