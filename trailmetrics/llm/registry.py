@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from trailmetrics.llm.decontaminate import op10_winnowing
 from trailmetrics.llm.quality import op9_random_indexing
 from trailmetrics.llm.sharding import op6_virtual_slots
+from trailmetrics.llm.topk import OP2_SQL, op2_threshold_top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: list[Query] = [
+    op2_threshold_top_k,
     op6_virtual_slots,
     op9_random_indexing,
     op10_winnowing,
@@ -24,4 +26,4 @@ def llm_queries() -> dict[str, Query]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {op2_threshold_top_k.__name__: OP2_SQL}
