@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from trailmetrics.llm.decontaminate import op10_winnowing
 from trailmetrics.llm.quality import op9_random_indexing
 from trailmetrics.llm.sharding import op6_virtual_slots
+from trailmetrics.llm.simhash import op4_vantage_simhash
 from trailmetrics.llm.topk import OP2_SQL, op2_threshold_top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: list[Query] = [
     op2_threshold_top_k,
+    op4_vantage_simhash,
     op6_virtual_slots,
     op9_random_indexing,
     op10_winnowing,
