@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trailmetrics.llm.decontaminate import op10_winnowing
+from trailmetrics.llm.lm import op7_backoff_automaton
 from trailmetrics.llm.quality import op9_random_indexing
 from trailmetrics.llm.sharding import op6_virtual_slots
 from trailmetrics.llm.simhash import op4_vantage_simhash
@@ -18,6 +19,7 @@ _QUERIES: list[Query] = [
     op2_threshold_top_k,
     op4_vantage_simhash,
     op6_virtual_slots,
+    op7_backoff_automaton,
     op9_random_indexing,
     op10_winnowing,
 ]
