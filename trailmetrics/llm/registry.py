@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trailmetrics.llm.decontaminate import op10_winnowing
 from trailmetrics.llm.lm import op7_backoff_automaton
+from trailmetrics.llm.packing import op1_best_fit
 from trailmetrics.llm.pii import op3_weak_supervision
 from trailmetrics.llm.quality import op9_random_indexing
 from trailmetrics.llm.sharding import op6_virtual_slots
@@ -17,6 +18,7 @@ from trailmetrics.llm.topk import OP2_SQL, op2_threshold_top_k
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: list[Query] = [
+    op1_best_fit,
     op2_threshold_top_k,
     op3_weak_supervision,
     op4_vantage_simhash,
