@@ -13,6 +13,7 @@ from trailmetrics.llm.pii import op3_weak_supervision
 from trailmetrics.llm.quality import op9_random_indexing
 from trailmetrics.llm.sharding import op6_virtual_slots
 from trailmetrics.llm.simhash import op4_vantage_simhash
+from trailmetrics.llm.suffixes import op8_two_stage_suffixes
 from trailmetrics.llm.topk import OP2_SQL, op2_threshold_top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +25,7 @@ _QUERIES: list[Query] = [
     op4_vantage_simhash,
     op6_virtual_slots,
     op7_backoff_automaton,
+    op8_two_stage_suffixes,
     op9_random_indexing,
     op10_winnowing,
 ]
