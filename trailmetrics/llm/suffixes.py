@@ -212,6 +212,17 @@ def blocks_of(texts: DataFrame, block_bytes: int) -> DataFrame:
     return materialise(cut_up.withColumn("block", F.monotonically_increasing_id()), "text-blocks")
 
 
+def first_rows(rows: DataFrame, order: str) -> DataFrame:
+    """``key_a, key_b``, the least ``order`` of each text, and the ``times`` that rows share both."""
+    each = rows.groupBy(*KEY, order).agg(F.count("*").alias("times"))
+    return each.groupBy(*KEY).agg(F.min(F.struct(order, "times")).alias("first")).select(*KEY, "first.*")
+
+
+def once(texts: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``texts`` without repeated rows; they are only shuffled if there are any."""
+    return texts.dropDuplicates(["doc_order", *KEY]) if firsts.where("times > 1").limit(1).count() else texts
+
+
 def _verdicts(reports: pa.Table, hot: int) -> pa.Table:
     """Of each entry of one range of anchors, whether its context repeats, is alone, or meets others."""
     columns = [
@@ -337,9 +348,10 @@ def remove_repeats(
     text = F.coalesce(F.col(text_col), F.lit(""))
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     rows = docs.select(F.col(id_col).alias("doc_id"), order.alias("doc_order"), *text_key(text), text.alias("text"))
-    firsts = materialise(rows.groupBy(*KEY).agg(F.min("doc_order").alias("doc_order")), "firsts")
+    firsts = materialise(first_rows(rows, "doc_order"), "firsts")
     long = rows.where(F.octet_length("text") >= span).select("doc_order", *KEY, "text")
     searched = join_counted(long, firsts, [*KEY, "doc_order"], "left_semi").select("doc_order", *KEY, "text")
+    searched = once(searched, firsts)
     stretches = materialise(repeated_stretches(units(searched, span, gram, block_bytes, hot), span), "stretches")
 
     along = W.partitionBy(*KEY).orderBy("start", "end")
@@ -348,7 +360,7 @@ def remove_repeats(
     merged = merged.withColumn("island", F.sum("new").over(along.rowsBetween(W.unboundedPreceding, 0)))
     merged = merged.groupBy(*KEY, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     gone = merged.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone"))
-    known = join_counted(rows, firsts.withColumnRenamed("doc_order", "first"), KEY, "inner")
+    known = join_counted(rows, firsts.select(*KEY, F.col("doc_order").alias("first")), KEY, "inner")
     known = join_counted(known, materialise(gone, "gone"), KEY, "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
