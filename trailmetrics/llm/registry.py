@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trailmetrics.llm.decontaminate import op10_winnowing
 from trailmetrics.llm.lm import op7_backoff_automaton
 from trailmetrics.llm.packing import op1_best_fit
+from trailmetrics.llm.passages import op5_collinear_chains
 from trailmetrics.llm.pii import op3_weak_supervision
 from trailmetrics.llm.quality import op9_random_indexing
 from trailmetrics.llm.sharding import op6_virtual_slots
@@ -23,6 +24,7 @@ _QUERIES: list[Query] = [
     op2_threshold_top_k,
     op3_weak_supervision,
     op4_vantage_simhash,
+    op5_collinear_chains,
     op6_virtual_slots,
     op7_backoff_automaton,
     op8_two_stage_suffixes,
