@@ -65,7 +65,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     if not n:
         return np.empty(0, dtype=np.int64)
     direct = smaller_than_next(text)
-    padded = np.concatenate([text, np.full(depth, SEPARATOR, dtype=np.uint8)])
+    padded = np.concatenate([text, np.zeros(depth, dtype=np.uint8)])  # the end is smaller than any byte
     places = np.flatnonzero(direct)
     rows = np.lib.stride_tricks.sliding_window_view(padded, depth)[places]
     ordered = places[np.argsort(np.ascontiguousarray(rows).view(f"S{depth}").ravel(), kind="stable")]
