@@ -42,7 +42,8 @@ def rebalance(current: SlotMap, slot_bytes: list[int], n_shards: int | None = No
     """The next version: slots move from the fullest to the emptiest shard while that evens them out.
 
     Each step moves the slot that comes closest to half the difference, so few slots move and the
-    two shards get closer; it ends when every slot of the fullest shard weighs more than the difference.
+    two shards get closer. A shard full with one heavy slot is left to the next fullest; it ends when no slot of
+    any shard weighs less than its difference to the emptiest.
     """
     n = n_shards or current.n_shards
     if n < current.n_shards:
@@ -55,10 +56,13 @@ def rebalance(current: SlotMap, slot_bytes: list[int], n_shards: int | None = No
         if slot_bytes[slot]:
             members[shard].add(slot)
     while True:
-        full, spare = loads.index(max(loads)), loads.index(min(loads))
-        gap = loads[full] - loads[spare]
-        fitting = [slot for slot in members[full] if slot_bytes[slot] < gap]
-        if not fitting:
+        spare = loads.index(min(loads))
+        for full in sorted(range(n), key=lambda shard: (-loads[shard], shard)):
+            gap = loads[full] - loads[spare]
+            fitting = [slot for slot in members[full] if slot_bytes[slot] < gap]
+            if fitting:
+                break
+        else:
             return SlotMap(current.version + 1, n, tuple(shard_of))
         slot = min(fitting, key=lambda s: (abs(2 * slot_bytes[s] - gap), s))
         members[full].remove(slot)
