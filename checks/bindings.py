@@ -84,17 +84,24 @@ LINEITEM = Binding(
 )
 
 
-def client_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders as facts, with the market segment of the customer as their client."""
+def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(custkey, client)``: the market segment of each customer; one segment counts as unknown."""
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    clients = customers.select(
-        F.concat(F.lit("site_"), F.col("c_custkey")).alias("site"),
-        F.col("c_mktsegment").alias("client"),
-    )
-    return ORDERS.facts(spark, sf_dir).join(clients, "site")
+    segment = F.nullif(F.col("c_mktsegment"), F.lit(UNKNOWN_SEGMENT))
+    return customers.select(F.col("c_custkey").alias("custkey"), segment.alias("client"))
+
+
+def client_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as facts, with the client of their customer; NULL if there is none."""
+    with session_zone(spark, "UTC"):
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+        columns = [c.alias(name) for name, c in ORDERS.columns().items()]
+        facts = orders.select(*columns, F.col("o_custkey").alias("custkey"))
+    return facts.join(clients(spark, sf_dir), "custkey", "left").drop("custkey")
 
 
+UNKNOWN_SEGMENT = "MACHINERY"
 CLIENT_ORDERS_SQL = (
-    f"SELECT o.*, c.c_mktsegment AS client FROM ({ORDERS.facts_sql}) o"
-    " JOIN customer c ON o.site = 'site_' || c.c_custkey"
+    f"SELECT o.*, NULLIF(c.c_mktsegment, '{UNKNOWN_SEGMENT}') AS client"
+    f" FROM ({ORDERS.facts_sql}) o LEFT JOIN customer c ON o.site = 'site_' || c.c_custkey"
 )

@@ -399,7 +399,8 @@ def _by_client(ts: str) -> dict[str, str]:
             "SELECT c.client, CAST(s.date AS VARCHAR) AS date, coalesce(d.failures, 0) AS failures"
             f" FROM (SELECT DISTINCT client FROM facts) c CROSS JOIN ({_spine(ts)}) s"
             ' LEFT JOIN (SELECT client, CAST("timestamp" AS DATE) AS date, count(*) AS failures'
-            f" FROM facts WHERE {in_30d} GROUP BY ALL) d USING (client, date)"
+            f" FROM facts WHERE {in_30d} GROUP BY ALL) d"
+            " ON d.client IS NOT DISTINCT FROM c.client AND d.date = s.date"
         ),
     }
 
@@ -461,6 +462,7 @@ def all_oracles() -> dict[str, str]:
         "fact_write_roundtrip": (
             'SELECT *, CAST(CAST("timestamp" AS DATE) AS VARCHAR) AS event_date FROM facts'
         ),
+        "metric_foreign_event_date": f"SELECT count(*) AS failures_last_7d FROM facts WHERE {_between(ts, '7d')}",
         "run_id": (
             "SELECT document_id, regexp_replace(strftime(\"timestamp\", '%Y-%m-%dT%H:%M:%SZ'),"
             " '[^a-zA-Z0-9]', '', 'g') AS run_id FROM facts"
@@ -484,6 +486,10 @@ def all_oracles() -> dict[str, str]:
         | by_client
         | {name: _with_facts(EVENTS, sql) for name, sql in on_events.items()}
         | {
+            "fact_write_client_roundtrip": (
+                f"WITH facts AS ({CLIENT_ORDERS_SQL})"
+                ' SELECT *, CAST(CAST("timestamp" AS DATE) AS VARCHAR) AS event_date FROM facts'
+            ),
             "synthetic_failures": _SYNTHETIC,
             "contract_manifest": _rules(**dict.fromkeys(_MANIFEST_RULES, "0")),
             "contract_run_consistency": _rules(**dict.fromkeys(_CONSISTENCY_RULES, "0")),

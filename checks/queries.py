@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.bindings import EVENTS, LINEITEM, ORDERS, Binding, client_orders
+from checks.bindings import EVENTS, LINEITEM, ORDERS, Binding, client_orders, clients
 from trailmetrics import fixed_values as fixed
 from trailmetrics.functions import windows
 from trailmetrics.operators import catalog, contracts, documents, rollup, scoped, windowed
@@ -103,6 +103,23 @@ def fact_write_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(fact_source.read_facts(spark, path))
 
 
+def fact_write_client_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts with a client, some of them unknown, stored by day and read back whole."""
+    path = scratch_path(spark, "client-facts")
+    fact_source.write_facts(client_orders(spark, sf_dir), path)
+    return _plain(fact_source.read_facts(spark, path))
+
+
+def metric_foreign_event_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metric of facts whose ``event_date`` is the day they were loaded, long after they happened."""
+    loaded = EVENTS.facts(spark, sf_dir).withColumn(
+        fact_source.EVENT_DATE, F.date_add(windows.utc_day(F.col("timestamp")), 400)
+    )
+    path = scratch_path(spark, "foreign-days")
+    fact_source.write_facts(loaded, path, day="stored_day")
+    return catalog.metric("failures_last_7d", fact_source.read_facts(spark, path), EVENTS.report_ts)
+
+
 def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One synthetic failure for each event."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -281,7 +298,7 @@ def by_client(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         rollup.rollup(facts, ORDERS.report_ts, scope=["client"], shared_scan=True), "clients"
     )
     metrics = scoped.metrics_by(
-        rolled, ["client"], facts.select("client").distinct(), windows.instant(ORDERS.report_ts)
+        rolled, ["client"], clients(spark, sf_dir).select("client").distinct(), windows.instant(ORDERS.report_ts)
     )
     return _plain(metrics[name])
 
@@ -319,6 +336,8 @@ def all_queries() -> dict[str, Query]:
     }
     return bound | {
         "fact_write_roundtrip": fact_write_roundtrip,
+        "fact_write_client_roundtrip": fact_write_client_roundtrip,
+        "metric_foreign_event_date": metric_foreign_event_date,
         "synthetic_failures": synthetic,
         "run_id": run_id,
         "payload_summary": partial(payload, artifact=fixed.SUMMARY),

@@ -14,6 +14,13 @@ from trailmetrics.operators.windowed import date_spine
 from trailmetrics.session import session_zone
 
 
+def join_scopes(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join in which NULL keys meet NULL keys, as groupings have them."""
+    renamed = right.withColumnsRenamed({key: f"__{key}" for key in keys})
+    same = [F.col(key).eqNullSafe(F.col(f"__{key}")) for key in keys]
+    return left.join(renamed, same, "left").drop(*(f"__{key}" for key in keys))
+
+
 def metrics_by(
     rolled: DataFrame,
     scope: Sequence[str],
@@ -32,8 +39,7 @@ def metrics_by(
     def total(column: str, name: str) -> DataFrame:
         totals = by_type_and_date.groupBy(*scope).agg(F.sum(column).alias("n"))
         return (
-            scopes.select(*scope)
-            .join(totals, list(scope), "left")
+            join_scopes(scopes.select(*scope), totals, scope)
             .select(*scope, F.coalesce("n", F.lit(0)).alias(name))
         )
 
@@ -51,7 +57,7 @@ def metrics_by(
         with session_zone(rolled.sparkSession, tz):
             spine = date_spine(scopes, anchor).select(*scope, "date")
         per_day = by_type_and_date.groupBy(*scope, "date").agg(F.sum("n_30d").alias("n"))
-        return spine.join(per_day, [*scope, "date"], "left").select(
+        return join_scopes(spine, per_day, [*scope, "date"]).select(
             *scope, "date", F.coalesce("n", F.lit(0)).alias("failures")
         )
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailmetrics import fixed_values as fixed
@@ -21,12 +20,9 @@ from trailmetrics.functions.windows import (
 )
 from trailmetrics.plans import history, publish
 from trailmetrics.session import materialise, session_zone
-from trailmetrics.sources.facts import EVENT_DATE, check_fact_schema
+from trailmetrics.sources.facts import between_days, check_fact_schema
 
-# Up to this many report instants, their days (31 each) are small enough to broadcast.
-BROADCAST_INSTANTS = 10_000
-
-_DAY_MICROS = 86_400_000_000
+_HOUR_MICROS = 3_600_000_000
 _WINDOWS = {"n_24h": LAST_24H, "n_7d": LAST_7D, "n_30d": LAST_30D}
 
 
@@ -40,27 +36,23 @@ def instants(spark: SparkSession, report_instants: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(ts,) for ts in stamps], "report_ts STRING")
 
 
-def _slots(runs: DataFrame, run_days: DataFrame) -> DataFrame:
-    """``(day, at, until)``: the days of all runs, cut at every edge of their windows.
+def _hours(runs: DataFrame) -> DataFrame:
+    """``(hour, before, edges)``: every hour of the windows, the edges in it, the last one before.
 
-    Windows hold both their ends, so an edge is a slot of its own, from one edge to the next
-    microsecond. Both bounds of a slot belong to it.
+    Windows hold both their ends, so each begins at its lower bound and ends a microsecond after its
+    report instant. The driver sees four edges for each instant it was given itself.
     """
-    day_start = F.timestamp_micros(F.unix_date("day").cast("bigint") * _DAY_MICROS)
-    edges = runs.select(F.explode(F.array("anchor", *_WINDOWS)).alias("at"))
-    after = F.timestamp_micros(F.unix_micros("at") + 1)
-    starts = run_days.select(day_start.alias("at")).unionAll(edges).unionAll(edges.select(after))
-    next_start = F.lead("at").over(W.partitionBy("day").orderBy("at"))
-    next_day = (F.unix_date("day").cast("bigint") + 1) * _DAY_MICROS
-    return (
-        starts.distinct()
-        .withColumn("day", utc_day(F.col("at")))
-        .select(
-            "day",
-            "at",
-            F.timestamp_micros(F.coalesce(F.unix_micros(next_start), next_day) - 1).alias("until"),
-        )
-    )
+    ends = [F.unix_micros(name) for name in _WINDOWS] + [F.unix_micros("anchor") + 1]
+    edges = sorted({row.at for row in runs.select(F.explode(F.array(*ends)).alias("at")).collect()})
+    inside: dict[int, list[int]] = {}
+    for at in edges:
+        inside.setdefault(at // _HOUR_MICROS, []).append(at)
+    rows, before = [], None
+    for hour in range(edges[0] // _HOUR_MICROS, edges[-1] // _HOUR_MICROS + 1):
+        own = inside.get(hour, [])
+        rows.append((hour, before, own))
+        before = own[-1] if own else before
+    return runs.sparkSession.createDataFrame(rows, "hour BIGINT, before BIGINT, edges ARRAY<BIGINT>")
 
 
 def backfill_rollup(
@@ -68,8 +60,9 @@ def backfill_rollup(
 ) -> DataFrame:
     """The rollup of every report instant, as rows of one table with a ``report_ts``.
 
-    Within a slot, all facts are in the same windows. So the facts are first counted per slot,
-    each of them once, and only those counts are then spread over the runs that hold the slot.
+    The edges of all windows cut time into slots; within one, all facts are in the same windows. Each
+    fact finds its slot by its hour, is counted there once, and never shuffled. Only these counts are
+    then spread over the runs that hold the slot.
     """
     spark = facts.sparkSession
     with session_zone(spark, tz):
@@ -85,21 +78,25 @@ def backfill_rollup(
                 F.sequence(utc_day(F.col("n_30d")), utc_day(F.col("anchor")), F.expr("INTERVAL 1 DAY"))
             ),
         )
-        slots = _slots(runs, run_days)
-        if len(report_instants) <= BROADCAST_INSTANTS:
-            slots, run_days = F.broadcast(slots), F.broadcast(run_days)
-
+        hours = _hours(runs)
         stamps = _sorted_stamps(report_instants)
         first, last = instant(stamps[0]) - LAST_30D.interval, instant(stamps[-1])
         event_time = F.col("timestamp")
-        day = F.col(EVENT_DATE) if EVENT_DATE in facts.columns else utc_day(event_time)
+        micros = F.unix_micros(event_time)
+        hour = F.floor(micros / _HOUR_MICROS)
+        passed = F.array_max(F.filter("edges", lambda edge: edge <= F.col("micros")))
         counts = (
-            facts.where(event_time.between(first, last))
-            .where(day.between(utc_day(first), utc_day(last)))
-            .select("site", "failure_type", "timestamp", day.alias("day"))
-            .join(slots, "day")
-            .where(event_time.between(F.col("at"), F.col("until")))
-            .select("at", "site", "failure_type", day_bucket(event_time).alias("date"))
+            between_days(facts, first, last)
+            .where(event_time.between(first, last))
+            .select(
+                "site",
+                "failure_type",
+                day_bucket(event_time).alias("date"),
+                micros.alias("micros"),
+                hour.alias("hour"),
+            )
+            .join(F.broadcast(hours), "hour")  # one row per hour: 88,000 for ten years
+            .withColumn("at", F.timestamp_micros(F.coalesce(passed, F.col("before"))))
             .groupingSets(
                 [["at", "site"], ["at", "failure_type", "date"]],
                 "at",

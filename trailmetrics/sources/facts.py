@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,7 @@ FACT_SCHEMA = T.StructType(
     ]
 )
 EVENT_DATE = "event_date"
+_MARK = "trailmetrics.utc_day"
 
 
 class FactSchemaError(ValueError):
@@ -37,22 +38,46 @@ def check_fact_schema(facts: DataFrame) -> DataFrame:
 
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
-    """Lazy scan of a Parquet fact table; a missing path fails here, before any job."""
-    return check_fact_schema(spark.read.parquet(path))
+    """Lazy scan of a Parquet fact table; a missing path fails here, before any job.
+
+    The day partitions of a table that ``write_facts`` stored are marked, so that windows prune
+    by them. Any other column, whatever its name, is data and never decides what is read.
+    """
+    facts = check_fact_schema(spark.read.parquet(path))
+    day = facts.schema["timestamp"].metadata.get(_MARK)
+    kinds = {field.name: field.dataType for field in facts.schema}
+    if kinds.get(day) != T.DateType():
+        return facts
+    return facts.withMetadata(day, {_MARK: day})
+
+
+def day_column(facts: DataFrame) -> str | None:
+    """The column that is known to hold the UTC day of ``timestamp``: marked by ``read_facts``."""
+    return next((f.name for f in facts.schema if f.metadata.get(_MARK) == f.name), None)
 
 
-def write_facts(facts: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Store facts by UTC day.
+def write_facts(
+    facts: DataFrame, path: str, mode: str = "errorifexists", day: str = EVENT_DATE
+) -> None:
+    """Store facts, with all their columns, by UTC day.
 
     REBALANCE lets adaptive execution split a hot day over several tasks and merge quiet
-    ones, so files keep an even size; sorting by time keeps row-group bounds tight.
+    ones, so files keep an even size; sorting by time keeps row-group bounds tight. The name of
+    the day column goes into the metadata of ``timestamp``, by which ``read_facts`` knows it.
     """
+    others = [name for name in facts.columns if name != day_column(facts)]
+    if day in others:
+        raise FactSchemaError(f"{day} is a column of the facts; name another one for the days")
+    marked = [
+        F.col(name).alias(name, metadata={_MARK: day}) if name == "timestamp" else F.col(name)
+        for name in others
+    ]
     (
-        facts.select(*FACT_SCHEMA.names, utc_day(F.col("timestamp")).alias(EVENT_DATE))
-        .hint("rebalance", EVENT_DATE)
-        .sortWithinPartitions(EVENT_DATE, "timestamp")
+        facts.select(*marked, utc_day(F.col("timestamp")).alias(day))
+        .hint("rebalance", day)
+        .sortWithinPartitions(day, "timestamp")
         .write.mode(mode)
-        .partitionBy(EVENT_DATE)
+        .partitionBy(day)
         .parquet(path)
     )
 
@@ -70,11 +95,15 @@ def facts_in_window(facts: DataFrame, report_ts: str, window: Trailing) -> DataF
 
 def prune_days(facts: DataFrame, report_ts: str, window: Trailing) -> DataFrame:
     """Keep the day partitions a window can touch; facts without them pass unchanged."""
-    if EVENT_DATE not in facts.columns:
-        return facts
     anchor = instant(report_ts)
+    return between_days(facts, anchor - window.interval, anchor)
+
+
+def between_days(facts: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Keep the day partitions from ``first`` to ``last`` and one more on each side."""
+    day = day_column(facts)
+    if day is None:
+        return facts
     return facts.where(
-        F.col(EVENT_DATE).between(
-            F.date_sub(utc_day(anchor - window.interval), 1), F.date_add(utc_day(anchor), 1)
-        )
+        F.col(day).between(F.date_sub(utc_day(first), 1), F.date_add(utc_day(last), 1))
     )
