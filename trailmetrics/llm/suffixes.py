@@ -125,6 +125,12 @@ def _words(data: np.ndarray, at: int, n: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(data, 8)[at : at + n].copy().view(np.uint64).ravel()
 
 
+def remixed(hashes: np.ndarray) -> np.ndarray:
+    """Least hashes, which are all small, spread evenly over 64 bits again; no two become one."""
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return hashes ^ (hashes >> np.uint64(29))
+
+
 def anchors(data: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash, first and last start of each unit of a text; a unit ends where a stretch does."""
     found: list[tuple] = []
@@ -148,7 +154,7 @@ def anchors(data: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.nd
             reach += step
         place = (least & low_bits).astype(np.int64)
         first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        found.append((a[place[first]], first + low, np.append(first[1:], n) - 1 + low))
+        found.append((remixed(a[place[first]]), first + low, np.append(first[1:], n) - 1 + low))
     if not found:
         none = np.empty(0, dtype=np.int64)
         return none.astype(np.uint64), none, none
