@@ -469,6 +469,18 @@ def all_oracles() -> dict[str, str]:
         ),
         **_payloads(ts),
         "payload_roundtrip": _all_items(ts),
+        "payload_exceptions_paged": (
+            "SELECT CAST((position - 1) // 100 AS INTEGER) AS page, position, failure_type, \"count\" FROM ("
+            'SELECT row_number() OVER (ORDER BY "count" DESC, failure_type) AS position, * FROM ('
+            f'SELECT document_id AS failure_type, count(*) AS "count" FROM facts WHERE {_between(ts, "7d")}'
+            " GROUP BY ALL))"
+        ),
+        "run_status": (
+            f"SELECT '{_run_id(EARLIER_TS)}' AS run_id, 'SUCCESS' AS status, count(*) AS failures_last_7d"
+            f" FROM facts WHERE {_between(EARLIER_TS, '7d')} UNION ALL"
+            f" SELECT '{_run_id(ts)}', CASE WHEN count(*) > 0 THEN 'ERROR' ELSE 'SUCCESS' END, NULL"
+            f" FROM facts WHERE {_between(ts, '30d')}"
+        ),
         **_contracts(ts),
         "run_history": f"{_run_items(EARLIER_TS)} UNION ALL {_run_items(ts)}",
         "latest_run": _latest(ts),

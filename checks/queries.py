@@ -22,6 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 GENERATED_AT = "2024-01-30T12:00:05+00:00"
 EARLIER_TS = "2024-01-29T12:00:00Z"
+PAGED = 100
 WINDOWS = {"24h": windows.LAST_24H, "7d": windows.LAST_7D, "30d": windows.LAST_30D}
 
 
@@ -149,6 +150,32 @@ def payload(spark: SparkSession, sf_dir: str, artifact: str) -> DataFrame:
     return documents.items(document, artifact).drop(documents.PAGE)
 
 
+def payload_exceptions_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exceptions document of facts with a type of their own each, in pages of 100."""
+    facts = EVENTS.facts(spark, sf_dir).withColumn("failure_type", F.col("document_id"))
+    types = catalog.metric("exceptions_7d", facts, EVENTS.report_ts)
+    meta = documents.stamps(EVENTS.report_ts, GENERATED_AT)
+    document = documents.exceptions(types, meta, fixed.EXCEPTIONS_WINDOW_DAYS, page_items=PAGED)
+    items = documents.items(document, fixed.EXCEPTIONS)
+    return items.select(
+        "page", (F.col("page") * PAGED + F.col("position")).alias("position"), "failure_type", "count"
+    )
+
+
+def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run's status; the later one counts failures without a site, which its contract refuses."""
+    root = scratch_path(spark, "statuses")
+    facts = EVENTS.facts(spark, sf_dir)
+    publish.publish_run(spark, facts, root, EARLIER_TS, GENERATED_AT)
+    nameless = facts.withColumn("site", F.lit(None).cast("string"))
+    try:
+        publish.publish_run(spark, nameless, root, EVENTS.report_ts, GENERATED_AT)
+    except contracts.ContractViolation:
+        pass
+    runs = history.run_status(history.all_attempts(spark, root))
+    return runs.select("run_id", "status", F.col("metrics")["failures_last_7d"].alias("failures_last_7d"))
+
+
 _ITEM_FIELDS = {
     fixed.SUMMARY: ("site", "failures"),
     fixed.TREND_30D: ("date", "failures"),
@@ -344,7 +371,9 @@ def all_queries() -> dict[str, Query]:
         "payload_trend_30d": partial(payload, artifact=fixed.TREND_30D),
         "payload_top_sites": partial(payload, artifact=fixed.TOP_SITES),
         "payload_exceptions": partial(payload, artifact=fixed.EXCEPTIONS),
+        "payload_exceptions_paged": payload_exceptions_paged,
         "payload_roundtrip": payload_roundtrip,
+        "run_status": run_status,
         "contract_summary": partial(contract, artifact=fixed.SUMMARY),
         "contract_trend_30d": partial(contract, artifact=fixed.TREND_30D),
         "contract_top_sites": partial(contract, artifact=fixed.TOP_SITES),

@@ -83,8 +83,9 @@ def test_many_failure_types_fill_pages_in_order_and_lose_none(spark):
         F.format_string("TYPE_%05d", "id").alias("failure_type"), (F.col("id") % 7).alias("count")
     )
     meta = documents.stamps(R, GENERATED_AT)
-    pages = as_python(documents.exceptions(types, meta, 7, pages=6), fixed.EXCEPTIONS)
-    assert len(pages) > 1 and max(len(p["exceptions"]) for p in pages) < 2_500
+    document = documents.exceptions(types, meta, 7, page_items=900).orderBy("page")
+    pages = as_python(document, fixed.EXCEPTIONS)
+    assert [len(p["exceptions"]) for p in pages] == [900] * 5 + [500]
     (whole,) = as_python(documents.exceptions(types, meta, 7), fixed.EXCEPTIONS)
     assert [item for page in pages for item in page["exceptions"]] == whole["exceptions"]
     assert len(whole["exceptions"]) == 5_000

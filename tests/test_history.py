@@ -84,15 +84,28 @@ def test_a_run_that_stopped_half_way_is_invisible_and_can_be_repeated(spark, fac
     assert found.count() == 5 and {r.run_id for r in found.collect()} == {RUN2}
 
 
-def test_of_two_racing_commits_the_first_counts(spark, facts, root):
+@pytest.mark.parametrize("seconds", [1, -1])
+def test_of_two_racing_commits_the_first_counts_whatever_its_stamp(spark, facts, root, seconds):
     publish.publish_run(spark, facts, root, R)
     row = history.committed_runs(spark, root)
-    loser = row.withColumns({"attempt": F.lit("a-0"), "committed_at": F.col("committed_at") + F.expr("INTERVAL 1 SECOND")})
+    later = F.col("committed_at") + F.expr(f"INTERVAL {seconds} SECOND")
     kept = row.first().attempt
-    history.commit(loser, root)
+    with pytest.raises(history.RunAlreadyPublished):
+        history.commit(row.withColumns({"attempt": F.lit("a-0"), "committed_at": later}), root)
     assert [r.attempt for r in history.committed_runs(spark, root).collect()] == [kept]
 
 
+def test_reading_creates_nothing_and_needs_no_right_to_write(spark, facts, root):
+    with pytest.raises(history.RunNotReadable):
+        history.open_current(spark, f"{root}/nothing")
+    assert rows(history.committed_runs(spark, f"{root}/nothing")) == []
+    assert not Path(f"{root}/nothing").exists()
+    publish.publish_run(spark, facts, root, R)
+    before = sorted(str(p) for p in Path(root).rglob("*"))
+    assert len(current(spark, root)) == 5
+    assert sorted(str(p) for p in Path(root).rglob("*")) == before
+
+
 @pytest.mark.parametrize("row, rule", [
     ((None, 0, "T"), "top_sites.site is missing"),
     (("s", 0, None), "exceptions.failure_type is missing"),
@@ -103,6 +116,9 @@ def test_a_broken_contract_leaves_nothing(spark, make_facts, root, row, rule):
         publish.publish_run(spark, facts, root, R)
     assert not (Path(root) / "documents").exists()
     assert rows(history.committed_runs(spark, root)) == []
+    assert [r.status for r in history.run_status(history.all_attempts(spark, root)).collect()] == [fixed.STATUS_ERROR]
+    with pytest.raises(history.RunNotReadable, match="has status ERROR"):
+        history.open_current(spark, root)
 
 
 def test_empty_facts_are_published(spark, make_facts, root):
@@ -121,10 +137,24 @@ def commit_copy(spark, root, run_id, **changes):
     history.commit(row.withColumns(columns), root)
 
 
-def test_runs_in_error_are_passed_over(spark, facts, root):
+def test_a_newest_run_in_error_is_told_and_passed_over_only_on_request(spark, facts, make_facts, root):
     publish.publish_run(spark, facts, root, R)
-    commit_copy(spark, root, RUN2, status=F.lit(fixed.STATUS_ERROR))
-    assert {run for run, _ in current(spark, root).values()} == {RUN}
+    with pytest.raises(contracts.ContractViolation):
+        publish.publish_run(spark, make_facts([(None, at(R2), "T")]), root, R2)
+    with pytest.raises(history.RunNotReadable, match=f"{RUN2}, the newest run, has status ERROR"):
+        history.open_current(spark, root)
+    assert {r.run_id for r in history.open_current(spark, root, last_good=True).collect()} == {RUN}
+    publish.publish_run(spark, facts, root, R2)
+    assert {run for run, _ in current(spark, root).values()} == {RUN2}
+
+
+def test_a_lost_page_is_reported(spark, make_facts, root):
+    facts = make_facts([("s", at(R), f"TYPE_{i:04d}") for i in range(60)])
+    publish.publish_run(spark, facts, root, R, page_items=20)
+    runs, stored = history.committed_runs(spark, root), history.stored_documents(spark, root)
+    assert rows(history.missing_artifacts(runs, stored)) == []
+    left = stored.where("NOT (artifact = 'exceptions.json' AND page = 1)")
+    assert rows(history.missing_artifacts(runs, left)) == [(RUN, fixed.EXCEPTIONS, "stored in part")]
 
 
 def test_an_incomplete_run_is_not_read(spark, facts, root):

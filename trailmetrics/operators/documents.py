@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmetrics import fixed_values as fixed
 from trailmetrics.functions import windows
-
+from trailmetrics.session import materialise
 
 
 def _struct(**fields: T.DataType) -> T.StructType:
@@ -68,6 +69,8 @@ ITEMS = {
 }
 
 PAGE = "page"
+# Items of one exceptions document; the list goes on in the next page.
+PAGE_ITEMS = 10_000
 
 
 def stamps(report_ts: str, generated_at: str) -> dict[str, Column]:
@@ -131,25 +134,39 @@ def top_sites(sites: DataFrame, meta: Mapping[str, Column], window_days: int) ->
     )
 
 
+def ranked(rows: DataFrame, order: Sequence[Column], label: str) -> DataFrame:
+    """Stored rows with their global ``position`` from 1 in ``order``.
+
+    Sorting is by ranges; a row's position is its place in its range and the rows of the ranges before,
+    of which the offsets table has one row each.
+    """
+    place = F.monotonically_increasing_id()  # range number in the upper bits, place in it in the lower
+    numbered = materialise(rows.orderBy(*order).withColumn("place", place), label)
+    split = numbered.withColumn("range", F.shiftright("place", 33))
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = split.groupBy("range").agg(F.count("*").alias("n"))
+    offsets = offsets.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = F.col("place").bitwiseAND((1 << 33) - 1)
+    return split.join(F.broadcast(offsets), "range").select(
+        *rows.columns, (F.col("offset") + inside + 1).alias("position")
+    )
+
+
 def exceptions(
-    types: DataFrame, meta: Mapping[str, Column], window_days: int, pages: int = 1
+    types: DataFrame, meta: Mapping[str, Column], window_days: int, page_items: int = PAGE_ITEMS
 ) -> DataFrame:
-    """The count of every failure type: one document, or ``pages`` of them in order.
+    """The count of every failure type, in pages of ``page_items`` by position.
 
-    Types have no proven bound. Callers count them first and ask for more pages when one array
-    would grow too long: range partitioning then gives each page a slice of the sorted list, and
-    all pages together hold it whole.
+    Types have no proven bound, so no array holds more than a page; few types make one page, and none an empty one.
     """
     order = _largest_first("count", "failure_type")
-    items = _in_order(order, F.struct("count", "failure_type")).alias("exceptions")
-    if pages > 1:
-        document = (
-            types.repartitionByRange(pages, *order)
-            .groupBy(F.spark_partition_id().alias(PAGE))
-            .agg(items)
-        )
-    else:
-        document = types.agg(items).withColumn(PAGE, F.lit(0))
+    paged = ranked(types.select("failure_type", "count"), order, "exceptions")
+    paged = paged.withColumn(PAGE, F.floor((F.col("position") - 1) / page_items).cast("int"))
+    items = _in_order([F.col("position")], F.struct("count", "failure_type"))
+    pages = paged.groupBy(PAGE).agg(items.alias("exceptions"))
+    first = types.sparkSession.range(1).select(F.lit(0).alias(PAGE))
+    none = F.array().cast(DOCUMENT_SCHEMAS[fixed.EXCEPTIONS]["exceptions"].dataType)
+    document = first.join(pages, PAGE, "full").withColumn("exceptions", F.coalesce("exceptions", none))
     return _shaped(
         document.withColumns({**meta, "window_days": F.lit(window_days)}), fixed.EXCEPTIONS
     )
@@ -176,7 +193,7 @@ def manifest(
 
 
 def payload_documents(
-    metrics: Mapping[str, DataFrame], report_ts: str, generated_at: str, exception_pages: int = 1
+    metrics: Mapping[str, DataFrame], report_ts: str, generated_at: str, page_items: int = PAGE_ITEMS
 ) -> dict[str, DataFrame]:
     """The four payload documents of a run, from the metrics of the catalog or of a rollup."""
     meta = stamps(windows.normalise_report_ts(report_ts), generated_at)
@@ -190,7 +207,7 @@ def payload_documents(
         fixed.TREND_30D: trend(metrics["trend_30d"], meta),
         fixed.TOP_SITES: top_sites(metrics["top_sites_30d"], meta, fixed.TOP_SITES_WINDOW_DAYS),
         fixed.EXCEPTIONS: exceptions(
-            metrics["exceptions_7d"], meta, fixed.EXCEPTIONS_WINDOW_DAYS, exception_pages
+            metrics["exceptions_7d"], meta, fixed.EXCEPTIONS_WINDOW_DAYS, page_items
         ),
     }
 

@@ -1,4 +1,4 @@
-"""All metrics of a run in one pass over the facts."""
+"""All metrics of a run in one job over the facts."""
 
 from __future__ import annotations
 

@@ -18,6 +18,7 @@ from trailmetrics.functions.windows import (
     run_id,
     utc_day,
 )
+from trailmetrics.operators import documents
 from trailmetrics.plans import history, publish
 from trailmetrics.session import materialise, session_zone
 from trailmetrics.sources.facts import between_days, check_fact_schema
@@ -129,7 +130,7 @@ def backfill_runs(
     generated_at: str | None = None,
     k: int = fixed.TOP_K,
     tz: str = "UTC",
-    page_items: int = publish.PAGE_ITEMS,
+    page_items: int = documents.PAGE_ITEMS,
 ) -> list[publish.PublishedRun]:
     """Publish the runs of all report instants that are not committed yet, oldest first.
 

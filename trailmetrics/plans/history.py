@@ -3,21 +3,27 @@
 Layout below one root::
 
     documents/run_id=…/attempt=…/artifact=…/page=…/   one line of JSON each
-    registry/                                          one row per committed run
+    registry/month=…/<run id>.json                     a committed run, created once and never replaced
+    registry/month=…/<run id>.<attempt>.failed.json    an attempt that broke a contract
 
-A run exists once its registry row does. Documents of an attempt that never got there stay
-invisible, so nothing is ever overwritten under a reader and a restart simply tries again.
+A run exists once its registry object does. It is created under the run's name on the condition that there
+is none yet, so of attempts that race the first wins whatever their clocks say. Documents of an
+attempt that never got there stay invisible: nothing is overwritten under a reader and a restart
+simply tries again. Reading writes nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmetrics import fixed_values as fixed
+from trailmetrics.operators.contracts import run_consistency
 
 PARTITIONS = ("run_id", "attempt", "artifact", "page")
 
@@ -41,6 +47,8 @@ REGISTRY_SCHEMA = T.StructType(
         T.StructField("attempt", T.StringType()),
         T.StructField("committed_at", T.TimestampType()),
         T.StructField("metrics", T.MapType(T.StringType(), T.LongType())),
+        T.StructField("pages", T.MapType(T.StringType(), T.LongType())),
+        T.StructField("failed", T.BooleanType()),
     ]
 )
 
@@ -64,19 +72,86 @@ def store_documents(documents: DataFrame, root: str, run_id: str, attempt: str)
     )
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, hadoop = _file_system(spark, path)
+    return files.exists(hadoop)
+
+
+def _create(spark: SparkSession, path: str, text: str) -> None:
+    """Creates an object unless there is one of that name; the store decides between two writers."""
+    files, hadoop = _file_system(spark, path)
+    files.mkdirs(hadoop.getParent())
+    try:
+        stream = files.create(hadoop, False)
+    except Py4JJavaError as error:
+        if files.exists(hadoop):
+            raise RunAlreadyPublished(f"{path} is there already") from error
+        raise
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
+def _registry_text(registry_row: DataFrame) -> tuple[str, str, str]:
+    columns = [
+        F.col(f.name) if f.name in registry_row.columns else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in REGISTRY_SCHEMA
+    ]
+    row = registry_row.select("run_id", "attempt", F.to_json(F.struct(*columns)).alias("text")).first()
+    return row.run_id, row.attempt, row.text
+
+
 def commit(registry_row: DataFrame, root: str) -> None:
-    """Append the registry row that makes a run visible; the last write of a run."""
-    row = registry_row.select(*REGISTRY_SCHEMA.names).coalesce(1)
-    row.write.mode("append").parquet(f"{root}/registry")
+    """Create the registry object that makes a run visible; the last write of a run.
+
+    RunAlreadyPublished if another attempt was first.
+    """
+    run_id, _, text = _registry_text(registry_row)
+    _create(registry_row.sparkSession, f"{root}/registry/month={run_id[:6]}/{run_id}.json", text)
+
+
+def record_failure(registry_row: DataFrame, root: str) -> None:
+    """Note an attempt that came to nothing, so that readers learn of it; it blocks no later one."""
+    run_id, attempt, text = _registry_text(registry_row)
+    path = f"{root}/registry/month={run_id[:6]}/{run_id}.{attempt}.failed.json"
+    _create(registry_row.sparkSession, path, text)
+
+
+def _months(spark: SparkSession, root: str) -> list[str]:
+    """Paths of the registry's months, the newest first; the driver lists a folder per month."""
+    if not _exists(spark, f"{root}/registry"):
+        return []
+    files, hadoop = _file_system(spark, f"{root}/registry")
+    names = [status.getPath().getName() for status in files.listStatus(hadoop)]
+    return [f"{root}/registry/{name}" for name in sorted(names, reverse=True) if name.startswith("month=")]
+
+
+def _registry(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Rows of some months; an object without a whole row counts as none."""
+    if not paths:
+        return spark.createDataFrame([], REGISTRY_SCHEMA)
+    rows = spark.read.schema(REGISTRY_SCHEMA).json(paths)
+    return rows.where(F.col("run_id").isNotNull() & F.col("attempt").isNotNull())
+
+
+def all_attempts(spark: SparkSession, root: str) -> DataFrame:
+    """Registry rows of committed runs and of attempts that failed."""
+    return _registry(spark, _months(spark, root))
 
 
 def committed_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Registry rows, one per run: should two attempts race, the one committed first counts."""
-    path = f"{root}/registry"
-    spark.createDataFrame([], REGISTRY_SCHEMA).write.mode("ignore").parquet(path)
-    rows = spark.read.schema(REGISTRY_SCHEMA).parquet(path)
-    first = F.min_by(F.struct("*"), F.struct("committed_at", "attempt"))
-    return rows.groupBy("run_id").agg(first.alias("run")).select("run.*")
+    """Registry rows of the committed runs, one each."""
+    return all_attempts(spark, root).where(~F.col("failed"))
+
+
+def run_status(attempts: DataFrame) -> DataFrame:
+    """One row per run: its committed row, or the last failed attempt if there is none."""
+    last = F.max_by(F.struct("*"), F.struct(~F.col("failed"), "committed_at", "attempt"))
+    return attempts.groupBy("run_id").agg(last.alias("run")).select("run.*")
 
 
 def stored_documents(spark: SparkSession, root: str) -> DataFrame:
@@ -87,6 +162,14 @@ def stored_documents(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(STORED_SCHEMA).text(f"{root}/documents")
 
 
+def documents_of(spark: SparkSession, root: str, run_id: str, attempt: str) -> DataFrame:
+    """The documents of one attempt; only its own folder is listed."""
+    path = f"{root}/documents/run_id={run_id}/attempt={attempt}"
+    if not _exists(spark, path):
+        return spark.createDataFrame([], STORED_SCHEMA)
+    return spark.read.option("basePath", f"{root}/documents").schema(STORED_SCHEMA).text(path)
+
+
 def committed_documents(runs: DataFrame, documents: DataFrame) -> DataFrame:
     return documents.join(runs.select("run_id", "attempt"), ["run_id", "attempt"], "left_semi")
 
@@ -113,32 +196,51 @@ def current_documents(runs: DataFrame, documents: DataFrame) -> DataFrame:
 def missing_artifacts(
     runs: DataFrame, documents: DataFrame, required: Sequence[str] = fixed.PAYLOAD_ARTIFACTS
 ) -> DataFrame:
-    """``(run_id, artifact, reason)`` for required documents a run does not list or does not have."""
+    """``(run_id, artifact, reason)`` for required documents a run does not list, lacks, or lacks pages of."""
+    keys = ["run_id", "attempt", "artifact"]
     wanted = runs.select(
         "run_id",
         "attempt",
         F.explode(F.array(*map(F.lit, required))).alias("artifact"),
         "artifacts",
+        "pages",
     )
-    listed = F.coalesce(F.array_contains("artifacts", F.col("artifact")), F.lit(False))
-    absent = wanted.where(listed).join(documents, ["run_id", "attempt", "artifact"], "left_anti")
-    return (
-        wanted.where(~listed)
-        .select("run_id", "artifact", F.lit("not listed").alias("reason"))
-        .unionAll(absent.select("run_id", "artifact", F.lit("not stored")))
+    stored = documents.groupBy(*keys).agg(F.count_distinct("page").alias("stored"))
+    expected = F.coalesce(F.col("pages")[F.col("artifact")], F.lit(1))
+    reason = (
+        F.when(~F.coalesce(F.array_contains("artifacts", F.col("artifact")), F.lit(False)), "not listed")
+        .when(F.col("stored").isNull(), "not stored")
+        .when(F.col("stored") < expected, "stored in part")
     )
+    found = wanted.join(stored, keys, "left").withColumn("reason", reason)
+    return found.where(F.col("reason").isNotNull()).select("run_id", "artifact", "reason")
+
 
+def open_current(spark: SparkSession, root: str, last_good: bool = False) -> DataFrame:
+    """The current documents, or RunNotReadable when they must not be shown as current.
 
-def open_current(spark: SparkSession, root: str) -> DataFrame:
-    """The current documents, or RunNotReadable when there is no complete run to read."""
-    runs = committed_runs(spark, root)
-    newest = latest_run(runs)
-    if newest.isEmpty():
+    The newest run has to have succeeded, be whole, and agree with itself. ``last_good`` asks for the
+    newest run that did, whatever came after it.
+    """
+    newest = None
+    for month in _months(spark, root):
+        runs = run_status(_registry(spark, [month]))
+        if last_good:
+            runs = runs.where(F.col("status") == fixed.STATUS_SUCCESS)
+        newest = runs.orderBy(F.desc("run_id")).limit(1)
+        if not newest.isEmpty():
+            break
+    row = newest.first() if newest is not None else None
+    if row is None:
         raise RunNotReadable(f"no run with status {fixed.STATUS_SUCCESS} below {root}")
-    documents = stored_documents(spark, root)
+    if row.status != fixed.STATUS_SUCCESS:
+        raise RunNotReadable(f"{row.run_id}, the newest run, has status {row.status}")
+    documents = documents_of(spark, root, row.run_id, row.attempt)
     missing = missing_artifacts(newest, documents).orderBy("artifact").collect()
-    if missing:
-        raise RunNotReadable(
-            "; ".join(f"{m.run_id}: {m.artifact} is {m.reason}" for m in missing)
-        )
-    return current_documents(runs, documents)
+    faults = [f"{m.run_id}: {m.artifact} is {m.reason}" for m in missing]
+    if not missing:
+        differing = run_consistency(documents).where("violations > 0").collect()
+        faults = [f"{row.run_id}: {found.rule}" for found in differing]
+    if faults:
+        raise RunNotReadable("; ".join(faults))
+    return documents

@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import logging
-import math
 import uuid
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmetrics import fixed_values as fixed
 from trailmetrics.functions import windows
 from trailmetrics.operators import documents as docs
-from trailmetrics.operators.contracts import check_documents
+from trailmetrics.operators.contracts import ContractViolation, check_documents
 from trailmetrics.operators.rollup import metrics_of, rollup
 from trailmetrics.plans import history
 from trailmetrics.session import materialise
@@ -23,9 +22,6 @@ from trailmetrics.sources.facts import check_fact_schema
 
 log = logging.getLogger(__name__)
 
-# Longest array of one exceptions document; more failure types than this make more pages.
-PAGE_ITEMS = 10_000
-
 
 @dataclass(frozen=True)
 class PublishedRun:
@@ -40,22 +36,33 @@ def utc_now() -> str:
     return datetime.now(timezone.utc).replace(microsecond=0).isoformat()
 
 
+def _map(numbers: dict[str, int]) -> Column:
+    entries = [column for name, n in numbers.items() for column in (F.lit(name), F.lit(n))]
+    return F.create_map(*entries).cast("map<string,bigint>")
+
+
 def _run_metrics(documents: dict[str, DataFrame]) -> DataFrame:
-    """One row with a map: the two totals, and the number of items per payload document."""
+    """One row: the two totals and the number of items per payload document, and of pages of each."""
     totals = documents[fixed.SUMMARY].selectExpr(
         "stack(2, 'failures_last_24h', failures_last_24h, 'failures_last_7d', failures_last_7d)"
-        " AS (name, n)"
+        " AS (name, n)",
+        "CAST(NULL AS STRING) AS artifact",
     )
     sizes = [
-        documents[artifact].select(
+        document.select(
             F.lit(artifact.removesuffix(".json")).alias("name"),
             F.array_size(docs.ITEMS[artifact]).cast("bigint").alias("n"),
+            F.lit(artifact).alias("artifact"),
         )
-        for artifact in (fixed.TREND_30D, fixed.TOP_SITES, fixed.EXCEPTIONS)
+        for artifact, document in documents.items()
     ]
-    named = reduce(DataFrame.unionAll, sizes, totals).groupBy("name").agg(F.sum("n").alias("n"))
+    named = reduce(DataFrame.unionAll, sizes, totals).groupBy("name", "artifact")
+    named = named.agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
+    listed = F.when(~F.col("artifact").eqNullSafe(fixed.SUMMARY), F.struct("name", "n"))
+    paged = F.when(F.col("artifact").isNotNull(), F.struct("artifact", "pages"))
     return named.agg(
-        F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias("metrics")
+        F.map_from_entries(F.collect_list(listed)).alias("metrics"),
+        F.map_from_entries(F.collect_list(paged)).alias("pages"),
     )
 
 
@@ -67,20 +74,22 @@ def publish_run(
     generated_at: str | None = None,
     k: int = fixed.TOP_K,
     tz: str = "UTC",
-    page_items: int = PAGE_ITEMS,
+    page_items: int = docs.PAGE_ITEMS,
+    shared_scan: bool = False,
 ) -> PublishedRun:
     """Compute, check and store one run below ``root``; see ``history`` for the layout.
 
-    The facts are scanned once. All contracts are checked before the first document is written,
-    and the run becomes visible with the very last write. Publishing a committed run again is
-    refused; a run that stopped half-way is simply published anew.
+    One job counts all windows, in two scans of the columns each grain needs, or with ``shared_scan`` in
+    one; see ``rollup``. All contracts are checked before the first document is written, and the run becomes
+    visible with the very last write; if one is broken, only that is recorded. Publishing a
+    committed run again is refused; a run that stopped half-way is simply published anew.
     """
     check_fact_schema(facts)
     report_ts = windows.normalise_report_ts(report_ts)
     run_id = windows.run_id_of(report_ts)
     if not history.committed_runs(spark, root).where(F.col("run_id") == run_id).isEmpty():
         raise history.RunAlreadyPublished(f"{run_id} is committed below {root}")
-    rolled = materialise(rollup(facts, report_ts, tz), "rollup")
+    rolled = materialise(rollup(facts, report_ts, tz, shared_scan=shared_scan), "rollup")
     return publish_rollup(rolled, root, report_ts, generated_at, k, tz, page_items)
 
 
@@ -91,43 +100,45 @@ def publish_rollup(
     generated_at: str | None = None,
     k: int = fixed.TOP_K,
     tz: str = "UTC",
-    page_items: int = PAGE_ITEMS,
+    page_items: int = docs.PAGE_ITEMS,
 ) -> PublishedRun:
     """What follows the rollup of a run that is not committed yet: check, store, commit."""
     spark, run_id = rolled.sparkSession, windows.run_id_of(report_ts)
     attempt = f"a-{uuid.uuid4()}"
     metrics = metrics_of(rolled, report_ts, k, tz, ordered=False)
     generated_at = generated_at or utc_now()
-    pages = max(1, math.ceil(metrics["exceptions_7d"].count() / page_items))
-    payloads = docs.payload_documents(metrics, report_ts, generated_at, pages)
+    payloads = docs.payload_documents(metrics, report_ts, generated_at, page_items)
     payloads = {artifact: document.persist() for artifact, document in payloads.items()}
+    meta = docs.stamps(report_ts, generated_at)
+    registry = spark.range(1).select(
+        *[column.alias(name) for name, column in meta.items()],
+        F.lit(run_id).alias("run_id"),
+        F.lit(attempt).alias("attempt"),
+        F.current_timestamp().alias("committed_at"),
+    )
     try:
-        meta = docs.stamps(report_ts, generated_at)
         manifest = docs.manifest(spark, run_id, meta)
-        check_documents({**payloads, fixed.MANIFEST: manifest})
-
-        texts = [docs.as_json(document, artifact) for artifact, document in payloads.items()]
+        everything = {**payloads, fixed.MANIFEST: manifest}
+        try:
+            check_documents(everything)
+        except ContractViolation:
+            failed = {"status": F.lit(fixed.STATUS_ERROR), "failed": F.lit(True)}
+            history.record_failure(registry.withColumns(failed), root)
+            raise
+        texts = [docs.as_json(document, artifact) for artifact, document in everything.items()]
         history.store_documents(reduce(DataFrame.unionAll, texts), root, run_id, attempt)
-        history.store_documents(docs.as_json(manifest, fixed.MANIFEST), root, run_id, attempt)
-
-        counts = _run_metrics(payloads).persist()
-        numbers = counts.first()["metrics"]
-        history.commit(
-            counts.withColumns(
-                {
-                    **meta,
-                    "run_id": F.lit(run_id),
-                    "status": F.lit(fixed.STATUS_SUCCESS),
-                    "artifacts": F.array(*map(F.lit, fixed.PAYLOAD_ARTIFACTS)),
-                    "attempt": F.lit(attempt),
-                    "committed_at": F.current_timestamp(),
-                }
-            ),
-            root,
-        )
-        counts.unpersist()
+        counts = _run_metrics(payloads).first()
+        done = {
+            "status": F.lit(fixed.STATUS_SUCCESS),
+            "artifacts": F.array(*map(F.lit, fixed.PAYLOAD_ARTIFACTS)),
+            "metrics": _map(counts.metrics),
+            "pages": _map(counts.pages),
+            "failed": F.lit(False),
+        }
+        history.commit(registry.withColumns(done), root)
     finally:
         for document in payloads.values():
             document.unpersist()
+    numbers = counts.metrics
     log.info("published %s generated_at=%s %s", run_id, generated_at, numbers)
     return PublishedRun(run_id, report_ts, generated_at, attempt, numbers)
