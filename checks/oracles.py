@@ -342,6 +342,42 @@ def _stored_json() -> str:
     )
 
 
+def _event_contracts() -> dict[str, str]:
+    def events(condition: str) -> str:
+        return f"SELECT count(*) FROM events WHERE {condition}"
+
+    def differing(users: str, value: str) -> str:
+        return (
+            f"SELECT count(*) FROM (SELECT user_id FROM events WHERE {users} GROUP BY user_id"
+            f" HAVING count(DISTINCT {value}) > 1)"
+        )
+
+    manifests = dict.fromkeys(_MANIFEST_RULES, "0") | {
+        "generated_at is missing": events("user_id % 5 = 0"),
+        "artifacts is missing": events("event_id % 7 <> 0 AND event_id % 11 = 0"),
+        "artifacts item is missing": events("event_id % 7 = 0"),
+        "status is unknown": events("event_type = 'click'"),
+    }
+    values = [f"{name} has a wrong value" for name in _STORED_VALUES[fixed.SUMMARY]]
+    rules = ["text is not JSON", "keys differ", "document is missing", *values, *_STORED_ITEMS[fixed.SUMMARY]]
+    texts = dict.fromkeys(rules, "0") | {
+        "text is not JSON": events("event_type = 'error'"),
+        "keys differ": events("event_type = 'view'"),
+        "failures_last_24h has a wrong value": events("event_type = 'click'"),
+        "top_sites.site has a wrong value": events("event_type = 'signup'"),
+    }
+    return {
+        "contract_event_manifests": _rules(**manifests),
+        "contract_event_consistency": _rules(
+            **{
+                "report_ts differs within a run": differing("user_id % 3 = 0", "event_type"),
+                "generated_at differs within a run": differing("user_id % 4 = 0", "event_id"),
+            }
+        ),
+        "contract_event_json": _rules(**texts),
+    }
+
+
 def _manifest_items(report_ts: str) -> str:
     return " UNION ALL ".join(
         f"SELECT {_stamps(report_ts)}, '{_run_id(report_ts)}' AS run_id,"
@@ -497,6 +533,7 @@ def all_oracles() -> dict[str, str]:
         bound
         | by_client
         | {name: _with_facts(EVENTS, sql) for name, sql in on_events.items()}
+        | _event_contracts()
         | {
             "fact_write_client_roundtrip": (
                 f"WITH facts AS ({CLIENT_ORDERS_SQL})"

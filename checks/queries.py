@@ -262,6 +262,49 @@ def contract_stored_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def contract_event_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest for each event, of which some lack a stamp, a status or an artifact."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    manifests = events.select(
+        F.expr("CASE WHEN event_id % 7 = 0 THEN array('a', NULL) WHEN event_id % 11 <> 0 THEN array('a') END").alias("artifacts"),
+        F.when(F.col("user_id") % 5 != 0, F.lit(GENERATED_AT)).alias("generated_at"),
+        F.lit(EVENTS.report_ts).alias("report_ts"),
+        F.concat(F.lit("r"), F.col("event_id")).alias("run_id"),
+        F.lit(fixed.SCHEMA_VERSION).alias("schema_version"),
+        F.when(F.col("event_type") == "error", fixed.STATUS_ERROR)
+        .when(F.col("event_type") == "click", "CLICKED")
+        .otherwise(fixed.STATUS_SUCCESS)
+        .alias("status"),
+    )
+    return contracts.document_violations(manifests, fixed.MANIFEST)
+
+
+def contract_event_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run for each user with a document for each event, stamped differently by some."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stamped = F.struct(
+        F.when(F.col("user_id") % 3 == 0, F.col("event_type")).otherwise("t").alias("report_ts"),
+        F.when(F.col("user_id") % 4 == 0, F.col("event_id").cast("string")).otherwise("g").alias("generated_at"),
+    )
+    documents_ = events.select(F.col("user_id").alias("run_id"), F.to_json(stamped).alias("value"))
+    return contracts.run_consistency(documents_)
+
+
+def contract_event_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary for each event as text: some broken, some with a wrong key, number or item."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    number = F.when(F.col("event_type") == "click", F.lit('"5"')).otherwise(F.lit("5"))
+    key = F.when(F.col("event_type") == "view", F.lit("extra")).otherwise(F.lit("schema_version"))
+    site = F.when(F.col("event_type") == "signup", F.lit("7")).otherwise(F.lit('"s"'))
+    whole = F.concat(
+        F.lit('{"failures_last_24h":'), number, F.lit(',"failures_last_7d":9,"generated_at":"g","report_ts":"r","'), key,
+        F.lit('":"1","top_sites":[{"failures":1,"site":'), site, F.lit("}]}"),
+    )
+    text = F.when(F.col("event_type") == "error", F.substring(whole, 1, 40)).otherwise(whole)
+    stored = events.select(F.lit(fixed.SUMMARY).alias("artifact"), text.alias("value"))
+    return contracts.stored_json_violations(stored, fixed.SUMMARY)
+
+
 def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored_items(_history(spark, sf_dir)[1])
 
@@ -374,6 +417,9 @@ def all_queries() -> dict[str, Query]:
         "payload_exceptions_paged": payload_exceptions_paged,
         "payload_roundtrip": payload_roundtrip,
         "run_status": run_status,
+        "contract_event_manifests": contract_event_manifests,
+        "contract_event_consistency": contract_event_consistency,
+        "contract_event_json": contract_event_json,
         "contract_summary": partial(contract, artifact=fixed.SUMMARY),
         "contract_trend_30d": partial(contract, artifact=fixed.TREND_30D),
         "contract_top_sites": partial(contract, artifact=fixed.TOP_SITES),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+from urllib.parse import quote
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,9 @@ def main(arguments: list[str] | None = None) -> PublishedRun:
     facts, root = read_facts(spark, args.facts), args.root
     if args.client is not None:
         facts = facts.where(F.col("client") == args.client)
-        root = f"{root}/client={args.client}"
+        if facts.isEmpty():
+            parser.error(f"no facts of client {args.client!r}")
+        root = f"{root}/client={quote(args.client, safe='').replace('.', '%2E')}"
     run = publish_run(spark, facts, root, args.report_ts, tz=args.tz)
     open_current(spark, root)
     return run

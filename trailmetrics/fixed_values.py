@@ -30,7 +30,6 @@ EXCEPTIONS_WINDOW_DAYS = 7
 
 # Synthetic fact table.
 SYNTHETIC_SEED = 42
-SYNTHETIC_ROWS = 200
 SYNTHETIC_ANCHOR = "2026-03-07T12:00:00Z"
 SYNTHETIC_DAYS = 10
 SYNTHETIC_SITES = ("site_alpha", "site_bravo", "site_charlie", "site_delta", "site_echo")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from importlib import resources
+from importlib.resources.abc import Traversable
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -12,7 +14,8 @@ from trailmetrics.functions.windows import LAST_7D, LAST_24H, LAST_30D, normalis
 from trailmetrics.session import session_zone
 from trailmetrics.sources.facts import prune_days
 
-_SQL_FOLDER = Path(__file__).with_name("sql")
+# As a resource, so that the texts are found in a zipped package too.
+_SQL_FOLDER = resources.files(__package__) / "sql"
 
 # How far back each metric looks: the day partitions it has to open.
 _REACH = {
@@ -29,9 +32,14 @@ class MissingMetric(LookupError):
     """The catalog lacks a metric every run needs."""
 
 
-def load_catalog(folder: str | Path = _SQL_FOLDER) -> dict[str, str]:
+def load_catalog(folder: str | Path | Traversable = _SQL_FOLDER) -> dict[str, str]:
     """Texts by metric name; fails before any query when a required one is missing."""
-    catalog = {path.stem: path.read_text("utf-8") for path in sorted(Path(folder).glob("*.sql"))}
+    texts = Path(folder).iterdir() if isinstance(folder, str) else folder.iterdir()
+    catalog = {
+        text.name.removesuffix(".sql"): text.read_text("utf-8")
+        for text in sorted(texts, key=lambda text: text.name)
+        if text.name.endswith(".sql")
+    }
     missing = sorted(set(fixed.REQUIRED_METRICS) - catalog.keys())
     if missing:
         raise MissingMetric(f"no SQL for {', '.join(missing)} in {folder}")

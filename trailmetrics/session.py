@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,7 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(_CHECKPOINT_DIR, None)
     if folder:
         return folder
-    if spark.sparkContext.master.startswith("local"):
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # local-cluster has executors of its own
         return _local_folder(spark.sparkContext.applicationId)
     raise RuntimeError(f"set {_CHECKPOINT_DIR} to a folder shared by the cluster")
 
