@@ -33,12 +33,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmetrics.llm.common import digest_bucket, row_slices, table, text_bytes, words_of
+from trailmetrics.llm.packed import pack as _pack
+from trailmetrics.llm.packed import unpack as _unpack
 from trailmetrics.session import materialise
 
 ALPHA = 0.1
@@ -55,21 +56,6 @@ class _Numbers(dict):
         return number
 
 
-def _pack(values: np.ndarray, step: bool) -> bytes:
-    """Little-endian bytes of equal rank together, compressed; ``step`` for ascending values."""
-    if step and len(values):
-        values = np.concatenate([values[:1], np.diff(values)])
-    raw = values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(raw)
-
-
-def _unpack(packed: bytes, kind: type, step: bool) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8)
-    values = np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
-    return np.cumsum(values, dtype=kind) if step else values
-
-
 def blocks_of(docs: DataFrame, id_col: str, text_col: str, held_out: Column, tokens: int) -> DataFrame:
     """``block, doc_ids, held, lengths, words, numbers``: texts as numbers of the block's own words."""
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held"), F.col(text_col).alias("text"))
