@@ -14,10 +14,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from checks.bindings import LINEITEM
+from checks.bindings import EVENTS, LINEITEM
 from trailmetrics import fixed_values as fixed
 from trailmetrics.operators import catalog, rollup
-from trailmetrics.plans import publish
+from trailmetrics.plans import backfill, history, publish
 from trailmetrics.session import scratch_path
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -59,6 +59,12 @@ def main() -> None:
         spark, facts, root, f"1998-12-01T00:00:{i:02d}Z"
     )
 
+    events = EVENTS.facts(spark, SF_DIR)
+    instants = [f"2024-01-{day:02d}T12:00:00Z" for day in range(1, 31)]
+    actions["events_rollup"] = lambda _: all_rows(rollup.rollup(events, EVENTS.report_ts))
+    actions["backfill_rollup"] = lambda _: backfill.backfill_rollup(events, instants).count()
+    actions["open_current"] = lambda _: all_rows(history.open_current(spark, root))
+
     timings = {
         name: statistics.median(
             [seconds(lambda: action(i)) for i in range(ROUNDS + 1)][1:]  # the first one warms up
