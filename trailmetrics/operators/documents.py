@@ -162,11 +162,13 @@ def exceptions(
     order = _largest_first("count", "failure_type")
     paged = ranked(types.select("failure_type", "count"), order, "exceptions")
     paged = paged.withColumn(PAGE, F.floor((F.col("position") - 1) / page_items).cast("int"))
-    items = _in_order([F.col("position")], F.struct("count", "failure_type"))
-    pages = paged.groupBy(PAGE).agg(items.alias("exceptions"))
-    first = types.sparkSession.range(1).select(F.lit(0).alias(PAGE))
-    none = F.array().cast(DOCUMENT_SCHEMAS[fixed.EXCEPTIONS]["exceptions"].dataType)
-    document = first.join(pages, PAGE, "full").withColumn("exceptions", F.coalesce("exceptions", none))
+    mark = types.sparkSession.range(1).select(F.lit(0).alias(PAGE))  # so that there is a first page
+    item = F.when(F.col("position").isNotNull(), F.struct("count", "failure_type"))
+    document = (
+        paged.unionByName(mark, allowMissingColumns=True)
+        .groupBy(PAGE)
+        .agg(_in_order([F.col("position")], item).alias("exceptions"))
+    )
     return _shaped(
         document.withColumns({**meta, "window_days": F.lit(window_days)}), fixed.EXCEPTIONS
     )
