@@ -11,7 +11,7 @@ import xxhash
 from tests.llm.helpers import LOWERED, awkward, documents, folder, prose, rows
 from trailmetrics.llm.components import connected_components
 from trailmetrics.llm.passages import align, chains, op5_collinear_chains, segments
-from trailmetrics.llm.simhash import one_of_each, op4_vantage_simhash, tree_links
+from trailmetrics.llm.simhash import class_links, one_of_each, op4_vantage_simhash, shards, tree_links
 from trailmetrics.llm.suffixes import common_prefixes, op8_two_stage_suffixes, remove_repeats, suffix_array
 
 
@@ -73,6 +73,26 @@ def test_tree_finds_what_all_pairs_find(spread):
     assert (labels(near) == labels(np.stack([a, b], axis=1))).all()
 
 
+@pytest.mark.parametrize("split", [(1, 1, 1), (2, 1, 1), (1, 2, 1), (1, 1, 2)])
+def test_linked_pairs_meet_however_many_levels(spark, split):
+    rng, levels = np.random.default_rng(sum(3**i * n for i, n in enumerate(split))), 6
+    fp = rng.integers(1 << 63, size=800).astype(np.uint64)
+    other = fp.copy()
+    for (low, high), n in zip(((0, 21), (21, 43), (43, 64)), split):
+        for i in range(len(fp)):
+            for bit in rng.choice(np.arange(low, high), size=n, replace=False).tolist():
+                other[i] ^= np.uint64(1 << bit)
+    a, b = fp.view(np.int64).tolist(), other.view(np.int64).tolist()
+    classes = spark.createDataFrame([(x,) for x in {*a, *b}], "fp long")
+    where = {}
+    for row in shards(classes, levels).collect():
+        where.setdefault(row.fp, {})[row.segment, row.path] = row.home
+    meet = [any(where[x][k] or where[y][k] for k in where[x].keys() & where[y].keys()) for x, y in zip(a, b)]
+    assert all(meet), f"{meet.count(False)} of {len(meet)} pairs never meet"
+    found = {frozenset(row) for row in class_links(classes, 2_048 << (levels - 1)).collect()}
+    assert found == {frozenset(pair) for pair in zip(a, b)}
+
+
 def test_components_of_a_chain_a_star_and_a_loop(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3)]
     found = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))

@@ -4,8 +4,8 @@ Equal fingerprints are one class, so copies cost nothing beyond their fingerprin
 ``SEGMENTS`` runs; of two fingerprints that differ in at most ``RADIUS`` bits, some run differs in at most
 ``RADIUS // SEGMENTS``. For each run a vantage-point tree partitions all classes: every level measures the Hamming
 distance of the run to a vantage point and splits at the middle distance. A class lives in one shard, and
-also visits the shards behind every boundary that lies within reach of it, by the triangle inequality; so every
-linked pair meets in the home shard of one of the two. Inside a shard a further vantage-point tree prunes by
+also visits the shards behind every boundary, from either side, that lies within reach of it, by the triangle
+inequality; so each of a linked pair visits the home shard of the other, whatever the number of levels. Inside a shard a further vantage-point tree prunes by
 the same bounds, and pairs that are left are compared in all 64 bits. A shard reports the spanning stars of its
 links, never all pairs of a group; connected components follow from these stars.
 
@@ -91,12 +91,12 @@ def _vantage(segment: int, level: int) -> int:
 
 
 def _sides(distance: Column, middle: int, reach: int, bit: int) -> Callable[[Column], Column]:
-    """Of a path so far, the paths that one more level sends a class to; its home side comes first."""
-    visitor = distance <= middle + reach
+    """Of a path so far, the paths that one more level sends a class to: its home side, and the other if it is in reach."""
+    inside, outside = distance <= middle + reach, distance > middle - reach
 
     def longer(path: Column) -> Column:
-        outside = F.when(visitor, F.array(path + bit, path)).otherwise(F.array(path + bit))
-        return F.when(distance <= middle, F.array(path)).otherwise(outside)
+        both = F.when(inside & outside, F.array(path, path + bit))
+        return both.when(inside, F.array(path)).otherwise(F.array(path + bit))
 
     return longer
 
