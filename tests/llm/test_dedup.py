@@ -10,7 +10,7 @@ import xxhash
 
 from tests.llm.helpers import LOWERED, awkward, documents, folder, prose, rows
 from trailmetrics.llm.components import connected_components
-from trailmetrics.llm.passages import align, chains, op5_collinear_chains, segments
+from trailmetrics.llm.passages import align, chains, op5_collinear_chains, segments, stretches
 from trailmetrics.llm.simhash import class_links, one_of_each, op4_vantage_simhash, shards, tree_links
 from trailmetrics.llm.suffixes import common_prefixes, op8_two_stage_suffixes, remove_repeats, suffix_array
 
@@ -181,3 +181,36 @@ def test_passages_name_where_they_come_from(spark):
     assert (found[3][0].start_word, found[3][0].end_word) == (0, 70) and 0.95 < found[3][0].similarity < 1
     assert (found[5][0].source_doc_id, found[5][0].end_word, found[5][0].similarity) == (4, 200, 1.0)
     assert op5_collinear_chains(spark, folder(spark, documents=documents(spark, []))).count() == 0
+
+
+def test_each_passage_of_an_island_stands_by_itself(spark):
+    one, two, line = prose(61, 55), prose(62, 55), prose(63, 12)
+    exact, gap = prose(64, 52), prose(65, 20)
+    given = [
+        (1, prose(71, 40) + " " + one + " " + prose(72, 40)), (2, prose(73, 40) + " " + two + " " + prose(74, 40)),
+        (3, one + " " + prose(75, 30) + " " + two), (4, prose(76, 30) + " " + exact + " " + prose(77, 30)),
+        (5, prose(78, 60) + " " + line + " " + prose(79, 60)), (6, exact + " " + gap + " " + line),
+        (7, one + " " + prose(80, 30) + " " + two + " " + prose(81, 9)),
+    ]
+    found = op5_collinear_chains(spark, folder(spark, documents=documents(spark, given))).collect()
+    spans = {}
+    for row in found:
+        spans.setdefault(row.doc_id, []).append((row.start_word, row.end_word, row.similarity, row.source_doc_id))
+    assert sorted(spans.get(3, [])) == [(0, 55, 1.0, 1), (85, 140, 1.0, 2)]
+    assert spans.get(6) == [(0, 52, 1.0, 4)]
+    chain = spans.get(7, [])  # both passages in one chain with document 3; a word of the gap may agree by chance
+    assert len(chain) == 2 and all(any(a <= low and high <= b and like >= 0.8 for a, b, like, _ in chain) for low, high in ((0, 55), (85, 140)))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_stretches_are_the_maximal_ones_of_all(seed):
+    rng = np.random.default_rng(seed)
+    start = np.sort(rng.integers(0, 400, size=25))
+    end = start + rng.integers(1, 30, size=25)
+    covered = {x for a, b in zip(start.tolist(), end.tolist()) for x in range(a, b)}
+    heads, tails = ([x for x in covered if x + step not in covered] for step in (-1, 1))
+    good = [
+        (a, b + 1, n) for a in heads for b in tails
+        if b + 1 - a >= 50 and 10 * (n := len(covered & set(range(a, b + 1)))) >= 8 * (b + 1 - a)
+    ]
+    assert stretches(start, end) == sorted(x for x in good if not any(y[:2] != x[:2] and y[0] <= x[0] and x[1] <= y[1] for y in good))
