@@ -214,3 +214,31 @@ def test_stretches_are_the_maximal_ones_of_all(seed):
         if b + 1 - a >= 50 and 10 * (n := len(covered & set(range(a, b + 1)))) >= 8 * (b + 1 - a)
     ]
     assert stretches(start, end) == sorted(x for x in good if not any(y[:2] != x[:2] and y[0] <= x[0] and x[1] <= y[1] for y in good))
+
+
+def test_common_seeds_do_not_hide_a_passage(spark):
+    passage = prose(101, 60).split()
+
+    def stock(seed):  # every 5-word run of the passage, in other surroundings
+        return " ".join(prose(seed + i, 4) + " " + " ".join(passage[i : i + 8]) for i in range(0, 56, 4))
+
+    rng = np.random.default_rng(9)
+    phrases = [prose(500 + i, 8) for i in range(30)]
+    letters = [" ".join(phrases[i] for i in rng.permutation(30)[:14]) for _ in range(12)]
+    letters[9] = " ".join([letters[9], " ".join(letters[2].split()[16:80])])
+    whole = " ".join(passage)
+    texts = [stock(2_000), prose(102, 20) + " " + whole, stock(3_000), prose(103, 30) + " " + whole + " " + prose(104, 10), *letters]
+    found = op5_collinear_chains(spark, folder(spark, documents=documents(spark, list(enumerate(texts))))).collect()
+    earlier, expected = set(), []
+    for number, text in enumerate(texts):
+        words = text.split()
+        grams = [tuple(words[i : i + 12]) for i in range(len(words) - 11)]
+        hit = sorted({x for i, gram in enumerate(grams) if gram in earlier for x in range(i, i + 12)})
+        earlier |= set(grams)
+        for run in np.split(hit, np.flatnonzero(np.diff(hit) != 1) + 1) if hit else []:
+            if len(run) >= 50:
+                expected.append((number, int(run[0]), int(run[-1]) + 1))
+    assert (3, 30, 90) in expected and any(number == 13 for number, _, _ in expected)
+    spans = [(row.doc_id, row.start_word, row.end_word) for row in found]
+    assert [x for x in expected if not any(d == x[0] and a <= x[1] and x[2] <= b for d, a, b in spans)] == []
+    assert next(row.source_doc_id for row in found if row.doc_id == 3) == 1
