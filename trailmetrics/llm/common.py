@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +27,22 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_LOWER_BYTES).split()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value``, which is computed once however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def free_names(taken: Collection[str], *wishes: str) -> list[str]:
+    """The wished names, with underscores before them where a column has that name already, in any case."""
+    lowered, free = {name.lower() for name in taken}, []
+    for name in wishes:
+        while name.lower() in lowered:
+            name = f"_{name}"
+        lowered.add(name.lower())
+        free.append(name)
+    return free
+
+
 def digest_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trailmetrics.llm.decontaminate import op10_winnowing
+from trailmetrics.llm.lines import OP12_SQL, op12_levelled_runs
 from trailmetrics.llm.lm import op7_backoff_automaton
 from trailmetrics.llm.packing import op1_best_fit
 from trailmetrics.llm.passages import op5_collinear_chains
@@ -30,6 +31,7 @@ _QUERIES: list[Query] = [
     op8_two_stage_suffixes,
     op9_random_indexing,
     op10_winnowing,
+    op12_levelled_runs,
 ]
 
 
@@ -38,4 +40,4 @@ def llm_queries() -> dict[str, Query]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {op2_threshold_top_k.__name__: OP2_SQL}
+    return {op2_threshold_top_k.__name__: OP2_SQL, op12_levelled_runs.__name__: OP12_SQL}
