@@ -13,6 +13,7 @@ from trailmetrics.llm.packing import op1_best_fit
 from trailmetrics.llm.passages import op5_collinear_chains
 from trailmetrics.llm.pii import op3_weak_supervision
 from trailmetrics.llm.quality import op9_random_indexing
+from trailmetrics.llm.ranking import OP13_SQL, op13_reversed_search
 from trailmetrics.llm.sharding import op6_virtual_slots
 from trailmetrics.llm.simhash import op4_vantage_simhash
 from trailmetrics.llm.suffixes import op8_two_stage_suffixes
@@ -32,6 +33,7 @@ _QUERIES: list[Query] = [
     op9_random_indexing,
     op10_winnowing,
     op12_levelled_runs,
+    op13_reversed_search,
 ]
 
 
@@ -40,4 +42,8 @@ def llm_queries() -> dict[str, Query]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {op2_threshold_top_k.__name__: OP2_SQL, op12_levelled_runs.__name__: OP12_SQL}
+    return {
+        op2_threshold_top_k.__name__: OP2_SQL,
+        op12_levelled_runs.__name__: OP12_SQL,
+        op13_reversed_search.__name__: OP13_SQL,
+    }
