@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trailmetrics.llm.alignment import op11_fragment_monoid
 from trailmetrics.llm.decontaminate import op10_winnowing
 from trailmetrics.llm.lines import OP12_SQL, op12_levelled_runs
 from trailmetrics.llm.lm import op7_backoff_automaton
@@ -32,6 +33,7 @@ _QUERIES: list[Query] = [
     op8_two_stage_suffixes,
     op9_random_indexing,
     op10_winnowing,
+    op11_fragment_monoid,
     op12_levelled_runs,
     op13_reversed_search,
 ]
