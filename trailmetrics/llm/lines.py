@@ -68,6 +68,10 @@ class Run:
     level: int
     name: str
     buckets: int
+    columns: str
+
+
+_MANIFEST = "level int, name string, buckets int, columns string"
 
 
 class LineRuns:
@@ -81,26 +85,26 @@ class LineRuns:
     @classmethod
     def open(cls, spark: SparkSession, folder: str, fan_in: int = FAN_IN) -> LineRuns:
         """The runs as the newest manifest names them."""
-        manifests = spark.read.schema("level int, name string, buckets int, version int").json(f"{folder}/manifest")
+        manifests = spark.read.schema(f"{_MANIFEST}, version int").json(f"{folder}/manifest")
         newest = manifests.where(F.col("version") == manifests.agg(F.max("version")).first()[0]).collect()
         opened = cls(spark, folder, fan_in, newest[0].buckets)
         opened.version = newest[0].version
-        opened.runs = [Run(row.level, row.name, row.buckets) for row in newest]
+        opened.runs = [Run(row.level, row.name, row.buckets, row.columns) for row in newest]
         return opened
 
     def read(self, run: Run) -> DataFrame:
         """A run as a table that Spark knows to be bucketed and sorted."""
         if not self.spark.catalog.tableExists(run.name):
             path = f"{self.folder}/{run.name}"
-            columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.spark.read.parquet(path).schema)
             self.spark.sql(
-                f"CREATE TABLE {run.name} ({columns}) USING parquet CLUSTERED BY ({', '.join(KEY)})"
+                f"CREATE TABLE {run.name} ({run.columns}) USING parquet CLUSTERED BY ({', '.join(KEY)})"
                 f" SORTED BY ({', '.join(KEY)}) INTO {run.buckets} BUCKETS LOCATION '{path}'"
             )
         return self.spark.table(run.name)
 
     def _write(self, rows: DataFrame, level: int) -> Run:
-        run = Run(level, f"line_run_{uuid.uuid4().hex}", self.buckets)
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+        run = Run(level, f"line_run_{uuid.uuid4().hex}", self.buckets, columns)
         (
             rows.write.format("parquet").bucketBy(run.buckets, *KEY).sortBy(*KEY)
             .option("path", f"{self.folder}/{run.name}").saveAsTable(run.name)
@@ -109,7 +113,7 @@ class LineRuns:
 
     def _merged(self, runs: list[Run]) -> DataFrame:
         """Read as plain files: Spark 4.1 plans a union of bucketed scans as if it were bucketed, which it is not."""
-        rows = reduce(DataFrame.unionAll, [self.spark.read.parquet(f"{self.folder}/{run.name}") for run in runs])
+        rows = reduce(DataFrame.unionAll, [self.spark.read.schema(run.columns).parquet(f"{self.folder}/{run.name}") for run in runs])
         return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last").alias("last"))
 
     def undecided(self, batch: DataFrame, least_docs: int, hot: int) -> DataFrame:
@@ -129,7 +133,7 @@ class LineRuns:
                 break
             self.runs = [run for run in self.runs if run.level != level] + [self._write(self._merged(full), level + 1)]
         self.version += 1
-        named = self.spark.createDataFrame([(r.level, r.name, r.buckets) for r in self.runs], "level int, name string, buckets int")
+        named = self.spark.createDataFrame([(r.level, r.name, r.buckets, r.columns) for r in self.runs], _MANIFEST)
         named.coalesce(1).write.json(f"{self.folder}/manifest/version={self.version}")
 
     def repeated(self, least_docs: int = LEAST_DOCS) -> DataFrame:
