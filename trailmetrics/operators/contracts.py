@@ -19,12 +19,12 @@ class ContractViolation(ValueError):
     """A document breaks its contract; nothing was written."""
 
 
-def violations(rows: DataFrame, rules: Rules, empty: str | None = None) -> DataFrame:
-    """``(rule, violations)``, one row per rule.
+def violations(rows: DataFrame, rules: Rules, empty: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, rule, violations)``, one row per rule, within each group of rows alike in ``by``.
 
     A rule is a condition that is true for a row that breaks it (NULL does not), or the number
     of breaches in the row; ``empty`` names a rule that only a dataset without rows breaks.
-    Works on datasets of any size: one scan, one partial row per task.
+    Works on datasets of any size: one scan, one partial row per task and group.
     """
     counts = {
         name: f"coalesce(sum(CAST(({rule}) AS BIGINT)), 0L)" for name, rule in rules.items()
@@ -34,8 +34,8 @@ def violations(rows: DataFrame, rules: Rules, empty: str | None = None) -> DataF
     pairs = (
         f"named_struct('rule', '{name}', 'violations', {count})" for name, count in counts.items()
     )
-    found = rows.agg(F.expr(f"array({', '.join(pairs)})").alias("rules"))
-    return found.select(F.inline("rules"))
+    found = rows.groupBy(*by).agg(F.expr(f"array({', '.join(pairs)})").alias("rules"))
+    return found.select(*by, F.inline("rules"))
 
 
 def _not_count(value: str) -> str:
@@ -109,20 +109,22 @@ DOCUMENT_RULES: dict[str, Rules] = {
 }
 
 
-def document_violations(document: DataFrame, artifact: str) -> DataFrame:
-    """``(rule, violations)`` of the document rows of one artifact.
+def document_violations(document: DataFrame, artifact: str, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, rule, violations)`` of the document rows of one artifact.
 
-    Its columns must be those of the contract and no others; that is decided by the schema alone.
+    Its columns must be those of the contract and ``by``, and no others; that is decided by the schema alone.
     """
     expected = {f.name: f.dataType.simpleString() for f in DOCUMENT_SCHEMAS[artifact]}
-    found = {f.name: f.dataType.simpleString() for f in document.schema if f.name != PAGE}
+    found = {f.name: f.dataType.simpleString() for f in document.schema if f.name not in (PAGE, *by)}
     if found != expected:
         wrong = {n for n in expected.keys() | found.keys() if expected.get(n) != found.get(n)}
-        return document.sparkSession.range(1).select(
+        rows = document.select(*by).distinct() if by else document.sparkSession.range(1)
+        return rows.select(
+            *by,
             F.lit(f"columns differ: {', '.join(sorted(wrong))}").alias("rule"),
             F.lit(len(wrong)).cast("bigint").alias("violations"),
         )
-    return violations(document, DOCUMENT_RULES[artifact], empty="document is missing")
+    return violations(document, DOCUMENT_RULES[artifact], "document is missing", by)
 
 
 def check_documents(documents: Mapping[str, DataFrame]) -> None:
@@ -143,8 +145,8 @@ def check_documents(documents: Mapping[str, DataFrame]) -> None:
         )
 
 
-def run_consistency(payloads: DataFrame) -> DataFrame:
-    """``(rule, violations)``: runs whose stored documents disagree on a stamp."""
+def run_consistency(payloads: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(rule, violations)``: runs whose stored documents disagree on a stamp; for each run if ``by`` is its id."""
     stamps = ("report_ts", "generated_at")
     document = F.try_parse_json("value")
     stamped = payloads.select(
@@ -157,7 +159,7 @@ def run_consistency(payloads: DataFrame) -> DataFrame:
     differing = stamped.groupBy("run_id").agg(
         *[(F.min(stamp) != F.max(stamp)).alias(stamp) for stamp in stamps]
     )
-    return violations(differing, {f"{stamp} differs within a run": stamp for stamp in stamps})
+    return violations(differing, {f"{stamp} differs within a run": stamp for stamp in stamps}, by=by)
 
 
 # SQL conditions on variants: ``value`` is the text of an expression.
@@ -236,15 +238,16 @@ def _stored_rules(artifact: str) -> Rules:
     return rules
 
 
-def stored_json_violations(payloads: DataFrame, artifact: str) -> DataFrame:
-    """``(rule, violations)`` of stored JSON text, read strictly.
+def stored_json_violations(payloads: DataFrame, artifact: str, by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, rule, violations)`` of stored JSON text, read strictly.
 
     ``from_json`` would drop unknown keys, turn numbers into strings and map wrong values to
     NULL, so the text is checked as a variant, whose values keep the type they were written with.
     """
     texts = payloads.where(F.col("artifact") == artifact)
     return violations(
-        texts.select(F.try_parse_json("value").alias("document")),
+        texts.select(*by, F.try_parse_json("value").alias("document")),
         _stored_rules(artifact),
-        empty="document is missing",
+        "document is missing",
+        by,
     )
