@@ -82,7 +82,7 @@ def stamps(report_ts: str, generated_at: str) -> dict[str, Column]:
     }
 
 
-def _in_order(order: Sequence[Column], item: Column) -> Column:
+def in_order(order: Sequence[Column], item: Column) -> Column:
     """Array of ``item`` sorted by ``order``, as collect_list has no order of its own.
 
     Rows whose item is NULL give no element.
@@ -92,7 +92,7 @@ def _in_order(order: Sequence[Column], item: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["item"])
 
 
-def _largest_first(count: str, key: str) -> list[Column]:
+def largest_first(count: str, key: str) -> list[Column]:
     return [-F.col(count), F.col(key).isNull(), F.col(key)]
 
 
@@ -111,7 +111,7 @@ def summary(
     document = parts.agg(
         F.max("failures_last_24h").alias("failures_last_24h"),
         F.max("failures_last_7d").alias("failures_last_7d"),
-        _in_order(_largest_first("failures", "site"), F.col("item")).alias("top_sites"),
+        in_order(largest_first("failures", "site"), F.col("item")).alias("top_sites"),
     )
     return _shaped(document.withColumns({**meta, PAGE: F.lit(0)}), fixed.SUMMARY)
 
@@ -119,14 +119,14 @@ def summary(
 def trend(days: DataFrame, meta: Mapping[str, Column]) -> DataFrame:
     """One document from the daily series, oldest day first."""
     item = F.struct(F.col("date").cast("string").alias("date"), "failures")
-    document = days.agg(_in_order([F.col("date")], item).alias("days"))
+    document = days.agg(in_order([F.col("date")], item).alias("days"))
     return _shaped(document.withColumns({**meta, PAGE: F.lit(0)}), fixed.TREND_30D)
 
 
 def top_sites(sites: DataFrame, meta: Mapping[str, Column], window_days: int) -> DataFrame:
     """One document from at most k sites."""
     document = sites.agg(
-        _in_order(_largest_first("failures", "site"), F.struct("failures", "site")).alias("sites")
+        in_order(largest_first("failures", "site"), F.struct("failures", "site")).alias("sites")
     )
     return _shaped(
         document.withColumns({**meta, "window_days": F.lit(window_days), PAGE: F.lit(0)}),
@@ -159,7 +159,7 @@ def exceptions(
 
     Types have no proven bound, so no array holds more than a page; few types make one page, and none an empty one.
     """
-    order = _largest_first("count", "failure_type")
+    order = largest_first("count", "failure_type")
     paged = ranked(types.select("failure_type", "count"), order, "exceptions")
     paged = paged.withColumn(PAGE, F.floor((F.col("position") - 1) / page_items).cast("int"))
     mark = types.sparkSession.range(1).select(F.lit(0).alias(PAGE))  # so that there is a first page
@@ -167,7 +167,7 @@ def exceptions(
     document = (
         paged.unionByName(mark, allowMissingColumns=True)
         .groupBy(PAGE)
-        .agg(_in_order([F.col("position")], item).alias("exceptions"))
+        .agg(in_order([F.col("position")], item).alias("exceptions"))
     )
     return _shaped(
         document.withColumns({**meta, "window_days": F.lit(window_days)}), fixed.EXCEPTIONS
@@ -214,13 +214,14 @@ def payload_documents(
     }
 
 
-def as_json(document: DataFrame, artifact: str) -> DataFrame:
-    """``(artifact, page, value)`` with the document as one line of JSON, keys sorted.
+def as_json(document: DataFrame, artifact: str, *others: Column | str) -> DataFrame:
+    """``(*others, artifact, page, value)`` with the document as one line of JSON, keys sorted.
 
     Nulls are written out, as a contract must be able to see them.
     """
     body = F.struct(*DOCUMENT_SCHEMAS[artifact].names)
     return document.select(
+        *others,
         F.lit(artifact).alias("artifact"),
         PAGE,
         F.to_json(body, {"ignoreNullFields": "false"}).alias("value"),

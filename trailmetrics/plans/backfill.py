@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from bisect import bisect_right
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailmetrics import fixed_values as fixed
@@ -13,12 +17,11 @@ from trailmetrics.functions.windows import (
     LAST_24H,
     LAST_30D,
     day_bucket,
-    instant,
     normalise_report_ts,
-    run_id,
-    utc_day,
+    run_id_of,
 )
 from trailmetrics.operators import documents
+from trailmetrics.operators.contracts import ContractViolation
 from trailmetrics.plans import history, publish
 from trailmetrics.session import materialise, session_zone
 from trailmetrics.sources.facts import between_days, check_fact_schema
@@ -37,14 +40,42 @@ def instants(spark: SparkSession, report_instants: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(ts,) for ts in stamps], "report_ts STRING")
 
 
-def _hours(runs: DataFrame) -> DataFrame:
-    """``(hour, before, edges)``: every hour of the windows, the edges in it, the last one before.
+@dataclass
+class _Class:
+    """Runs in order of their instants whose window bounds rise with them."""
+
+    first: int = 0
+    stamps: list[str] = field(default_factory=list)
+    ends: list[int] = field(default_factory=list)
+    bounds: list[tuple[int, ...]] = field(default_factory=list)
+
+
+def _classes(runs: DataFrame) -> list[_Class]:
+    """All runs, numbered through their classes. There is one, but where a clock change makes a later window open earlier.
 
     Windows hold both their ends, so each begins at its lower bound and ends a microsecond after its
-    report instant. The driver sees four edges for each instant it was given itself.
+    report instant. The driver sees four bounds for each instant it was given itself.
     """
-    ends = [F.unix_micros(name) for name in _WINDOWS] + [F.unix_micros("anchor") + 1]
-    edges = sorted({row.at for row in runs.select(F.explode(F.array(*ends)).alias("at")).collect()})
+    bounds = [F.unix_micros(name).alias(name) for name in _WINDOWS]
+    rows = runs.select("report_ts", (F.unix_micros("anchor") + 1).alias("end"), *bounds).collect()
+    classes: list[_Class] = []
+    for row in sorted(rows, key=lambda row: row.end):
+        opened = tuple(row[name] for name in _WINDOWS)
+        fits = (c for c in classes if all(a <= b for a, b in zip(c.bounds[-1], opened)))
+        own = next(fits, None)
+        if own is None:
+            own = _Class()
+            classes.append(own)
+        own.stamps.append(row.report_ts)
+        own.ends.append(row.end)
+        own.bounds.append(opened)
+    for before, own in zip(classes, classes[1:]):
+        own.first = before.first + len(before.stamps)
+    return classes
+
+
+def _hours(spark: SparkSession, edges: list[int]) -> DataFrame:
+    """``(hour, before, edges)``: every hour of the windows, the edges in it, the last one before."""
     inside: dict[int, list[int]] = {}
     for at in edges:
         inside.setdefault(at // _HOUR_MICROS, []).append(at)
@@ -53,7 +84,21 @@ def _hours(runs: DataFrame) -> DataFrame:
         own = inside.get(hour, [])
         rows.append((hour, before, own))
         before = own[-1] if own else before
-    return runs.sparkSession.createDataFrame(rows, "hour BIGINT, before BIGINT, edges ARRAY<BIGINT>")
+    return spark.createDataFrame(rows, "hour BIGINT, before BIGINT, edges ARRAY<BIGINT>")
+
+
+def _slots(spark: SparkSession, edges: list[int], classes: list[_Class]) -> DataFrame:
+    """``(at, first, n_24h, n_7d, n_30d)``: for the slot from each edge on, and each class, the run from which on it is held, and for each
+    window the one from which on it is not any more."""
+    rows = []
+    for own in classes:
+        opened = list(zip(*own.bounds))
+        for at in edges:
+            first = bisect_right(own.ends, at)
+            until = [max(first, bisect_right(bounds, at)) for bounds in opened]
+            if max(until) > first:
+                rows.append((at, own.first + first, *(own.first + run for run in until)))
+    return spark.createDataFrame(rows, "at BIGINT, first INT, " + ", ".join(f"{name} INT" for name in _WINDOWS))
 
 
 def backfill_rollup(
@@ -62,8 +107,10 @@ def backfill_rollup(
     """The rollup of every report instant, as rows of one table with a ``report_ts``.
 
     The edges of all windows cut time into slots; within one, all facts are in the same windows. Each
-    fact finds its slot by its hour, is counted there once, and never shuffled. Only these counts are
-    then spread over the runs that hold the slot.
+    fact finds its slot by its hour, is counted there once, and never shuffled. The runs that hold a slot in a window
+    are neighbours, so the slot's count is added to all of them as a rise at the first and a fall after the last:
+    sums over these steps, run after run, are the counts of each key. Work grows with slots and runs, not with
+    their product, and a key has a row per step, not per fact.
     """
     spark = facts.sparkSession
     with session_zone(spark, tz):
@@ -73,19 +120,15 @@ def backfill_rollup(
             anchor.alias("anchor"),
             *[(anchor - window.interval).alias(name) for name, window in _WINDOWS.items()],
         )
-        run_days = runs.withColumn(
-            "day",
-            F.explode(
-                F.sequence(utc_day(F.col("n_30d")), utc_day(F.col("anchor")), F.expr("INTERVAL 1 DAY"))
-            ),
-        )
-        hours = _hours(runs)
-        stamps = _sorted_stamps(report_instants)
-        first, last = instant(stamps[0]) - LAST_30D.interval, instant(stamps[-1])
+        classes = _classes(runs)
+        edges = sorted({at for own in classes for at in (*own.ends, *(b for bounds in own.bounds for b in bounds))})
+        # the earliest bound need not be that of the earliest instant
+        first, last = F.timestamp_micros(F.lit(edges[0])), F.timestamp_micros(F.lit(edges[-1] - 1))
         event_time = F.col("timestamp")
         micros = F.unix_micros(event_time)
         hour = F.floor(micros / _HOUR_MICROS)
         passed = F.array_max(F.filter("edges", lambda edge: edge <= F.col("micros")))
+        keys = ["site", "failure_type", "date"]
         counts = (
             between_days(facts, first, last)
             .where(event_time.between(first, last))
@@ -96,33 +139,32 @@ def backfill_rollup(
                 micros.alias("micros"),
                 hour.alias("hour"),
             )
-            .join(F.broadcast(hours), "hour")  # one row per hour: 88,000 for ten years
-            .withColumn("at", F.timestamp_micros(F.coalesce(passed, F.col("before"))))
-            .groupingSets(
-                [["at", "site"], ["at", "failure_type", "date"]],
-                "at",
-                "site",
-                "failure_type",
-                "date",
-            )
+            .join(F.broadcast(_hours(spark, edges)), "hour")  # one row per hour: 88,000 for ten years
+            .withColumn("at", F.coalesce(passed, F.col("before")))
+            .groupingSets([["at", "site"], ["at", "failure_type", "date"]], "at", *keys)
             .agg(F.grouping_id().alias("grain"), F.count("*").alias("n"))
-            .withColumn("day", utc_day(F.col("at")))
-        )
-        held = (F.col("at") >= F.col("n_30d")) & (F.col("at") <= F.col("anchor"))
-        return (
-            counts.join(run_days, "day")
-            .where(held)
-            .groupBy("report_ts", "site", "failure_type", "date", "grain")
-            .agg(
-                *[
-                    F.sum(F.when(F.col("at") >= F.col(name), F.col("n")).otherwise(0)).alias(name)
-                    for name in _WINDOWS
-                ]
-            )
         )
+    steps = counts.join(F.broadcast(_slots(spark, edges, classes)), "at")  # four rows at most for each instant and class
+    zero, n = F.lit(0).cast("bigint"), F.col("n")
+
+    def step(run: str, rises: bool) -> Column:
+        changes = [(n if rises else -n if run == name else zero).alias(f"d_{name}") for name in _WINDOWS]
+        return F.struct(F.col(run).alias("run"), *changes)
+
+    steps = steps.select(*keys, "grain", F.inline(F.array(step("first", True), *[step(name, False) for name in _WINDOWS])))
+    steps = steps.groupBy(*keys, "grain", "run").agg(*[F.sum(f"d_{name}").alias(f"d_{name}") for name in _WINDOWS])
+    along = W.partitionBy(*keys, "grain").orderBy("run")
+    so_far = along.rowsBetween(W.unboundedPreceding, W.currentRow)
+    levels = steps.select(
+        *keys, "grain", "run", F.lead("run").over(along).alias("until"), *[F.sum(f"d_{name}").over(so_far).alias(name) for name in _WINDOWS]
+    )
+    held = levels.where("n_30d > 0").withColumn("run", F.explode(F.sequence(F.col("run"), F.col("until") - 1)))
+    numbered = [(own.first + i, ts) for own in classes for i, ts in enumerate(own.stamps)]
+    named = spark.createDataFrame(numbered, "run INT, report_ts STRING")
+    return held.join(F.broadcast(named), "run").select("report_ts", *keys, "grain", *_WINDOWS)
 
 
-def backfill_runs(
+def backfill_reports(
     spark: SparkSession,
     facts: DataFrame,
     root: str,
@@ -131,29 +173,34 @@ def backfill_runs(
     k: int = fixed.TOP_K,
     tz: str = "UTC",
     page_items: int = documents.PAGE_ITEMS,
-) -> list[publish.PublishedRun]:
-    """Publish the runs of all report instants that are not committed yet, oldest first.
+) -> publish.Batch:
+    """Publish the runs of all report instants that are not committed yet, in one pass: the facts are read
+    once, and as many jobs run for one report as for all.
 
-    The facts are read once for all of them. A backfill that stopped goes on where it was.
+    A backfill that stopped is simply started again. Runs that break a contract do not keep the others.
     """
     check_fact_schema(facts)
-    wanted = instants(spark, report_instants)
-    missing = wanted.withColumn("run_id", run_id(F.col("report_ts"))).join(
-        history.committed_runs(spark, root), "run_id", "left_anti"
-    )
-    stamps = sorted(row.report_ts for row in missing.select("report_ts").collect())
+    stamps = [ts for ts in _sorted_stamps(report_instants) if not history.is_committed(spark, root, run_id_of(ts))]
     if not stamps:
-        return []
+        return publish.Batch()
     rolled = materialise(backfill_rollup(facts, stamps, tz), "backfill")
-    return [
-        publish.publish_rollup(
-            rolled.where(F.col("report_ts") == ts).drop("report_ts"),
-            root,
-            ts,
-            generated_at,
-            k,
-            tz,
-            page_items,
-        )
-        for ts in stamps
-    ]
+    base = f"{root}/batches/{run_id_of(stamps[0])}-{uuid.uuid4().hex}"
+    reports = instants(spark, stamps)
+    return publish.publish_reports(rolled, ["report_ts"], reports, lambda _: root, base, generated_at, k, tz, page_items)
+
+
+def backfill_runs(
+    spark: SparkSession,
+    facts: DataFrame,
+    root: str,
+    report_instants: Sequence[str],
+    generated_at: str | None = None,
+    k: int = fixed.TOP_K,
+    tz: str = "UTC",
+    page_items: int = documents.PAGE_ITEMS,
+) -> list[publish.PublishedRun]:
+    """``backfill_reports``, oldest first; ContractViolation if one of them broke its contract, once the others are committed."""
+    batch = backfill_reports(spark, facts, root, report_instants, generated_at, k, tz, page_items)
+    if batch.broken:
+        raise ContractViolation("; ".join(f"{key}: {said}" for key, said in sorted(batch.broken.items())))
+    return batch.published

@@ -1,27 +1,33 @@
-"""A reporting run: facts to checked, stored and committed documents."""
+"""A reporting run: facts to checked, stored and committed documents. Many runs take the same jobs as one."""
 
 from __future__ import annotations
 
 import logging
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from functools import reduce
+from typing import Any
+from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from trailmetrics import fixed_values as fixed
 from trailmetrics.functions import windows
 from trailmetrics.operators import documents as docs
-from trailmetrics.operators.contracts import ContractViolation, check_documents
+from trailmetrics.operators.contracts import ContractViolation, check_documents, document_violations
 from trailmetrics.operators.rollup import metrics_of, rollup
+from trailmetrics.operators.scoped import documents_by, metrics_by, scope_key
 from trailmetrics.plans import history
 from trailmetrics.session import materialise
 from trailmetrics.sources.facts import check_fact_schema
 
 log = logging.getLogger(__name__)
 
+_TOTALS = ("failures_last_24h", "failures_last_7d")
+
 
 @dataclass(frozen=True)
 class PublishedRun:
@@ -32,38 +38,56 @@ class PublishedRun:
     metrics: dict[str, int]
 
 
+@dataclass
+class Batch:
+    """What came of many reports: runs committed, contracts broken, and runs that another attempt had committed."""
+
+    published: list[PublishedRun] = field(default_factory=list)
+    broken: dict[str, str] = field(default_factory=dict)
+    refused: list[str] = field(default_factory=list)
+
+
 def utc_now() -> str:
     return datetime.now(timezone.utc).replace(microsecond=0).isoformat()
 
 
-def _map(numbers: dict[str, int]) -> Column:
-    entries = [column for name, n in numbers.items() for column in (F.lit(name), F.lit(n))]
-    return F.create_map(*entries).cast("map<string,bigint>")
+def _texts(documents: dict[str, DataFrame], *others: str) -> DataFrame:
+    """All documents as lines of JSON, each page with its number of items and, of the summary, the two totals."""
 
+    def of(artifact: str, document: DataFrame) -> DataFrame:
+        totals = [
+            (F.col(name) if artifact == fixed.SUMMARY else F.lit(None).cast("bigint")).alias(name) for name in _TOTALS
+        ]
+        items = F.array_size(docs.ITEMS[artifact]).cast("bigint").alias("items")
+        return docs.as_json(document, artifact, *others, items, *totals)
+
+    return reduce(DataFrame.unionAll, [of(artifact, document) for artifact, document in documents.items()])
 
-def _run_metrics(documents: dict[str, DataFrame]) -> DataFrame:
-    """One row: the two totals and the number of items per payload document, and of pages of each."""
-    totals = documents[fixed.SUMMARY].selectExpr(
-        "stack(2, 'failures_last_24h', failures_last_24h, 'failures_last_7d', failures_last_7d)"
-        " AS (name, n)",
-        "CAST(NULL AS STRING) AS artifact",
-    )
-    sizes = [
-        document.select(
-            F.lit(artifact.removesuffix(".json")).alias("name"),
-            F.array_size(docs.ITEMS[artifact]).cast("bigint").alias("n"),
-            F.lit(artifact).alias("artifact"),
-        )
-        for artifact, document in documents.items()
-    ]
-    named = reduce(DataFrame.unionAll, sizes, totals).groupBy("name", "artifact")
-    named = named.agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
-    listed = F.when(~F.col("artifact").eqNullSafe(fixed.SUMMARY), F.struct("name", "n"))
-    paged = F.when(F.col("artifact").isNotNull(), F.struct("artifact", "pages"))
-    return named.agg(
-        F.map_from_entries(F.collect_list(listed)).alias("metrics"),
-        F.map_from_entries(F.collect_list(paged)).alias("pages"),
-    )
+
+def _page() -> Column:
+    """What is noted of a stored page: its name, artifact, number of items and digest."""
+    name = history.page_name(F.col("artifact"), F.col(docs.PAGE))
+    return F.struct(name.alias("page"), "artifact", "items", F.sha2("value", 256).alias("digest"))
+
+
+def _noted() -> list[Column]:
+    """Aggregates over the pages of a run: bounded by the number of its pages."""
+    return [F.collect_list(_page()).alias("pages"), *[F.max(name).alias(name) for name in _TOTALS]]
+
+
+def _log(noted: Any) -> dict[str, Any]:
+    """The metrics, pages and digests of a registry row."""
+    payloads = [page for page in noted["pages"] if page["artifact"] != fixed.MANIFEST]
+    metrics = {name: noted[name] for name in _TOTALS}
+    pages: dict[str, int] = {}
+    for page in payloads:
+        artifact = page["artifact"]
+        pages[artifact] = pages.get(artifact, 0) + 1
+        if artifact != fixed.SUMMARY:
+            name = artifact.removesuffix(".json")
+            metrics[name] = metrics.get(name, 0) + page["items"]
+    digests = {page["page"]: page["digest"] for page in noted["pages"]}
+    return {"metrics": metrics, "pages": pages, "digests": digests, "digest": history.combined(digests)}
 
 
 def publish_run(
@@ -87,7 +111,7 @@ def publish_run(
     check_fact_schema(facts)
     report_ts = windows.normalise_report_ts(report_ts)
     run_id = windows.run_id_of(report_ts)
-    if not history.committed_runs(spark, root).where(F.col("run_id") == run_id).isEmpty():
+    if history.is_committed(spark, root, run_id):
         raise history.RunAlreadyPublished(f"{run_id} is committed below {root}")
     rolled = materialise(rollup(facts, report_ts, tz, shared_scan=shared_scan), "rollup")
     return publish_rollup(rolled, root, report_ts, generated_at, k, tz, page_items)
@@ -102,43 +126,151 @@ def publish_rollup(
     tz: str = "UTC",
     page_items: int = docs.PAGE_ITEMS,
 ) -> PublishedRun:
-    """What follows the rollup of a run that is not committed yet: check, store, commit."""
+    """What follows the rollup of a run that is not committed yet: check, store, commit.
+
+    The write itself observes what it stores, so that no further job counts it.
+    """
     spark, run_id = rolled.sparkSession, windows.run_id_of(report_ts)
     attempt = f"a-{uuid.uuid4()}"
     metrics = metrics_of(rolled, report_ts, k, tz, ordered=False)
     generated_at = generated_at or utc_now()
     payloads = docs.payload_documents(metrics, report_ts, generated_at, page_items)
     payloads = {artifact: document.persist() for artifact, document in payloads.items()}
-    meta = docs.stamps(report_ts, generated_at)
-    registry = spark.range(1).select(
-        *[column.alias(name) for name, column in meta.items()],
-        F.lit(run_id).alias("run_id"),
-        F.lit(attempt).alias("attempt"),
-        F.current_timestamp().alias("committed_at"),
-    )
+    entry = {
+        "run_id": run_id,
+        "report_ts": report_ts,
+        "generated_at": generated_at,
+        "schema_version": fixed.SCHEMA_VERSION,
+        "attempt": attempt,
+    }
     try:
-        manifest = docs.manifest(spark, run_id, meta)
+        manifest = docs.manifest(spark, run_id, docs.stamps(report_ts, generated_at))
         everything = {**payloads, fixed.MANIFEST: manifest}
         try:
             check_documents(everything)
         except ContractViolation:
-            failed = {"status": F.lit(fixed.STATUS_ERROR), "failed": F.lit(True)}
-            history.record_failure(registry.withColumns(failed), root)
+            history.record_failure(spark, root, entry | {"status": fixed.STATUS_ERROR, "failed": True})
             raise
-        texts = [docs.as_json(document, artifact) for artifact, document in everything.items()]
-        history.store_documents(reduce(DataFrame.unionAll, texts), root, run_id, attempt)
-        counts = _run_metrics(payloads).first()
-        done = {
-            "status": F.lit(fixed.STATUS_SUCCESS),
-            "artifacts": F.array(*map(F.lit, fixed.PAYLOAD_ARTIFACTS)),
-            "metrics": _map(counts.metrics),
-            "pages": _map(counts.pages),
-            "failed": F.lit(False),
-        }
-        history.commit(registry.withColumns(done), root)
+        seen = Observation()
+        history.store_documents(_texts(everything).observe(seen, *_noted()), root, run_id, attempt)
+        noted = _log(seen.get)
+        history.commit(spark, root, entry | noted | _SUCCEEDED)
     finally:
         for document in payloads.values():
             document.unpersist()
-    numbers = counts.metrics
-    log.info("published %s generated_at=%s %s", run_id, generated_at, numbers)
-    return PublishedRun(run_id, report_ts, generated_at, attempt, numbers)
+    log.info("published %s generated_at=%s %s", run_id, generated_at, noted["metrics"])
+    return PublishedRun(run_id, report_ts, generated_at, attempt, noted["metrics"])
+
+
+_SUCCEEDED = {"status": fixed.STATUS_SUCCESS, "failed": False, "artifacts": list(fixed.PAYLOAD_ARTIFACTS)}
+
+
+def publish_reports(
+    rolled: DataFrame,
+    scope: Sequence[str],
+    reports: DataFrame,
+    root_of: Callable[[Any], str],
+    base: str,
+    generated_at: str | None = None,
+    k: int = fixed.TOP_K,
+    tz: str = "UTC",
+    page_items: int = docs.PAGE_ITEMS,
+) -> Batch:
+    """Check, store and commit many reports out of one rollup; the number of jobs does not depend on how many.
+
+    ``reports`` has a row for each: its ``scope`` columns, by which ``rolled`` is grouped too, and ``report_ts``. A report is a run of the
+    history below ``root_of(row)``. All documents go in one partitioned write below ``base``, which the registry rows
+    name. Reports that break a contract are set aside: nothing of them is stored but a record of the failure, and
+    the others commit. Per report the driver sees its registry row, and creates one object for it.
+    """
+    spark, attempt = rolled.sparkSession, f"a-{uuid.uuid4()}"
+    generated_at = generated_at or utc_now()
+    wanted = {}
+    for row in reports.withColumn("scope", scope_key(scope)).collect():
+        run_id, root = windows.run_id_of(row.report_ts), root_of(row)
+        entry = {
+            "run_id": run_id,
+            "report_ts": row.report_ts,
+            "generated_at": generated_at,
+            "schema_version": fixed.SCHEMA_VERSION,
+            "attempt": attempt,
+            "base": f"{base}/report={len(wanted)}",
+        }
+        if not history.is_committed(spark, root, run_id):
+            wanted[row.scope] = (root, entry)
+    batch = Batch()
+    if not wanted:
+        return batch
+    listed = [(key, entry["report_ts"], entry["run_id"], i) for i, (key, (_, entry)) in enumerate(wanted.items())]
+    stamps = spark.createDataFrame(listed, "scope string, report_ts string, run_id string, report int")
+    kept = reports.select(*dict.fromkeys([*scope, "report_ts"])).withColumn("key", scope_key(scope))
+    kept = kept.join(stamps.select(F.col("scope").alias("key")), "key", "left_semi").drop("key")
+    anchor = F.col("report_ts").cast("timestamp")
+    metrics = metrics_by(rolled, scope, kept, anchor, k, tz)
+    documents = documents_by(metrics, scope, stamps.drop("report"), generated_at, page_items)
+    documents = {artifact: document.persist() for artifact, document in documents.items()}
+    try:
+        checks = [
+            document_violations(document, artifact, ["scope"]).withColumn("artifact", F.lit(artifact))
+            for artifact, document in documents.items()
+        ]
+        for row in sorted(reduce(DataFrame.unionAll, checks).where("violations > 0").collect()):
+            said = f"{row.artifact}: {row.rule} ({row.violations})"
+            batch.broken[row.scope] = "; ".join(filter(None, [batch.broken.get(row.scope), said]))
+        texts = _texts(documents, "scope").join(stamps.drop("report_ts"), "scope")
+        if batch.broken:
+            bad = spark.createDataFrame([(key,) for key in batch.broken], "scope string")
+            texts = texts.join(bad, "scope", "left_anti")
+        history.store_reports(texts, base, attempt)
+        noted = {row.scope: _log(row) for row in texts.groupBy("scope").agg(*_noted()).collect()}
+    finally:
+        for document in documents.values():
+            document.unpersist()
+    by_root: dict[str, list[dict[str, Any]]] = {}
+    for key, (root, entry) in wanted.items():
+        if key in batch.broken:
+            history.record_failure(spark, root, entry | {"status": fixed.STATUS_ERROR, "failed": True, "base": None})
+        else:
+            by_root.setdefault(root, []).append(entry | noted[key] | _SUCCEEDED)
+    for root, entries in by_root.items():
+        refused = set(history.commit_all(spark, root, entries))
+        batch.refused += sorted(refused)
+        batch.published += [
+            PublishedRun(e["run_id"], e["report_ts"], generated_at, attempt, e["metrics"])
+            for e in entries
+            if e["run_id"] not in refused
+        ]
+    batch.published.sort(key=lambda run: run.run_id)
+    log.info("published %d reports, %d broken", len(batch.published), len(batch.broken))
+    return batch
+
+
+def client_root(root: str, client: str | None) -> str:
+    """The history of one client below ``root``; facts without a client have one of their own."""
+    if client is None:
+        return f"{root}/no-client"
+    return f"{root}/client={quote(client, safe='').replace('.', '%2E')}"
+
+
+def publish_clients(
+    spark: SparkSession,
+    facts: DataFrame,
+    root: str,
+    report_ts: str | datetime | None = None,
+    generated_at: str | None = None,
+    k: int = fixed.TOP_K,
+    tz: str = "UTC",
+    page_items: int = docs.PAGE_ITEMS,
+) -> Batch:
+    """A run for each ``client`` of the facts, those without one included, from one pass over them.
+
+    Each has its own history, at ``client_root``; a client whose documents break a contract does not keep the others.
+    """
+    check_fact_schema(facts)
+    report_ts = windows.normalise_report_ts(report_ts)
+    rolled = materialise(rollup(facts, report_ts, tz, scope=["client"], shared_scan=True), "clients")
+    clients = materialise(facts.select("client").distinct(), "client-names").withColumn("report_ts", F.lit(report_ts))
+    base = f"{root}/batches/{windows.run_id_of(report_ts)}-{uuid.uuid4().hex}"
+    return publish_reports(
+        rolled, ["client"], clients, lambda row: client_root(root, row.client), base, generated_at, k, tz, page_items
+    )
