@@ -9,18 +9,18 @@ from trailmetrics import fixed_values as fixed
 _WINDOWS = {"24h": "24 HOUR", "7d": "7 DAY", "30d": "30 DAY"}
 
 
-def _instant(report_ts: str) -> str:
+def instant_of(report_ts: str) -> str:
     """The event columns have no zone, so neither has the literal."""
     return f"TIMESTAMP '{report_ts.removesuffix('Z').replace('T', ' ')}'"
 
 
-def _between(report_ts: str, window: str) -> str:
-    anchor = _instant(report_ts)
+def between(report_ts: str, window: str) -> str:
+    anchor = instant_of(report_ts)
     return f'"timestamp" BETWEEN {anchor} - INTERVAL {_WINDOWS[window]} AND {anchor}'
 
 
-def _spine(report_ts: str) -> str:
-    anchor = _instant(report_ts)
+def spine(report_ts: str) -> str:
+    anchor = instant_of(report_ts)
     return (
         f"SELECT CAST(unnest(generate_series({anchor} - INTERVAL 29 DAY, {anchor}, INTERVAL 1 DAY))"
         " AS DATE) AS date"
@@ -28,13 +28,13 @@ def _spine(report_ts: str) -> str:
 
 
 def _total(name: str, report_ts: str, window: str) -> str:
-    return f"SELECT count(*) AS {name} FROM facts WHERE {_between(report_ts, window)}"
+    return f"SELECT count(*) AS {name} FROM facts WHERE {between(report_ts, window)}"
 
 
 def _counts(key: str, report_ts: str, window: str, count: str = "failures") -> str:
     return (
         f"SELECT {key}, count(*) AS {count} FROM facts"
-        f" WHERE {_between(report_ts, window)} GROUP BY {key}"
+        f" WHERE {between(report_ts, window)} GROUP BY {key}"
     )
 
 
@@ -48,14 +48,14 @@ def _top_sites(report_ts: str, window: str) -> str:
 def _daily(report_ts: str) -> str:
     return (
         'SELECT CAST("timestamp" AS DATE) AS date, count(*) AS failures FROM facts'
-        f" WHERE {_between(report_ts, '30d')} GROUP BY 1"
+        f" WHERE {between(report_ts, '30d')} GROUP BY 1"
     )
 
 
 def _trend(report_ts: str) -> str:
     return (
         "SELECT CAST(s.date AS VARCHAR) AS date, coalesce(d.failures, 0) AS failures"
-        f" FROM ({_spine(report_ts)}) s LEFT JOIN ({_daily(report_ts)}) d ON s.date = d.date"
+        f" FROM ({spine(report_ts)}) s LEFT JOIN ({_daily(report_ts)}) d ON s.date = d.date"
     )
 
 
@@ -63,11 +63,11 @@ def _fused(report_ts: str) -> str:
     return f"""
         SELECT site, failure_type, CAST(date AS VARCHAR) AS date,
                GROUPING(site, failure_type, date) AS grain,
-               count(*) FILTER (WHERE {_between(report_ts, '24h')}) AS n_24h,
-               count(*) FILTER (WHERE {_between(report_ts, '7d')}) AS n_7d,
+               count(*) FILTER (WHERE {between(report_ts, '24h')}) AS n_24h,
+               count(*) FILTER (WHERE {between(report_ts, '7d')}) AS n_7d,
                count(*) AS n_30d
         FROM (SELECT *, CAST("timestamp" AS DATE) AS date FROM facts
-              WHERE {_between(report_ts, '30d')})
+              WHERE {between(report_ts, '30d')})
         GROUP BY GROUPING SETS ((site), (failure_type), (date), ())"""
 
 
@@ -95,7 +95,7 @@ def _on_facts(binding: Binding) -> dict[str, str]:
         "site_counts_7d": _counts("site", ts, "7d"),
         "site_counts_30d": _counts("site", ts, "30d"),
         **{
-            f"window_filter_{w}": f"SELECT * FROM facts WHERE {_between(ts, w)}" for w in _WINDOWS
+            f"window_filter_{w}": f"SELECT * FROM facts WHERE {between(ts, w)}" for w in _WINDOWS
         },
     }
     return {name: _with_facts(binding, sql) for name, sql in queries.items()}
@@ -157,7 +157,7 @@ def _payloads(report_ts: str) -> dict[str, str]:
     }
 
 
-def _run_id(report_ts: str) -> str:
+def run_id_of(report_ts: str) -> str:
     return "".join(filter(str.isalnum, report_ts))
 
 
@@ -176,7 +176,7 @@ def _all_items(report_ts: str) -> str:
 
 
 def _run_items(report_ts: str) -> str:
-    return f"SELECT '{_run_id(report_ts)}' AS run_id, * FROM ({_all_items(report_ts)})"
+    return f"SELECT '{run_id_of(report_ts)}' AS run_id, * FROM ({_all_items(report_ts)})"
 
 
 def _rules(**subqueries: str) -> str:
@@ -380,13 +380,13 @@ def _event_contracts() -> dict[str, str]:
 
 def _manifest_items(report_ts: str) -> str:
     return " UNION ALL ".join(
-        f"SELECT {_stamps(report_ts)}, '{_run_id(report_ts)}' AS run_id,"
+        f"SELECT {_stamps(report_ts)}, '{run_id_of(report_ts)}' AS run_id,"
         f" '{fixed.STATUS_SUCCESS}' AS status, {i} AS position, '{artifact}' AS artifact"
         for i, artifact in enumerate(fixed.PAYLOAD_ARTIFACTS, 1)
     )
 
 
-def _run_log(report_ts: str) -> str:
+def run_log(report_ts: str) -> str:
     days, sites, types = _trend(report_ts), _top_sites(report_ts, "30d"), _type_items(report_ts)
     counts = {
         "failures_last_24h": _total("n", report_ts, "24h"),
@@ -396,14 +396,14 @@ def _run_log(report_ts: str) -> str:
         "exceptions": f"SELECT count(*) FROM ({types})",
     }
     return " UNION ALL ".join(
-        f"SELECT '{_run_id(report_ts)}' AS run_id, '{name}' AS metric, ({sql}) AS n"
+        f"SELECT '{run_id_of(report_ts)}' AS run_id, '{name}' AS metric, ({sql}) AS n"
         for name, sql in counts.items()
     )
 
 
 def _latest(report_ts: str) -> str:
     return (
-        f"SELECT '{_run_id(report_ts)}' AS run_id, {_stamps(report_ts)},"
+        f"SELECT '{run_id_of(report_ts)}' AS run_id, {_stamps(report_ts)},"
         f" '{fixed.STATUS_SUCCESS}' AS status, n24.*, n7.*"
         f" FROM ({_total('failures_last_24h', report_ts, '24h')}) n24,"
         f" ({_total('failures_last_7d', report_ts, '7d')}) n7"
@@ -419,7 +419,7 @@ def _ranked_by(scope: str, counts: str) -> str:
 
 
 def _by_client(ts: str) -> dict[str, str]:
-    in_7d, in_30d = _between(ts, "7d"), _between(ts, "30d")
+    in_7d, in_30d = between(ts, "7d"), between(ts, "30d")
     top = f"SELECT client, site, count(*) AS failures FROM facts WHERE {in_30d} GROUP BY ALL"
     return {
         "failures_by_client": (
@@ -433,7 +433,7 @@ def _by_client(ts: str) -> dict[str, str]:
         ),
         "trend_by_client": (
             "SELECT c.client, CAST(s.date AS VARCHAR) AS date, coalesce(d.failures, 0) AS failures"
-            f" FROM (SELECT DISTINCT client FROM facts) c CROSS JOIN ({_spine(ts)}) s"
+            f" FROM (SELECT DISTINCT client FROM facts) c CROSS JOIN ({spine(ts)}) s"
             ' LEFT JOIN (SELECT client, CAST("timestamp" AS DATE) AS date, count(*) AS failures'
             f" FROM facts WHERE {in_30d} GROUP BY ALL) d"
             " ON d.client IS NOT DISTINCT FROM c.client AND d.date = s.date"
@@ -441,29 +441,30 @@ def _by_client(ts: str) -> dict[str, str]:
     }
 
 
-_BACKFILL_RUNS = "(VALUES {}) r(report_ts, anchor)".format(
-    ", ".join(f"('{ts}', {_instant(ts)})" for ts in BACKFILL)
-)
+def _instants(instants: tuple[str, ...]) -> str:
+    return "(VALUES {}) r(report_ts, anchor)".format(", ".join(f"('{ts}', {instant_of(ts)})" for ts in instants))
 
 
-def _in_run(window: str) -> str:
+def in_run(window: str) -> str:
     return f'"timestamp" BETWEEN anchor - INTERVAL {_WINDOWS[window]} AND anchor'
 
 
-_BACKFILL_SQL = f"""
+def backfill_sql(instants: tuple[str, ...]) -> str:
+    return f"""
     SELECT report_ts, site, failure_type, CAST(date AS VARCHAR) AS date,
            GROUPING(site, failure_type, date) AS grain,
-           count(*) FILTER (WHERE {_in_run("24h")}) AS n_24h,
-           count(*) FILTER (WHERE {_in_run("7d")}) AS n_7d,
+           count(*) FILTER (WHERE {in_run("24h")}) AS n_24h,
+           count(*) FILTER (WHERE {in_run("7d")}) AS n_7d,
            count(*) AS n_30d
-    FROM (SELECT *, CAST("timestamp" AS DATE) AS date FROM facts JOIN {_BACKFILL_RUNS}
-          ON {_in_run("30d")})
+    FROM (SELECT *, CAST("timestamp" AS DATE) AS date FROM facts JOIN {_instants(instants)}
+          ON {in_run("30d")})
     GROUP BY GROUPING SETS ((report_ts, site), (report_ts, failure_type, date))"""
 
+
 _TOP_SITES_BY_RUN = _ranked_by(
     "report_ts",
     "SELECT report_ts, site, count(*) AS failures FROM facts"
-    f" JOIN {_BACKFILL_RUNS} ON {_in_run('7d')} GROUP BY ALL",
+    f" JOIN {_instants(BACKFILL)} ON {in_run('7d')} GROUP BY ALL",
 )
 
 
@@ -480,7 +481,7 @@ _SYNTHETIC = f"""
         FROM d
     )
     SELECT list_extract({list(fixed.SYNTHETIC_SITES)}, a % 5 + 1) AS site,
-           {_instant(fixed.SYNTHETIC_ANCHOR)}
+           {instant_of(fixed.SYNTHETIC_ANCHOR)}
                - to_seconds(b % {fixed.SYNTHETIC_DAYS * 86400 + 1}) AS "timestamp",
            list_extract({list(fixed.SYNTHETIC_FAILURE_TYPES)}, c % 5 + 1) AS failure_type,
            format('doc_{{:06d}}_{{}}', id, e % 9000 + 1000) AS document_id
@@ -488,6 +489,8 @@ _SYNTHETIC = f"""
 
 
 def all_oracles() -> dict[str, str]:
+    from checks import run_oracles  # which writes its SQL with the helpers above
+
     ts = EVENTS.report_ts
     bound = {
         f"{name}{suffix}": sql
@@ -498,7 +501,7 @@ def all_oracles() -> dict[str, str]:
         "fact_write_roundtrip": (
             'SELECT *, CAST(CAST("timestamp" AS DATE) AS VARCHAR) AS event_date FROM facts'
         ),
-        "metric_foreign_event_date": f"SELECT count(*) AS failures_last_7d FROM facts WHERE {_between(ts, '7d')}",
+        "metric_foreign_event_date": f"SELECT count(*) AS failures_last_7d FROM facts WHERE {between(ts, '7d')}",
         "run_id": (
             "SELECT document_id, regexp_replace(strftime(\"timestamp\", '%Y-%m-%dT%H:%M:%SZ'),"
             " '[^a-zA-Z0-9]', '', 'g') AS run_id FROM facts"
@@ -508,22 +511,22 @@ def all_oracles() -> dict[str, str]:
         "payload_exceptions_paged": (
             "SELECT CAST((position - 1) // 100 AS INTEGER) AS page, position, failure_type, \"count\" FROM ("
             'SELECT row_number() OVER (ORDER BY "count" DESC, failure_type) AS position, * FROM ('
-            f'SELECT document_id AS failure_type, count(*) AS "count" FROM facts WHERE {_between(ts, "7d")}'
+            f'SELECT document_id AS failure_type, count(*) AS "count" FROM facts WHERE {between(ts, "7d")}'
             " GROUP BY ALL))"
         ),
         "run_status": (
-            f"SELECT '{_run_id(EARLIER_TS)}' AS run_id, 'SUCCESS' AS status, count(*) AS failures_last_7d"
-            f" FROM facts WHERE {_between(EARLIER_TS, '7d')} UNION ALL"
-            f" SELECT '{_run_id(ts)}', CASE WHEN count(*) > 0 THEN 'ERROR' ELSE 'SUCCESS' END, NULL"
-            f" FROM facts WHERE {_between(ts, '30d')}"
+            f"SELECT '{run_id_of(EARLIER_TS)}' AS run_id, 'SUCCESS' AS status, count(*) AS failures_last_7d"
+            f" FROM facts WHERE {between(EARLIER_TS, '7d')} UNION ALL"
+            f" SELECT '{run_id_of(ts)}', CASE WHEN count(*) > 0 THEN 'ERROR' ELSE 'SUCCESS' END, NULL"
+            f" FROM facts WHERE {between(ts, '30d')}"
         ),
         **_contracts(ts),
         "run_history": f"{_run_items(EARLIER_TS)} UNION ALL {_run_items(ts)}",
         "latest_run": _latest(ts),
         "current_payloads": _run_items(ts),
-        "backfill_runs": _BACKFILL_SQL,
+        "backfill_runs": backfill_sql(BACKFILL),
         "top_sites_by_run": _TOP_SITES_BY_RUN,
-        "run_metrics_log": f"{_run_log(EARLIER_TS)} UNION ALL {_run_log(ts)}",
+        "run_metrics_log": f"{run_log(EARLIER_TS)} UNION ALL {run_log(ts)}",
     }
     by_client = {
         name: f"WITH facts AS ({CLIENT_ORDERS_SQL}) {sql}"
@@ -544,10 +547,6 @@ def all_oracles() -> dict[str, str]:
             "contract_run_consistency": _rules(**dict.fromkeys(_CONSISTENCY_RULES, "0")),
             "contract_stored_json": _stored_json(),
             "run_manifest": f"{_manifest_items(EARLIER_TS)} UNION ALL {_manifest_items(ts)}",
-            "missing_artifacts": (
-                f"SELECT '{_run_id(ts)}' AS run_id, '{fixed.TREND_30D}' AS artifact,"
-                " 'not listed' AS reason UNION ALL"
-                f" SELECT '{_run_id(ts)}', '{fixed.EXCEPTIONS}', 'not stored'"
-            ),
         }
+        | run_oracles.run_oracles()
     )

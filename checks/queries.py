@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks.bindings import EVENTS, LINEITEM, ORDERS, Binding, client_orders, clients
+from checks.run_queries import run_queries, stored_items
 from trailmetrics import fixed_values as fixed
 from trailmetrics.functions import windows
 from trailmetrics.operators import catalog, contracts, documents, rollup, scoped, windowed
@@ -176,29 +177,9 @@ def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("run_id", "status", F.col("metrics")["failures_last_7d"].alias("failures_last_7d"))
 
 
-_ITEM_FIELDS = {
-    fixed.SUMMARY: ("site", "failures"),
-    fixed.TREND_30D: ("date", "failures"),
-    fixed.TOP_SITES: ("site", "failures"),
-    fixed.EXCEPTIONS: ("failure_type", "count"),
-}
-
-
 def _stored_items(stored: DataFrame) -> DataFrame:
     """``(run_id, artifact, position, item, n)`` of all stored payload documents."""
-
-    def of(artifact: str) -> DataFrame:
-        key, count = _ITEM_FIELDS[artifact]
-        rows = documents.items(documents.from_json(stored, artifact), artifact)
-        return rows.select(
-            "run_id",
-            F.lit(artifact).alias("artifact"),
-            "position",
-            F.col(key).alias("item"),
-            F.col(count).alias("n"),
-        )
-
-    return reduce(DataFrame.unionAll, map(of, fixed.PAYLOAD_ARTIFACTS))
+    return stored_items(stored, "run_id")
 
 
 def payload_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,30 +318,6 @@ def run_metrics_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("run_id", F.explode("metrics").alias("metric", "n"))
 
 
-def missing_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaps in a history whose later run stored no exceptions and does not list its trend."""
-    root = scratch_path(spark, "gaps")
-    facts = EVENTS.facts(spark, sf_dir)
-    publish.publish_run(spark, facts, root, EARLIER_TS, GENERATED_AT)
-    later, attempt = "20240130T120000Z", "a-gaps"
-    kept = (fixed.SUMMARY, fixed.TREND_30D, fixed.TOP_SITES)
-    found = _event_documents(spark, sf_dir)
-    texts = [documents.as_json(found[artifact], artifact) for artifact in kept]
-    history.store_documents(reduce(DataFrame.unionAll, texts), root, later, attempt)
-    row = history.committed_runs(spark, root).withColumns(
-        {
-            "run_id": F.lit(later),
-            "report_ts": F.lit(EVENTS.report_ts),
-            "artifacts": F.array_remove("artifacts", fixed.TREND_30D),
-            "attempt": F.lit(attempt),
-        }
-    )
-    history.commit(row, root)
-    return history.missing_artifacts(
-        history.committed_runs(spark, root), history.stored_documents(spark, root)
-    )
-
-
 def by_client(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One metric for every market segment that has orders."""
     facts = client_orders(spark, sf_dir)
@@ -431,7 +388,6 @@ def all_queries() -> dict[str, Query]:
         "run_manifest": run_manifest,
         "latest_run": latest_run,
         "current_payloads": current_payloads,
-        "missing_artifacts": missing_artifacts,
         "run_metrics_log": run_metrics_log,
         "failures_by_client": partial(by_client, name="failures_last_7d"),
         "top_sites_by_client": partial(by_client, name="top_sites_30d"),
@@ -439,4 +395,4 @@ def all_queries() -> dict[str, Query]:
         "trend_by_client": partial(by_client, name="trend_30d"),
         "backfill_runs": backfill_runs,
         "top_sites_by_run": top_sites_by_run,
-    }
+    } | run_queries()
