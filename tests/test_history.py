@@ -87,12 +87,11 @@ def test_a_run_that_stopped_half_way_is_invisible_and_can_be_repeated(spark, fac
 @pytest.mark.parametrize("seconds", [1, -1])
 def test_of_two_racing_commits_the_first_counts_whatever_its_stamp(spark, facts, root, seconds):
     publish.publish_run(spark, facts, root, R)
-    row = history.committed_runs(spark, root)
-    later = F.col("committed_at") + F.expr(f"INTERVAL {seconds} SECOND")
-    kept = row.first().attempt
+    entry = history.committed_runs(spark, root).first().asDict()
+    later = entry["committed_at"] + timedelta(seconds=seconds)
     with pytest.raises(history.RunAlreadyPublished):
-        history.commit(row.withColumns({"attempt": F.lit("a-0"), "committed_at": later}), root)
-    assert [r.attempt for r in history.committed_runs(spark, root).collect()] == [kept]
+        history.commit(spark, root, entry | {"attempt": "a-0", "committed_at": later})
+    assert [r.attempt for r in history.committed_runs(spark, root).collect()] == [entry["attempt"]]
 
 
 def test_reading_creates_nothing_and_needs_no_right_to_write(spark, facts, root):
@@ -132,9 +131,8 @@ def test_nothing_to_read(spark, root):
 
 
 def commit_copy(spark, root, run_id, **changes):
-    row = history.committed_runs(spark, root).where(F.col("run_id") == RUN)
-    columns = {"run_id": F.lit(run_id), "attempt": F.lit("a-copy")} | changes
-    history.commit(row.withColumns(columns), root)
+    entry = history.committed_runs(spark, root).where(F.col("run_id") == RUN).first().asDict()
+    history.commit(spark, root, entry | {"run_id": run_id, "attempt": "a-copy"} | changes)
 
 
 def test_a_newest_run_in_error_is_told_and_passed_over_only_on_request(spark, facts, make_facts, root):
@@ -161,7 +159,7 @@ def test_an_incomplete_run_is_not_read(spark, facts, root):
     publish.publish_run(spark, facts, root, R)
     texts = history.stored_documents(spark, root).where(F.col("artifact") != fixed.EXCEPTIONS)
     history.store_documents(texts.select("artifact", "page", "value"), root, RUN2, "a-copy")
-    commit_copy(spark, root, RUN2, artifacts=F.array(F.lit(fixed.SUMMARY), F.lit(fixed.TREND_30D), F.lit(fixed.EXCEPTIONS)))
+    commit_copy(spark, root, RUN2, artifacts=[fixed.SUMMARY, fixed.TREND_30D, fixed.EXCEPTIONS])
     missing = history.missing_artifacts(history.committed_runs(spark, root), history.stored_documents(spark, root))
     assert sorted(rows(missing)) == [
         (RUN2, fixed.EXCEPTIONS, "not stored"), (RUN2, fixed.TOP_SITES, "not listed")

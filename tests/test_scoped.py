@@ -114,8 +114,12 @@ def test_backfilled_runs_equal_published_ones_and_a_backfill_goes_on(spark, edge
     assert [run.report_ts for run in added] == sorted(stamps[1:])
     assert backfill.backfill_runs(spark, facts, f"{root}/many", stamps, "g") == []
     one, many = (
-        sorted(rows(history.stored_documents(spark, f"{root}/{r}").select("run_id", "artifact", "value")))
-        for r in ("one", "many")
+        sorted(
+            rows(
+                history.documents_of_runs(spark, r, history.committed_runs(spark, r)).select("run_id", "artifact", "value")
+            )
+        )
+        for r in (f"{root}/one", f"{root}/many")
     )
     assert one == many and len(one) == 15
     current = history.open_current(spark, f"{root}/many")
