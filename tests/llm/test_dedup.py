@@ -10,7 +10,8 @@ import xxhash
 
 from tests.llm.helpers import LOWERED, awkward, documents, folder, prose, rows
 from trailmetrics.llm.components import connected_components
-from trailmetrics.llm.passages import align, chains, op5_collinear_chains, segments, stretches
+from trailmetrics.llm.common import words_of
+from trailmetrics.llm.passages import SeedBlock, align, chains, hashed_words, op5_collinear_chains, seeds, segments, stretches
 from trailmetrics.llm.simhash import class_links, one_of_each, op4_vantage_simhash, shards, tree_links
 from trailmetrics.llm.suffixes import common_prefixes, op8_two_stage_suffixes, remove_repeats, suffix_array
 
@@ -150,7 +151,9 @@ def test_suffix_array_is_sorted_to_its_depth(data):
 
 
 def test_chains_go_forward_in_both_texts_and_prefer_near_segments():
-    parts = segments(np.array([0, 5, 10, 40, 20]), np.array([100, 105, 110, 140, 20]))
+    found = segments(np.array([0, 0, 0, 0, 0, 7, 7]), np.array([0, 5, 10, 40, 20, 2, 1]), np.array([100, 105, 110, 140, 20, 2, 9]))
+    assert list(zip(*(x.tolist() for x in found)))[-2:] == [(7, 1, 9, 5), (7, 2, 2, 5)]
+    parts = [tuple(part) for part in zip(*(x[:-2].tolist() for x in found[1:]))]
     best = chains(parts)[0]
     assert best == [(0, 100, 15), (40, 140, 5)] or best == [(0, 100, 15)]
     for chain in chains([(0, 50, 9), (12, 10, 9), (12, 64, 9), (30, 80, 9)]):
@@ -242,3 +245,55 @@ def test_common_seeds_do_not_hide_a_passage(spark):
     spans = [(row.doc_id, row.start_word, row.end_word) for row in found]
     assert [x for x in expected if not any(d == x[0] and a <= x[1] and x[2] <= b for d, a, b in spans)] == []
     assert next(row.source_doc_id for row in found if row.doc_id == 3) == 1
+
+
+def test_words_and_seeds_of_a_block_equal_those_of_each_text():
+    rng = np.random.default_rng(4)
+    texts = [b"", b" ", b"one", b"a b c d e", b"x" * 300_000 + b" y", "Gr\u00fc\u00dfe \t\x0b\x0c\r\n  ENDE".encode()]
+    texts += [" ".join(rng.choice(["aa", "b", "Cc", "d\u00e9", "e"], size=n)).encode() + rng.choice([b"", b" "]) for n in rng.integers(0, 60, 80).tolist()]
+    hashes, counts = hashed_words(b"".join(texts), np.array([len(text) for text in texts]))
+    found = [words_of(text) for text in texts]
+    assert counts.tolist() == [len(words) for words in found]
+    number = {}
+    assert all(number.setdefault(word, h) == h for word, h in zip((w for words in found for w in words), hashes.tolist()))
+    assert len(set(number.values())) == len(number)
+    alone = []
+    for i, low in enumerate((np.cumsum(counts) - counts).tolist()):
+        own = seeds(hashes[low : low + counts[i]], counts[i : i + 1])
+        alone += [(h, i, place) for h, place in zip(own[0].tolist(), own[2].tolist())]
+    assert alone == list(zip(*(x.tolist() for x in seeds(hashes, counts))))
+
+
+def test_a_block_reports_a_common_line_once():
+    line = prose(5, 30)
+    texts = [f"{prose(i, 20)} {line} {prose(900 + i, 9)}".encode() for i in range(300)]
+    import zstandard
+
+    block = SeedBlock({
+        "texts": zstandard.ZstdCompressor().compress(b"".join(texts)), "orders": np.arange(300).tobytes(),
+        "sizes": np.array([len(text) for text in texts]).tobytes(),
+    })
+    hottest = np.bincount(np.searchsorted(np.unique(block.hash), block.hash)).max()
+    assert hottest >= 300 and len(np.unique(block.hash[block.reported()])) == len(block.reported())
+
+
+@pytest.mark.parametrize("like", [0.95, 0.9, 0.85, 0.8])
+def test_passages_of_similar_shingles_are_found(spark, like):
+    """Of 40 pairs of 100 words whose five-word shingles are that similar, the share found for 80 words and more."""
+    rng, given = np.random.default_rng(int(like * 100)), []
+    for i in range(40):
+        words, changed = prose(3_000 + i, 100).split(), None
+        changed = list(words)
+        while True:
+            other = list(changed)
+            other[rng.integers(0, 100)] = f"new{rng.integers(1 << 30)}"
+            a, b = ({tuple(x[j : j + 5]) for j in range(96)} for x in (words, other))
+            if len(a & b) / len(a | b) < like:
+                break
+            changed = other
+        given.append((i, prose(4_000 + i, 60) + " " + " ".join(words)))
+        given.append((1_000 + i, prose(5_000 + i, 50) + " " + " ".join(changed) + " " + prose(6_000 + i, 50)))
+    found = {}
+    for row in op5_collinear_chains(spark, folder(spark, documents=documents(spark, given))).collect():
+        found[row.doc_id] = max(found.get(row.doc_id, 0), min(row.end_word, 150) - max(row.start_word, 50))
+    assert sum(found.get(1_000 + i, 0) >= 80 for i in range(40)) >= 36
