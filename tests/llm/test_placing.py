@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 import zlib
 from collections import Counter
 
@@ -12,9 +13,24 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.helpers import LOWERED, awkward, documents, folder, prose, rows
+from trailmetrics.llm import quality, sharding
 from trailmetrics.llm.lm import heaps_exponent, score_documents
 from trailmetrics.llm.packing import op1_best_fit, pack, pack_documents
-from trailmetrics.llm.quality import FOLDS, fit, op9_random_indexing
+from trailmetrics.llm.pii import redact_documents
+from trailmetrics.llm.quality import (
+    BUCKETS,
+    FOLDS,
+    NONZEROS,
+    REACH,
+    WIDTH,
+    _buckets_of,
+    _index_vectors,
+    _pooled,
+    fit,
+    good_documents,
+    op9_random_indexing,
+    token_vectors,
+)
 from trailmetrics.llm.sharding import first_map, load_map, op6_virtual_slots, rebalance, shard_documents
 from trailmetrics.llm.topk import op2_threshold_top_k
 
@@ -183,7 +199,7 @@ def test_quality_ignores_labels_of_the_held_out_fold(spark):
 
 
 def test_a_model_of_one_class_stays_in_range():
-    model = fit(["good words here"] * 12, [1] * 12)
+    model = fit(np.zeros((BUCKETS, WIDTH), np.float32), np.zeros((12, 2 * WIDTH)), [1] * 12)
     assert 0.5 < float(model.probabilities(np.zeros((1, 128)))[0]) <= 1
 
 
@@ -207,3 +223,90 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, left, path)
     assert {r.doc_id for r in packed.collect()} == ids[3]
     assert rows(corpus_pipeline.run(spark, path).select("doc_id", "piece", "tokens")) == rows(packed.select("doc_id", "piece", "tokens"))
+
+
+def plain_vectors(texts):
+    places, signs = _index_vectors(quality.SEED)
+    total = np.zeros((BUCKETS, WIDTH))
+    for text in texts:
+        words = (text or "").split()
+        shapes = [quality._AGAIN if i and words[i - 1] == word else _buckets_of(word)[1] for i, word in enumerate(words)]
+        for stream in ([_buckets_of(word)[0] for word in words], shapes):
+            for i, centre in enumerate(stream):
+                for j in range(max(0, i - REACH), min(len(stream), i + REACH + 1)):
+                    if j != i:
+                        for k in range(NONZEROS):
+                            total[centre, places[stream[j], k]] += signs[stream[j], k]
+    length = np.linalg.norm(total, axis=1, keepdims=True)
+    return total / np.where(length > 0, length, 1)
+
+
+@pytest.mark.parametrize("parts", [1, 7, 150])
+def test_word_vectors_are_sums_over_all_documents(spark, monkeypatch, parts):
+    monkeypatch.setattr(quality, "MERGED", 4)
+    given = [(i, text if text is None else text[:900]) for i, text in awkward()] + [(90, "Word word word WORD!! 12 12 " + "w" * 200)]
+    docs = documents(spark, given).repartition(parts)
+    assert np.allclose(token_vectors(docs), plain_vectors([text for _, text in given]), atol=1e-6)
+    assert not token_vectors(docs.limit(0)).any()
+
+
+def test_pooled_vectors_are_means_over_both_streams():
+    vectors = np.random.default_rng(3).normal(size=(BUCKETS, WIDTH)).astype(np.float32)
+    for text in ("", "a", "Some words some words words, Aa!! 99 99 99", "x" * 500 + " y"):
+        words = text.split()
+        want = np.zeros(2 * WIDTH)
+        for i, word in enumerate(words):
+            shape = quality._AGAIN if i and words[i - 1] == word else _buckets_of(word)[1]
+            want += np.concatenate([vectors[_buckets_of(word)[0]], vectors[shape]]) / len(words)
+        assert np.allclose(_pooled(text, vectors), want, atol=1e-5)
+
+
+def test_the_shape_of_a_word_is_that_of_all_of_it():
+    assert _buckets_of("a" * 70 + "!")[1] != _buckets_of("a" * 70)[1]
+
+
+#: Every name that an operator gives a column of its own.
+INTERNAL = (
+    "key_a key_b nameless some_id fp first label node spans kept quality score pooled print words start end item_ids n_hit slot shard"
+    " __slot __shard __key_a __key_b __id __nameless __quality virtual_slot doc positions text_hash cluster piece tokens source_"
+).split()
+
+
+def test_no_stage_touches_a_column_of_the_users(spark):
+    base = documents(spark, [*((d, t) for d, t, _ in labelled()), *awkward()]).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = base.select("*", *[F.lit(f"mine {name}").alias(name) for name in INTERNAL])
+    path = folder(
+        spark, labels=spark.createDataFrame([(d, q, 0) for d, _, q in labelled()], "doc_id long, quality int, toxic int"),
+        benchmark=spark.createDataFrame([(1, prose(2, 40))], "item_id long, text string"),
+    )
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, path)
+        assert left.columns == docs.columns, name
+        kept = left.select(*INTERNAL).distinct().collect()
+        assert kept and all(tuple(row) == tuple(f"mine {x}" for x in INTERNAL) for row in kept), name
+    out = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/shards"
+    sharding.write_shards(docs, slot_map(spark), out, "doc_id", "text")
+    written = spark.read.parquet(out)
+    assert written.count() == docs.count() and written.select(*INTERNAL).distinct().count() == 1
+
+
+def slot_map(spark):
+    return spark.createDataFrame([(1, slot, slot % 3) for slot in range(64)], sharding.MAP_SCHEMA)
+
+
+def test_good_documents_of_awkward_and_empty_tables(spark):
+    docs = documents(spark, [*((d, t) for d, t, _ in labelled()), *awkward()])
+    labels = spark.createDataFrame([(d, q, 0) for d, _, q in labelled()], "doc_id long, quality int, toxic int")
+    path = folder(spark, labels=labels)
+    left = good_documents(spark, docs, path)
+    assert left.columns == docs.columns and 0 < left.count() < docs.count()
+    assert good_documents(spark, docs.limit(0), path).count() == 0
+    assert good_documents(spark, docs, folder(spark, labels=labels.limit(0))).count() == docs.count()  # a score of 0.5
+
+
+def test_marks_in_texts_with_very_many_spans(spark):
+    text = " ".join(f"a{i}@ex.org é{i}" for i in range(3_000))
+    docs = documents(spark, [(1, text), (2, "a@b.org"), (3, "none"), (4, None)])
+    found = {row.doc_id: row.text for row in redact_documents(docs).collect()}
+    assert found[1] == " ".join(f"[EMAIL] é{i}" for i in range(3_000))
+    assert (found[2], found[3], found[4]) == ("[EMAIL]", "none", None)

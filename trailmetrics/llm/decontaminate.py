@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trailmetrics.llm.common import ascii_lower, join_counted, table, text_key
+from trailmetrics.llm.common import ascii_lower, free_names, join_counted, let, table, text_key
 from trailmetrics.session import materialise
 
 SPAN = 10
@@ -36,11 +36,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` over ``value``, which is computed once however often ``body`` names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _beside(values: Column, other: Column, shift: int, combine: Callable[[Column, Column], Column]) -> Column:
     """``combine(values[i], other[i + shift])`` for every i that has both."""
     n = F.greatest(F.least(F.size(values), F.size(other) - shift), F.lit(0))
@@ -51,7 +46,7 @@ def _grams(hashes: Column, grams: Column, have: int, k: int, body: Callable[[Col
     if have == k:
         return body(grams)
     longer = _beside(grams, hashes, have, lambda a, b: F.xxhash64(a, b))
-    return _let(longer, lambda more: _grams(hashes, more, have + 1, k, body))
+    return let(longer, lambda more: _grams(hashes, more, have + 1, k, body))
 
 
 def _minima(values: Column, reach: int, window: int) -> Column:
@@ -60,14 +55,14 @@ def _minima(values: Column, reach: int, window: int) -> Column:
         return values
     step = min(reach, window - reach)
     wider = _beside(values, values, step, lambda a, b: F.least(a, b))
-    return _let(wider, lambda more: _minima(more, reach + step, window))
+    return let(wider, lambda more: _minima(more, reach + step, window))
 
 
 def fingerprints(all_words: Column, span: int, gram: int = GRAM) -> Column:
     """The distinct winnowing fingerprints; every run of ``span`` words has one of them."""
     k = min(gram, span)
     hashes = F.transform(all_words, lambda word: F.xxhash64(word))
-    least = _let(hashes, lambda h: _grams(h, h, 1, k, lambda grams: _minima(grams, 1, span - k + 1)))
+    least = let(hashes, lambda h: _grams(h, h, 1, k, lambda grams: _minima(grams, 1, span - k + 1)))
     return F.array_distinct(least)
 
 
@@ -137,10 +132,10 @@ def hit_texts(
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents, with all columns, in which no window of an item occurs."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    hits = hit_texts(docs, items).select(F.col("key_a").alias("__key_a"), F.col("key_b").alias("__key_b"))
-    keyed = docs.withColumns(dict(zip(("__key_a", "__key_b"), text_key(text))))
-    return join_counted(keyed, hits, ["__key_a", "__key_b"], "left_anti").select(*docs.columns)
+    text, names = F.coalesce(F.col("text"), F.lit("")), free_names(docs.columns, *KEY)
+    hits = hit_texts(docs, items).select(*KEY).toDF(*names)
+    keyed = docs.withColumns(dict(zip(names, text_key(text))))
+    return join_counted(keyed, hits, names, "left_anti").select(*docs.columns)
 
 
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

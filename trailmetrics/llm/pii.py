@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmetrics.llm.common import table
+from trailmetrics.llm.common import free_names, table
 from trailmetrics.session import materialise
 
 #: The base kinds in the order in which they are listed, then the kinds that the method adds.
@@ -270,10 +270,21 @@ def redacted(text: Column, spans: Column) -> Column:
         parts = F.when(span["start"] >= state["at"], F.concat(state["parts"], F.array(new))).otherwise(state["parts"])
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), parts.alias("parts"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    def begin(at: Column) -> Column:
+        return F.struct(at.alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def chunk(state: Column, some: Column) -> Column:
+        """A chunk's parts become one, so that no array of all parts is copied for each span."""
+        return _let(
+            F.aggregate(some, begin(state["at"]), step),
+            lambda done: F.struct(done["at"].alias("at"), F.concat(state["parts"], F.array(F.array_join(done["parts"], ""))).alias("parts")),
+        )
+
+    last = F.floor((F.size(spans) - 1) / CHUNK).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice(spans, i * CHUNK + 1, CHUNK))
     rest = F.length(text) + 1
     return _let(
-        F.aggregate(spans, begin, step),
+        F.aggregate(chunks, begin(F.lit(0)), chunk),
         lambda done: F.concat(F.array_join(done["parts"], ""), F.substr(text, done["at"] + 1, rest)),
     )
 
@@ -286,11 +297,16 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """The documents, with all columns, with marks in place of personal data; null texts stay null."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    model = fit(materialise(docs.select(proposals(text).alias("spans")), "proposals"))
-    clean = _let(kept_spans(proposals(text), model), lambda spans: F.when(F.size(spans) > 0, redacted(text, spans)).otherwise(F.col("text")))
-    out = docs.withColumn("text", clean)
+    """The documents, with all columns, with marks in place of personal data; null texts stay null.
+
+    Each text is scanned once: what is found is stored beside it, for the fit and for the marks.
+    """
+    text, (name,) = F.coalesce(F.col("text"), F.lit("")), free_names(docs.columns, "spans")
+    found = materialise(docs.withColumn(name, proposals(text)), "proposals")
+    model = fit(found.select(F.col(name).alias("spans")))
+    spans = kept_spans(F.col(name), model)
+    clean = _let(spans, lambda kept: F.when(F.size(kept) > 0, redacted(text, kept)).otherwise(F.col("text")))
+    out = found.withColumn("text", clean).select(*docs.columns)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0))) if "n_chars" in docs.columns else out
 
 

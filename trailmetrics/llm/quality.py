@@ -1,15 +1,17 @@
 """Quality classifier: random-indexing word vectors, pooled per document, under a two-layer network.
 
 Each bucket of hashed tokens owns a fixed sparse ternary index vector. The vector of a token is the sum of
-the index vectors that stand near it in the fitting sample. A document has two streams of tokens, its
+the index vectors that stand near it in all documents. A document has two streams of tokens, its
 words and their shapes (``AA!!``, ``Aa``, ``9``, a repeat of the word before), and is pooled to the mean
 vector of each stream. A network with one hidden layer scores it, and one temperature, fitted on
 rows that the weights have not seen, turns scores into probabilities.
 
-Fitting takes place on the driver over at most ``SAMPLE_ROWS`` labelled rows outside the held-out fold,
-the ones with the smallest hash of their id; this bound is a parameter and does not grow with the tables. The
+The sums are whole numbers: each task adds up its documents, and the sums of ``MERGED`` tasks at a time are added to one, slice by
+slice of the buckets, until one is left; so they depend neither on the order nor on the split of the files. The network is fitted
+on the driver from the pooled vectors of at most ``SAMPLE_ROWS`` labelled rows outside the held-out fold,
+the ones with the smallest hash of their id; this bound is a parameter and does not grow with the tables. The driver sees no text. The
 fitted model has a fixed size (see ``BUCKETS`` and ``WIDTH``). Every text is scored whole, in Arrow
-batches inside tasks.
+batches inside tasks; work grows with its length.
 
 Defined results: a null text is an empty text; an empty text has zero vectors and gets the network's
 score for these; a null id is in the held-out fold; repeated rows are scored each; labels that
@@ -32,7 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmetrics.llm.common import digest_bucket, row_slices, table
+from trailmetrics.llm.common import digest_bucket, free_names, row_slices, table
+from trailmetrics.llm.packed import pack, unpack
+from trailmetrics.session import materialise
 
 SAMPLE_ROWS = 6_000
 BUCKETS = 1 << 16
@@ -44,6 +48,8 @@ EPOCHS = 60
 FOLDS = 5
 KEEP_AT = 0.3
 SEED = 11
+SLICES = 64
+MERGED = 64
 
 _RUNS = ((re.compile("[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile("[a-zß-öø-ÿ]+"), "a"), (re.compile("[0-9]+"), "9"))
 _AGAIN = zlib.crc32(b"\0again") % BUCKETS
@@ -74,10 +80,18 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -60.0, 60.0)))
 
 
-@lru_cache(maxsize=1 << 17)
 def _buckets_of(word: str) -> tuple[int, int]:
     """Buckets of a word, lower-cased and without marks at its ends, and of its shape."""
-    shape = word[:64]
+    return _known_buckets(word) if len(word) <= 64 else _new_buckets(word)  # long words are not kept in memory
+
+
+@lru_cache(maxsize=1 << 17)
+def _known_buckets(word: str) -> tuple[int, int]:
+    return _new_buckets(word)
+
+
+def _new_buckets(word: str) -> tuple[int, int]:
+    shape = word
     for run, letter in _RUNS:
         shape = run.sub(letter, shape)
     bare = word.strip("!?.,;:*$%&#|\"'()[]").lower()
@@ -100,37 +114,111 @@ def _pooled(text: str, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def _streams(text: str) -> Iterator[np.ndarray]:
-    words = text.split()
-    found = np.array([_buckets_of(word) for word in words], dtype=np.int64).reshape(-1, 2)
-    shapes = found[:, 1].copy()
-    shapes[[i for i in range(1, len(words)) if words[i] == words[i - 1]]] = _AGAIN
-    yield found[:, 0]
-    yield shapes
-
-
-def token_vectors(texts: list[str], seed: int = SEED) -> np.ndarray:
-    """Random indexing: for every bucket the sum of its neighbours' index vectors, at length 1."""
+def _index_vectors(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the index vector of each bucket is not zero, and the signs there."""
     rng = np.random.default_rng(seed)
-    places = rng.integers(WIDTH, size=(BUCKETS, NONZEROS))
-    signs = rng.choice(np.array([-1.0, 1.0]), size=(BUCKETS, NONZEROS))
-    total = np.zeros(BUCKETS * WIDTH)
-    streams = [stream for text in texts for stream in _streams(text)]
-    for start in range(0, len(streams), 2000):
-        gap = np.full(REACH, -1)
-        ids = np.concatenate([part for stream in streams[start : start + 2000] for part in (stream, gap)])
-        for step in range(1, REACH + 1):
-            near, far = ids[:-step], ids[step:]
-            both = (near >= 0) & (far >= 0)
-            for centre, other in ((near[both], far[both]), (far[both], near[both])):
-                for k in range(NONZEROS):
-                    at = centre * WIDTH + places[other, k]
-                    total += np.bincount(at, weights=signs[other, k], minlength=len(total))
-    vectors = total.reshape(BUCKETS, WIDTH)
+    return rng.integers(WIDTH, size=(BUCKETS, NONZEROS)), rng.choice(np.array([-1.0, 1.0]), size=(BUCKETS, NONZEROS))
+
+
+class _Numbers(dict):
+    """A number for each word, and its buckets by number."""
+
+    def __init__(self) -> None:
+        self.buckets: list[tuple[int, int]] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self.buckets)
+        self.buckets.append(_buckets_of(word))
+        return number
+
+
+def _streams(texts: list[str]) -> np.ndarray:
+    """The buckets of the words of some texts and of their shapes, ``REACH`` times -1 after each text; two rows."""
+    numbers, parts = _Numbers(), []
+    gap = np.full(REACH, -1)
+    for text in texts:
+        words = text.split()
+        parts += [np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words)), gap]
+    found = np.concatenate(parts) if parts else gap
+    buckets = np.array([*numbers.buckets, (-1, -1)], dtype=np.int64)  # -1 is the last row
+    streams = buckets[found].T.copy()
+    streams[1, 1:][(found[1:] == found[:-1]) & (found[1:] >= 0)] = _AGAIN
+    return streams
+
+
+class TokenSums:
+    """Random indexing: for every bucket the sum of its neighbours' index vectors."""
+
+    def __init__(self, seed: int = SEED) -> None:
+        self.places, self.signs = _index_vectors(seed)
+        self.total = np.zeros(BUCKETS * WIDTH, dtype=np.int64)
+        self.at: list[np.ndarray] = []
+        self.weights: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, texts: list[str]) -> None:
+        for ids in _streams(texts):
+            for step in range(1, REACH + 1):
+                near, far = ids[:-step], ids[step:]
+                both = (near >= 0) & (far >= 0)
+                near, far = near[both], far[both]
+                for centre, other in ((near, far), (far, near)):
+                    self.at.append((centre[:, None] * WIDTH + self.places[other]).ravel().astype(np.int32))
+                    self.weights.append(self.signs[other].ravel().astype(np.int8))
+                    self.held += len(self.at[-1])
+        if self.held >= 1 << 22:
+            self.flush()
+
+    def flush(self) -> np.ndarray:
+        if self.held:
+            sums = np.bincount(np.concatenate(self.at), weights=np.concatenate(self.weights), minlength=len(self.total))
+            self.total += sums.astype(np.int64)
+        self.at, self.weights, self.held = [], [], 0
+        return self.total
+
+
+def unit_vectors(total: np.ndarray) -> np.ndarray:
+    """The sums at length 1."""
+    vectors = total.reshape(BUCKETS, WIDTH).astype(float)
     length = np.linalg.norm(vectors, axis=1, keepdims=True)
     return (vectors / np.where(length > 0, length, 1.0)).astype(np.float32)
 
 
+def token_vectors(docs: DataFrame, text_col: str = "text", seed: int = SEED) -> np.ndarray:
+    """Vectors of all buckets from all documents; of fixed size, whatever the table."""
+    width = BUCKETS * WIDTH // SLICES
+
+    def rows(total: np.ndarray) -> pa.RecordBatch:
+        packed = [pack(total[i * width : (i + 1) * width]) for i in range(SLICES)]
+        return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], ["slice", "sums"])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
+        for batch in row_slices(batches, 128):
+            sums = sums or TokenSums(seed)
+            sums.add([text or "" for text in batch.column(0).to_pylist()])
+        if sums is not None:
+            yield rows(sums.flush())
+
+    def merged(group: pa.Table) -> pa.Table:
+        total = sum(unpack(packed.as_py(), np.int64) for packed in group["sums"])
+        return pa.table({"slice": group["slice"][:1], "part": pa.array([group["part"][0].as_py() // MERGED]), "sums": pa.array([pack(total)], pa.binary())})
+
+    parts = docs.select(text_col).mapInArrow(summed, "slice int, sums binary")
+    parts = materialise(parts.withColumn("part", F.spark_partition_id().cast("long")), "token-sums")
+    most = parts.agg(F.max("part")).first()[0] or 0
+    while True:
+        groups = parts.groupBy("slice", F.floor(F.col("part") / MERGED).alias("parent"))
+        parts = materialise(groups.applyInArrow(merged, "slice int, part long, sums binary"), "token-sums")
+        most //= MERGED
+        if not most:
+            break
+    total = np.zeros(BUCKETS * WIDTH, dtype=np.int64)
+    for row in parts.toLocalIterator():  # a row per slice
+        total[row.slice * width : (row.slice + 1) * width] = unpack(row.sums, np.int64)
+    return unit_vectors(total)
+
+
 def _train(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple:
     """Adam on cross-entropy with a little weight decay."""
     n_in = x.shape[1]
@@ -154,13 +242,12 @@ def _train(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple:
     return weights[0], weights[1], weights[2], float(weights[3][0])
 
 
-def fit(texts: list[str], labels: list[int], seed: int = SEED) -> Model:
-    """Vectors and weights from four fifths of the rows in the order given, the temperature from the rest."""
-    vectors = token_vectors(texts, seed)
+def fit(vectors: np.ndarray, x: np.ndarray, labels: list[int], seed: int = SEED) -> Model:
+    """Weights from four fifths of the pooled rows in the order given, the temperature from the rest."""
     width = 2 * WIDTH
-    if not texts:
+    if not len(x):
         return Model(vectors, np.zeros(width), np.ones(width), np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0)
-    x = np.stack([_pooled(text, vectors) for text in texts]).astype(float)
+    x = np.asarray(x, dtype=float)
     y = np.asarray(labels, dtype=float)
     kept = np.arange(len(x)) % FOLDS != 0
     kept |= kept.sum() == 0
@@ -177,7 +264,9 @@ def fit(texts: list[str], labels: list[int], seed: int = SEED) -> Model:
 def fit_on_labels(
     docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, folds: int = FOLDS
 ) -> Model:
-    """Fits on labelled rows outside the held-out fold, at most ``sample_rows`` of them."""
+    """Fits on labelled rows outside the held-out fold, at most ``sample_rows`` of them; their texts are pooled in tasks."""
+    vectors = token_vectors(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
     sample = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .where(digest_bucket(F.col("doc_id"), folds) != 0)
@@ -191,12 +280,17 @@ def fit_on_labels(
         .join(F.broadcast(sample), "doc_id")
         .groupBy("doc_id", "quality")
         .agg(F.min("text").alias("text"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample_rows)
-        .toLocalIterator()
+        .select(F.xxhash64("doc_id").alias("hash"), F.col("doc_id").cast("string").alias("id"), (F.col("quality") > 0).cast("int").alias("label"), "text")
     )
-    fitted = [(row.text or "", row.quality) for row in rows]
-    return fit([text for text, _ in fitted], [int(label > 0) for _, label in fitted])
+
+    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_slices(batches, 128):
+            found = [_pooled(text or "", shared.value).tobytes() for text in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["hash", "id", "label", "pooled"])
+
+    fitted = rows.mapInArrow(pooled, "hash long, id string, label int, pooled binary").orderBy("hash", "id").limit(sample_rows).collect()
+    x = np.array([np.frombuffer(row.pooled, dtype=np.float32) for row in fitted]).reshape(len(fitted), 2 * WIDTH)
+    return fit(vectors, x, [row.label for row in fitted])
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str, kept: list[str], score_col: str) -> DataFrame:
@@ -222,9 +316,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str, at_least:
     """The documents, with all columns, that score ``at_least``."""
     labels = table(spark, sf_dir, "labels")
     model = fit_on_labels(docs, labels)
-    name = "__quality"
-    while name in docs.columns:
-        name += "_"
+    (name,) = free_names(docs.columns, "quality")
     return with_score(docs, model, "text", docs.columns, name).where(F.col(name) >= at_least).drop(name)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trailmetrics.llm.common import free_names
 from trailmetrics.session import materialise, scratch_path
 
 SLOTS = 4096
@@ -158,9 +159,10 @@ def write_shards(docs: DataFrame, slot_map: DataFrame, path: str, id_col: str, t
     """Writes all columns of ``docs`` into a folder per shard, by the stored map."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     slot = F.pmod(F.xxhash64(id_col, text), F.lit(slot_map.count())).cast("int")
-    shards = slot_map.select(F.col("virtual_slot").alias("__slot"), F.col("shard").alias("__shard"))
-    placed = docs.withColumn("__slot", slot).join(F.broadcast(shards), "__slot").drop("__slot")
-    placed.repartition("__shard", F.rand(7)).write.partitionBy("__shard").parquet(path)
+    own, shard = free_names(docs.columns, "__slot", "__shard")
+    shards = slot_map.select(F.col("virtual_slot").alias(own), F.col("shard").alias(shard))  # a row per slot
+    placed = docs.withColumn(own, slot).join(F.broadcast(shards), own).drop(own)
+    placed.repartition(shard, F.rand(7)).write.partitionBy(shard).parquet(path)
 
 
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:

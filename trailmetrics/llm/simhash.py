@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmetrics.llm.common import join_counted, row_slices, table, text_bytes, text_key, words_of
+from trailmetrics.llm.common import free_names, join_counted, row_slices, table, text_bytes, text_key, words_of
 from trailmetrics.llm.components import connected_components, local_labels
 from trailmetrics.session import materialise
 
@@ -220,8 +220,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows that share id and text are one document.
     """
     rows, firsts = grouped_by_fingerprint(docs)
-    names = ["__nameless", "__id", "__key_a", "__key_b"]
-    stay = firsts.select("first.*").distinct().toDF(*names).withColumn("__id", F.coalesce(F.col("__id").cast("string"), F.lit("")))
+    names = free_names([*docs.columns, *rows.columns], "nameless", "some_id", "key_a", "key_b")
+    stay = firsts.select("first.*").distinct().toDF(*names)
+    stay = stay.withColumn(names[1], F.coalesce(F.col(names[1]).cast("string"), F.lit("")))
     stay = materialise(stay, "stay")
     nameless, some_id = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
 
