@@ -59,7 +59,7 @@ def _trend(report_ts: str) -> str:
     )
 
 
-def _fused(report_ts: str) -> str:
+def fused(report_ts: str) -> str:
     return f"""
         SELECT site, failure_type, CAST(date AS VARCHAR) AS date,
                GROUPING(site, failure_type, date) AS grain,
@@ -85,7 +85,7 @@ def _on_facts(binding: Binding) -> dict[str, str]:
             SELECT site, CAST(CAST(unnest(generate_series(
                        last - INTERVAL 29 DAY, last, INTERVAL 1 DAY)) AS DATE) AS VARCHAR) AS date
             FROM (SELECT site, max("timestamp") AS last FROM facts GROUP BY site)""",
-        "fused_rollup": _fused(ts),
+        "fused_rollup": fused(ts),
         "failures_last_24h": _total("failures_last_24h", ts, "24h"),
         "failures_last_7d": _total("failures_last_7d", ts, "7d"),
         "top_sites_by_failures": _top_sites(ts, "7d"),

@@ -96,8 +96,34 @@ _LARGE_K = f"""
     FROM (SELECT client, site, count(*) AS failures FROM facts GROUP BY ALL) QUALIFY position <= {LARGE_K}"""
 
 
+#: Hours between UTC and the clock of each zone, and where the window of 30 days opens.
+_CLOCKS = {
+    "America/New_York": ("CASE WHEN t < TIMESTAMP '1998-10-25 06:00:00' THEN -240 ELSE -300 END", "1998-10-11 11:00:00"),
+    "Asia/Kolkata": ("330", "1998-10-11 12:00:00"),
+    "UTC": ("0", "1998-10-11 12:00:00"),
+}
+_ZONED = " UNION ALL ".join(
+    f"""SELECT '{zone}' AS zone, CAST(CAST(s.day AS DATE) AS VARCHAR) AS date, count(f.day) AS failures
+    FROM (SELECT unnest(generate_series(DATE '1998-11-10' - INTERVAL 29 DAY, DATE '1998-11-10', INTERVAL 1 DAY)) AS day) s
+    LEFT JOIN (
+        SELECT CAST(t + to_minutes({minutes}) AS DATE) AS day FROM shipped
+        WHERE t BETWEEN TIMESTAMP '{opened}' AND TIMESTAMP '1998-11-10 12:00:00'
+    ) f ON f.day = CAST(s.day AS DATE)
+    GROUP BY s.day"""
+    for zone, (minutes, opened) in _CLOCKS.items()
+)
+_MOVED = (
+    "SELECT count(*) AS failures_last_7d FROM (SELECT CASE WHEN CAST(document_id AS BIGINT) % 3 = 0"
+    ' THEN "timestamp" + INTERVAL 480 HOUR ELSE "timestamp" END AS "timestamp" FROM facts)'
+    f" WHERE {o.between(EVENTS.report_ts, '7d')}"
+)
+
+
 def run_oracles() -> dict[str, str]:
     on_events = {
+        "rollup_from_partials": o.fused(EVENTS.report_ts),
+        "fact_scan_indexed": f'SELECT document_id, site, "timestamp" FROM facts WHERE {o.between(EVENTS.report_ts, "7d")}',
+        "metric_moved_timestamp": _MOVED,
         "backfill_prefix_sums": o.backfill_sql(MANY),
         "backfill_documents": _run_items(DAILY),
         "latest_run_compacted": _LATEST,
@@ -107,6 +133,7 @@ def run_oracles() -> dict[str, str]:
         "run_metrics_observed": o.run_log(EVENTS.report_ts),
     }
     by_client = {"client_documents": _client_items(), "top_sites_by_client_k5000": _LARGE_K}
-    return {name: f"WITH facts AS ({EVENTS.facts_sql}) {sql}" for name, sql in on_events.items()} | {
+    shipped = "SELECT CAST(l_shipdate AS TIMESTAMP) + to_hours(CAST(l_orderkey % 24 AS BIGINT)) AS t FROM lineitem"
+    return {"trend_by_zone": f"WITH shipped AS ({shipped}) {_ZONED}"} | {name: f"WITH facts AS ({EVENTS.facts_sql}) {sql}" for name, sql in on_events.items()} | {
         name: f"WITH facts AS ({CLIENT_ORDERS_SQL}) {sql}" for name, sql in by_client.items()
     }

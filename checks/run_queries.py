@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from checks.bindings import EVENTS, ORDERS, client_orders
 from trailmetrics import fixed_values as fixed
 from trailmetrics.functions import windows
-from trailmetrics.operators import documents, rollup, scoped
-from trailmetrics.plans import backfill, history, publish
+from trailmetrics.operators import catalog, documents, rollup, scoped, zoned
+from trailmetrics.plans import backfill, history, partials, publish
 from trailmetrics.session import materialise, scratch_path, session_zone
+from trailmetrics.sources import facts as fact_source
 from trailmetrics.sources.objects import put_once
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,9 +193,67 @@ def top_sites_by_client_k5000(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoped.top_by(counts, ["client"], "failures", "site", LARGE_K)
 
 
+def rollup_from_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup out of stored hourly counts: those of most events, then refreshed for the hours of the late ones."""
+    path = scratch_path(spark, "partials")
+    facts = EVENTS.facts(spark, sf_dir)
+    is_late = F.col("document_id").cast("bigint") % 50 == 7
+    partials.write_partials(facts.where(~is_late), path)
+    partials.refresh_partials(facts, path, facts.where(is_late))
+    rolled = materialise(partials.rollup_from_partials(facts, path, EVENTS.report_ts), "from-partials")
+    return rollup.by_each_key(rolled).withColumn("date", F.col("date").cast("string"))
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> str:
+    def make(path: str) -> None:
+        fact_source.write_facts(EVENTS.facts(spark, sf_dir), path)
+        fact_source.index_facts(spark, path)
+
+    return _once(spark, sf_dir, "indexed-facts", make)
+
+
+def fact_scan_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a week, of the files whose times the index does not place outside it."""
+    anchor = windows.instant(EVENTS.report_ts)
+    with session_zone(spark, "UTC"):
+        first = anchor - windows.LAST_7D.interval
+        facts = fact_source.read_facts_between(spark, _indexed(spark, sf_dir), first, anchor)
+        found = facts.where(windows.in_window(F.col("timestamp"), anchor, windows.LAST_7D))
+        return found.select("document_id", "site", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
+
+
+def metric_moved_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metric of stored events of which every third is moved by twenty days after the scan, out of its stored day."""
+    with session_zone(spark, "UTC"):
+        facts = fact_source.read_facts(spark, _indexed(spark, sf_dir))
+        moved = F.when(F.col("document_id").cast("bigint") % 3 == 0, F.col("timestamp") + F.expr("INTERVAL 480 HOURS"))
+        facts = facts.withColumn("timestamp", F.coalesce(moved, F.col("timestamp")))
+        return catalog.metric("failures_last_7d", facts, EVENTS.report_ts)
+
+
+#: A report whose window holds the end of summer time in New York.
+ZONED_TS = "1998-11-10T12:00:00Z"
+ZONES = ("America/New_York", "Asia/Kolkata", "UTC")
+
+
+def trend_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily series of the line items in three zones, each shipped at an hour that its order number tells."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    with session_zone(spark, "UTC"):
+        hours = F.make_interval(hours=(F.col("l_orderkey") % 24).cast("int"))
+        facts = items.select(
+            F.concat(F.lit("site_"), F.col("l_suppkey")).alias("site"),
+            (F.col("l_shipdate").cast("timestamp") + hours).alias("timestamp"),
+            F.col("l_returnflag").alias("failure_type"),
+        )
+    found = zoned.trend_by_zone(facts, ZONED_TS, ZONES)
+    return found.withColumn("date", F.col("date").cast("string"))
+
+
 def run_queries() -> dict[str, Query]:
     found = (
         backfill_prefix_sums, backfill_documents, latest_run_compacted, commit_recovery, missing_artifacts, stored_digests,
-        run_metrics_observed, client_documents, top_sites_by_client_k5000,
+        run_metrics_observed, client_documents, top_sites_by_client_k5000, rollup_from_partials, fact_scan_indexed,
+        metric_moved_timestamp, trend_by_zone,
     )
     return {query.__name__: query for query in found}

@@ -22,11 +22,11 @@ from trailmetrics.functions.windows import (
 )
 from trailmetrics.operators import documents
 from trailmetrics.operators.contracts import ContractViolation
+from trailmetrics.operators.slots import slotted
 from trailmetrics.plans import history, publish
 from trailmetrics.session import materialise, session_zone
 from trailmetrics.sources.facts import between_days, check_fact_schema
 
-_HOUR_MICROS = 3_600_000_000
 _WINDOWS = {"n_24h": LAST_24H, "n_7d": LAST_7D, "n_30d": LAST_30D}
 
 
@@ -74,19 +74,6 @@ def _classes(runs: DataFrame) -> list[_Class]:
     return classes
 
 
-def _hours(spark: SparkSession, edges: list[int]) -> DataFrame:
-    """``(hour, before, edges)``: every hour of the windows, the edges in it, the last one before."""
-    inside: dict[int, list[int]] = {}
-    for at in edges:
-        inside.setdefault(at // _HOUR_MICROS, []).append(at)
-    rows, before = [], None
-    for hour in range(edges[0] // _HOUR_MICROS, edges[-1] // _HOUR_MICROS + 1):
-        own = inside.get(hour, [])
-        rows.append((hour, before, own))
-        before = own[-1] if own else before
-    return spark.createDataFrame(rows, "hour BIGINT, before BIGINT, edges ARRAY<BIGINT>")
-
-
 def _slots(spark: SparkSession, edges: list[int], classes: list[_Class]) -> DataFrame:
     """``(at, first, n_24h, n_7d, n_30d)``: for the slot from each edge on, and each class, the run from which on it is held, and for each
     window the one from which on it is not any more."""
@@ -123,24 +110,11 @@ def backfill_rollup(
         classes = _classes(runs)
         edges = sorted({at for own in classes for at in (*own.ends, *(b for bounds in own.bounds for b in bounds))})
         # the earliest bound need not be that of the earliest instant
-        first, last = F.timestamp_micros(F.lit(edges[0])), F.timestamp_micros(F.lit(edges[-1] - 1))
-        event_time = F.col("timestamp")
-        micros = F.unix_micros(event_time)
-        hour = F.floor(micros / _HOUR_MICROS)
-        passed = F.array_max(F.filter("edges", lambda edge: edge <= F.col("micros")))
+        ends = [F.timestamp_micros(F.lit(end)) for end in (edges[0], edges[-1])]
         keys = ["site", "failure_type", "date"]
+        day = day_bucket(F.col("timestamp")).alias("date")
         counts = (
-            between_days(facts, first, last)
-            .where(event_time.between(first, last))
-            .select(
-                "site",
-                "failure_type",
-                day_bucket(event_time).alias("date"),
-                micros.alias("micros"),
-                hour.alias("hour"),
-            )
-            .join(F.broadcast(_hours(spark, edges)), "hour")  # one row per hour: 88,000 for ten years
-            .withColumn("at", F.coalesce(passed, F.col("before")))
+            slotted(between_days(facts, *ends), edges, "site", "failure_type", day)
             .groupingSets([["at", "site"], ["at", "failure_type", "date"]], "at", *keys)
             .agg(F.grouping_id().alias("grain"), F.count("*").alias("n"))
         )

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from trailmetrics import fixed_values as fixed
 from trailmetrics.functions import windows
 from trailmetrics.operators import documents as docs
-from trailmetrics.operators.contracts import ContractViolation, check_documents, document_violations
-from trailmetrics.operators.rollup import metrics_of, rollup
+from trailmetrics.operators.assembly import assembled, check_assembled, texts
+from trailmetrics.operators.contracts import ContractViolation, document_violations
+from trailmetrics.operators.rollup import rollup
 from trailmetrics.operators.scoped import documents_by, metrics_by, scope_key
 from trailmetrics.plans import history
 from trailmetrics.session import materialise
@@ -132,10 +133,7 @@ def publish_rollup(
     """
     spark, run_id = rolled.sparkSession, windows.run_id_of(report_ts)
     attempt = f"a-{uuid.uuid4()}"
-    metrics = metrics_of(rolled, report_ts, k, tz, ordered=False)
     generated_at = generated_at or utc_now()
-    payloads = docs.payload_documents(metrics, report_ts, generated_at, page_items)
-    payloads = {artifact: document.persist() for artifact, document in payloads.items()}
     entry = {
         "run_id": run_id,
         "report_ts": report_ts,
@@ -143,21 +141,19 @@ def publish_rollup(
         "schema_version": fixed.SCHEMA_VERSION,
         "attempt": attempt,
     }
+    documents = assembled(rolled, report_ts, generated_at, run_id, k, tz, page_items).persist()
     try:
-        manifest = docs.manifest(spark, run_id, docs.stamps(report_ts, generated_at))
-        everything = {**payloads, fixed.MANIFEST: manifest}
         try:
-            check_documents(everything)
+            check_assembled(documents)
         except ContractViolation:
             history.record_failure(spark, root, entry | {"status": fixed.STATUS_ERROR, "failed": True})
             raise
         seen = Observation()
-        history.store_documents(_texts(everything).observe(seen, *_noted()), root, run_id, attempt)
+        history.store_documents(texts(documents).observe(seen, *_noted()), root, run_id, attempt)
         noted = _log(seen.get)
         history.commit(spark, root, entry | noted | _SUCCEEDED)
     finally:
-        for document in payloads.values():
-            document.unpersist()
+        documents.unpersist()
     log.info("published %s generated_at=%s %s", run_id, generated_at, noted["metrics"])
     return PublishedRun(run_id, report_ts, generated_at, attempt, noted["metrics"])
 
@@ -217,12 +213,12 @@ def publish_reports(
         for row in sorted(reduce(DataFrame.unionAll, checks).where("violations > 0").collect()):
             said = f"{row.artifact}: {row.rule} ({row.violations})"
             batch.broken[row.scope] = "; ".join(filter(None, [batch.broken.get(row.scope), said]))
-        texts = _texts(documents, "scope").join(stamps.drop("report_ts"), "scope")
+        stored = _texts(documents, "scope").join(stamps.drop("report_ts"), "scope")
         if batch.broken:
             bad = spark.createDataFrame([(key,) for key in batch.broken], "scope string")
-            texts = texts.join(bad, "scope", "left_anti")
-        history.store_reports(texts, base, attempt)
-        noted = {row.scope: _log(row) for row in texts.groupBy("scope").agg(*_noted()).collect()}
+            stored = stored.join(bad, "scope", "left_anti")
+        history.store_reports(stored, base, attempt)
+        noted = {row.scope: _log(row) for row in stored.groupBy("scope").agg(*_noted()).collect()}
     finally:
         for document in documents.values():
             document.unpersist()

@@ -1,12 +1,16 @@
-"""The failure fact table: shape, scan, day pruning and partitioned write."""
+"""The failure fact table: shape, scan, pruning by day or by an index of its files, and partitioned write."""
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmetrics.functions.windows import Trailing, in_window, instant, utc_day
+from trailmetrics.sources.objects import exists
 
 FACT_SCHEMA = T.StructType(
     [
@@ -18,6 +22,8 @@ FACT_SCHEMA = T.StructType(
 )
 EVENT_DATE = "event_date"
 _MARK = "trailmetrics.utc_day"
+_INDEX = "_file_times"  # readers of the facts pass over names that begin like this
+_INDEX_SCHEMA = "file string, least timestamp, largest timestamp, untimed bigint"
 
 
 class FactSchemaError(ValueError):
@@ -52,8 +58,16 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def day_column(facts: DataFrame) -> str | None:
-    """The column that is known to hold the UTC day of ``timestamp``: marked by ``read_facts``."""
-    return next((f.name for f in facts.schema if f.metadata.get(_MARK) == f.name), None)
+    """The column that is known to hold the UTC day of ``timestamp``: marked by ``read_facts``, as is ``timestamp``.
+
+    Both marks go with the columns as they were scanned; a column that is computed anew has none. Rows of several tables in one frame may
+    each be marked or not, so there no column is trusted.
+    """
+    marks = {f.name: f.metadata[_MARK] for f in facts.schema if _MARK in f.metadata}
+    day = marks.get("timestamp")
+    if day is None or marks.get(day) != day:
+        return None
+    return None if re.search(r"^[ :+|-]*Union\b", facts._jdf.queryExecution().analyzed().toString(), re.MULTILINE) else day
 
 
 def write_facts(
@@ -107,3 +121,55 @@ def between_days(facts: DataFrame, first: Column, last: Column) -> DataFrame:
     return facts.where(
         F.col(day).between(F.date_sub(utc_day(first), 1), F.date_add(utc_day(last), 1))
     )
+
+
+_SLASHES = r"^([A-Za-z0-9]+):/+"  # one path may be written with one slash after its scheme or with three
+
+
+def _plain(file: str) -> str:
+    return re.sub(_SLASHES, r"\1:/", file)
+
+
+def _read_files(spark: SparkSession, path: str, files: list[str], schema: T.StructType) -> DataFrame:
+    """Some files of a table, as ``inputFiles`` names them, with its partition columns."""
+    return spark.read.schema(schema).option("basePath", path).parquet(*[unquote(file) for file in files])
+
+
+def index_facts(spark: SparkSession, path: str) -> DataFrame:
+    """Note the least and largest time of every file of a stored table that is not in its index yet; the index.
+
+    Reads one column of the new files and nothing of the others. The driver compares names only, which Spark lists there anyway.
+    """
+    facts = spark.read.parquet(path)
+    known = {row.file for row in file_index(spark, path).select("file").toLocalIterator()}
+    new = sorted(file for file in facts.inputFiles() if _plain(file) not in known)
+    if new:
+        times = _read_files(spark, path, new, facts.schema)
+        file = F.regexp_replace("_metadata.file_path", _SLASHES, "$1:/").alias("file")
+        rows = times.groupBy(file).agg(
+            F.min("timestamp").alias("least"), F.max("timestamp").alias("largest"), F.count_if(F.col("timestamp").isNull()).alias("untimed")
+        )
+        rows.write.mode("append").parquet(f"{path}/{_INDEX}")
+    return file_index(spark, path)
+
+
+def file_index(spark: SparkSession, path: str) -> DataFrame:
+    """``file, least, largest, untimed`` of the files an index knows; without an index no rows."""
+    if not exists(spark, f"{path}/{_INDEX}"):
+        return spark.createDataFrame([], _INDEX_SCHEMA)
+    return spark.read.schema(_INDEX_SCHEMA).parquet(f"{path}/{_INDEX}")
+
+
+def read_facts_between(spark: SparkSession, path: str, first: Column, last: Column) -> DataFrame:
+    """The stored facts without the files whose times all lie outside ``first`` to ``last``, as the index proves.
+
+    What is left out is decided by the scanned times, here and now; whatever becomes of the columns after it, no row is lost to
+    pruning. Files that the index does not know under their path are read. The driver sees the names of the files it is spared.
+    """
+    facts = check_fact_schema(spark.read.parquet(path))
+    apart = (F.col("least") > last) | (F.col("largest") < first) | F.col("least").isNull()
+    spared = {row.file for row in file_index(spark, path).where(apart).select("file").toLocalIterator()}
+    if not spared:
+        return facts
+    kept = sorted(file for file in facts.inputFiles() if _plain(file) not in spared)
+    return _read_files(spark, path, kept, facts.schema) if kept else facts.limit(0)
