@@ -20,16 +20,16 @@ from trailmetrics.llm.pii import redact_documents
 from trailmetrics.llm.quality import (
     BUCKETS,
     FOLDS,
-    NONZEROS,
     REACH,
     WIDTH,
-    _buckets_of,
-    _index_vectors,
-    _pooled,
+    Words,
     fit,
     good_documents,
+    index_vectors,
     op9_random_indexing,
+    pooled,
     token_vectors,
+    word_buckets,
 )
 from trailmetrics.llm.sharding import first_map, load_map, op6_virtual_slots, rebalance, shard_documents
 from trailmetrics.llm.topk import op2_threshold_top_k
@@ -225,18 +225,21 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
     assert rows(corpus_pipeline.run(spark, path).select("doc_id", "piece", "tokens")) == rows(packed.select("doc_id", "piece", "tokens"))
 
 
+def buckets_of(word):
+    return tuple(word_buckets([word])[0].tolist())
+
+
 def plain_vectors(texts):
-    places, signs = _index_vectors(quality.SEED)
+    index = index_vectors(quality.SEED)
     total = np.zeros((BUCKETS, WIDTH))
     for text in texts:
         words = (text or "").split()
-        shapes = [quality._AGAIN if i and words[i - 1] == word else _buckets_of(word)[1] for i, word in enumerate(words)]
-        for stream in ([_buckets_of(word)[0] for word in words], shapes):
+        shapes = [quality._AGAIN if i and words[i - 1] == word else buckets_of(word)[1] for i, word in enumerate(words)]
+        for stream in ([buckets_of(word)[0] for word in words], shapes):
             for i, centre in enumerate(stream):
                 for j in range(max(0, i - REACH), min(len(stream), i + REACH + 1)):
                     if j != i:
-                        for k in range(NONZEROS):
-                            total[centre, places[stream[j], k]] += signs[stream[j], k]
+                        total[centre] += index[stream[j]]
     length = np.linalg.norm(total, axis=1, keepdims=True)
     return total / np.where(length > 0, length, 1)
 
@@ -256,13 +259,36 @@ def test_pooled_vectors_are_means_over_both_streams():
         words = text.split()
         want = np.zeros(2 * WIDTH)
         for i, word in enumerate(words):
-            shape = quality._AGAIN if i and words[i - 1] == word else _buckets_of(word)[1]
-            want += np.concatenate([vectors[_buckets_of(word)[0]], vectors[shape]]) / len(words)
-        assert np.allclose(_pooled(text, vectors), want, atol=1e-5)
+            shape = quality._AGAIN if i and words[i - 1] == word else buckets_of(word)[1]
+            want += np.concatenate([vectors[buckets_of(word)[0]], vectors[shape]]) / len(words)
+        assert np.allclose(pooled(["", text, "two words"], vectors, Words())[1], want, atol=1e-5)
+
+
+def test_sums_of_a_word_said_over_and_over():
+    sums = quality.TokenSums()
+    sums.add(["a " * 9_000 + "b", "a a"])
+    one = quality.index_vectors(quality.SEED)[buckets_of("a")[0]].astype(int)
+    two = quality.index_vectors(quality.SEED)[buckets_of("b")[0]].astype(int)
+    assert (sums.total[buckets_of("b")[0]] == 2 * one).all()
+    assert (sums.total[buckets_of("a")[0]] == (2 * (8_999 + 8_998) + 2) * one + 2 * two).all()
+
+
+def test_what_is_known_of_words_may_be_forgotten(monkeypatch):
+    monkeypatch.setattr(quality, "CACHED", 5)
+    known, texts = Words(), [prose(i, 4) + " again again" for i in range(20)] + [""]
+    for text in texts:
+        (words, shapes), counts = known.streams([text, "", text])
+        fresh, _ = Words().streams([text])
+        assert counts.tolist() == [len(text.split()), 0, len(text.split())]
+        assert words.tolist() == fresh[0].tolist() * 2 and shapes.tolist() == fresh[1].tolist() * 2
+    assert len(known) < 20
 
 
 def test_the_shape_of_a_word_is_that_of_all_of_it():
-    assert _buckets_of("a" * 70 + "!")[1] != _buckets_of("a" * 70)[1]
+    assert buckets_of("a" * 70 + "!")[1] != buckets_of("a" * 70)[1]
+    many = ["Word", "WORD", "word!", "(word)", "12", "1a", "é", "İ", "ΟΔΟΣ", "--", "x" * 300]
+    assert word_buckets(many).tolist() == [list(buckets_of(word)) for word in many]
+    assert buckets_of("Word")[0] == buckets_of("word!")[0] and buckets_of("ab")[1] == buckets_of("wxyz")[1]
 
 
 #: Every name that an operator gives a column of its own.

@@ -23,11 +23,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +47,10 @@ KEEP_AT = 0.3
 SEED = 11
 SLICES = 64
 MERGED = 64
+CACHED = 1 << 18
+OFFSET = 2 * REACH * NONZEROS
+LANE_ROWS = 2048
+CHUNK = 4096
 
 _RUNS = ((re.compile("[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile("[a-zß-öø-ÿ]+"), "a"), (re.compile("[0-9]+"), "9"))
 _AGAIN = zlib.crc32(b"\0again") % BUCKETS
@@ -80,101 +81,111 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -60.0, 60.0)))
 
 
-def _buckets_of(word: str) -> tuple[int, int]:
-    """Buckets of a word, lower-cased and without marks at its ends, and of its shape."""
-    return _known_buckets(word) if len(word) <= 64 else _new_buckets(word)  # long words are not kept in memory
+def word_buckets(words: list[str]) -> np.ndarray:
+    """For each word its bucket, lower-cased and without marks at its ends, and that of its shape.
 
-
-@lru_cache(maxsize=1 << 17)
-def _known_buckets(word: str) -> tuple[int, int]:
-    return _new_buckets(word)
-
-
-def _new_buckets(word: str) -> tuple[int, int]:
-    shape = word
-    for run, letter in _RUNS:
-        shape = run.sub(letter, shape)
-    bare = word.strip("!?.,;:*$%&#|\"'()[]").lower()
-    return zlib.crc32(bare.encode()) % BUCKETS, zlib.crc32(b"\1" + shape.encode()) % BUCKETS
-
-
-def _pooled(text: str, vectors: np.ndarray) -> np.ndarray:
-    """Mean vector of the words, then of the shapes."""
-    words = text.split()
-    out = np.zeros(2 * WIDTH, dtype=np.float32)
+    Words hold no white space, so all of them are made over as the lines of one text.
+    """
     if not words:
-        return out
-    counts = Counter(words)
-    found = np.array([_buckets_of(word) for word in counts], dtype=np.int64)
-    weight = np.fromiter(counts.values(), dtype=np.float32, count=len(counts)) / len(words)
-    out[:WIDTH] = weight @ vectors[found[:, 0]]
-    again = Counter(a for a, b in zip(words, words[1:]) if a == b) if any(map(eq, words, words[1:])) else {}
-    repeats = np.fromiter((again.get(word, 0) for word in counts), np.float32, len(counts)) / len(words)
-    out[WIDTH:] = (weight - repeats) @ vectors[found[:, 1]] + repeats.sum() * vectors[_AGAIN]
-    return out
-
-
-def _index_vectors(seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the index vector of each bucket is not zero, and the signs there."""
-    rng = np.random.default_rng(seed)
-    return rng.integers(WIDTH, size=(BUCKETS, NONZEROS)), rng.choice(np.array([-1.0, 1.0]), size=(BUCKETS, NONZEROS))
+        return np.zeros((0, 2), dtype=np.int64)
+    shapes = "\n".join(words)
+    for run, letter in _RUNS:
+        shapes = run.sub(letter, shapes)
+    bare = "\n".join([word.strip("!?.,;:*$%&#|\"'()[]") for word in words]).lower()
+    found = [[zlib.crc32(line, start) for line in text.encode().split(b"\n")] for text, start in ((bare, 0), (shapes, 1))]
+    return np.array(found, dtype=np.int64).T % BUCKETS
 
 
-class _Numbers(dict):
-    """A number for each word, and its buckets by number."""
+class Words(dict):
+    """A number for each word, and the buckets of words and shapes by number; forgets all when it holds ``CACHED``."""
 
     def __init__(self) -> None:
-        self.buckets: list[tuple[int, int]] = []
+        self.new: list[str] = []
+        self.buckets = np.zeros((0, 2), dtype=np.int64)
 
     def __missing__(self, word: str) -> int:
-        number = self[word] = len(self.buckets)
-        self.buckets.append(_buckets_of(word))
+        number = self[word] = len(self)
+        self.new.append(word)
         return number
 
-
-def _streams(texts: list[str]) -> np.ndarray:
-    """The buckets of the words of some texts and of their shapes, ``REACH`` times -1 after each text; two rows."""
-    numbers, parts = _Numbers(), []
-    gap = np.full(REACH, -1)
-    for text in texts:
-        words = text.split()
-        parts += [np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words)), gap]
-    found = np.concatenate(parts) if parts else gap
-    buckets = np.array([*numbers.buckets, (-1, -1)], dtype=np.int64)  # -1 is the last row
-    streams = buckets[found].T.copy()
-    streams[1, 1:][(found[1:] == found[:-1]) & (found[1:] >= 0)] = _AGAIN
-    return streams
+    def streams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of the words of some texts and of their shapes, two rows, and how many words each text has."""
+        if len(self) > CACHED:
+            self.clear()
+            self.buckets = self.buckets[:0]
+        parts = [text.split() for text in texts]
+        counts = np.array([len(words) for words in parts], dtype=np.int64)
+        words = [word for some in parts for word in some]
+        found = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        if self.new:
+            self.buckets = np.concatenate([self.buckets, word_buckets(self.new)])
+            self.new = []
+        streams = self.buckets[found].T.copy()
+        again = np.append(False, found[1:] == found[:-1])[: len(found)]
+        again[(np.cumsum(counts) - counts)[counts > 0]] = False  # the first word of a text repeats none
+        streams[1][again] = _AGAIN
+        return streams, counts
+
+
+def pooled(texts: list[str], vectors: np.ndarray, known: Words) -> np.ndarray:
+    """For each text the mean vector of its words, then of their shapes."""
+    streams, counts = known.streams(texts)
+    out = np.zeros((len(texts), 2 * WIDTH))
+    for low, stream in zip((0, WIDTH), streams):
+        own = vectors[stream]
+        at = 0
+        for i, n in enumerate(counts.tolist()):
+            for start in range(at, at + n, CHUNK):  # a chunk in single precision, their sum in double
+                out[i, low : low + WIDTH] += own[start : min(start + CHUNK, at + n)].sum(axis=0)
+            at += n
+    return out / np.maximum(counts, 1)[:, None]
+
+
+def index_vectors(seed: int) -> np.ndarray:
+    """The index vector of each bucket, and one of zeros for no word."""
+    rng = np.random.default_rng(seed)
+    places = rng.integers(WIDTH, size=(BUCKETS, NONZEROS))
+    signs = rng.choice(np.array([-1, 1]), size=(BUCKETS, NONZEROS))
+    out = np.zeros((BUCKETS + 1, WIDTH), dtype=np.int8)
+    np.add.at(out, (np.arange(BUCKETS)[:, None], places), signs.astype(np.int8))
+    return out
 
 
 class TokenSums:
     """Random indexing: for every bucket the sum of its neighbours' index vectors."""
 
     def __init__(self, seed: int = SEED) -> None:
-        self.places, self.signs = _index_vectors(seed)
-        self.total = np.zeros(BUCKETS * WIDTH, dtype=np.int64)
-        self.at: list[np.ndarray] = []
-        self.weights: list[np.ndarray] = []
-        self.held = 0
+        self.vectors, self.known = index_vectors(seed), Words()
+        self.total = np.zeros((BUCKETS, WIDTH), dtype=np.int64)
 
     def add(self, texts: list[str]) -> None:
-        for ids in _streams(texts):
-            for step in range(1, REACH + 1):
-                near, far = ids[:-step], ids[step:]
-                both = (near >= 0) & (far >= 0)
-                near, far = near[both], far[both]
-                for centre, other in ((near, far), (far, near)):
-                    self.at.append((centre[:, None] * WIDTH + self.places[other]).ravel().astype(np.int32))
-                    self.weights.append(self.signs[other].ravel().astype(np.int8))
-                    self.held += len(self.at[-1])
-        if self.held >= 1 << 22:
-            self.flush()
-
-    def flush(self) -> np.ndarray:
-        if self.held:
-            sums = np.bincount(np.concatenate(self.at), weights=np.concatenate(self.weights), minlength=len(self.total))
-            self.total += sums.astype(np.int64)
-        self.at, self.weights, self.held = [], [], 0
-        return self.total
+        streams, counts = self.known.streams(texts)
+        # as many places without a word after each text as a word has neighbours on one side
+        at = np.arange(streams.shape[1]) + np.repeat(np.arange(len(counts)), counts) * REACH + REACH
+        for stream in streams:
+            if not len(stream):
+                continue
+            placed = np.full(len(stream) + (len(counts) + 1) * REACH, BUCKETS)
+            placed[at] = stream
+            near, vectors = np.zeros((len(placed) - 2 * REACH, WIDTH), dtype=np.int8), self.vectors[placed]
+            for step in range(2 * REACH + 1):
+                if step != REACH:
+                    near += vectors[step : step + len(near)]
+            order = np.argsort(stream, kind="stable")
+            near = near[at[order] - REACH]
+            own = stream[order]
+            new = np.append(True, own[1:] != own[:-1])
+            new[::LANE_ROWS] = True
+            heads = np.flatnonzero(new)
+            # four columns to a 64-bit word, each above zero and too small to run over into the next
+            lanes = (near + OFFSET).astype(np.uint16).view(np.uint64)
+            sums = np.add.reduceat(lanes, heads, axis=0).view(np.uint16).astype(np.int64)
+            sums -= OFFSET * np.diff(np.append(heads, len(own)))[:, None]
+            again = own[heads[1:]] == own[heads[:-1]]  # a bucket in several runs of rows
+            for i in np.flatnonzero(again).tolist():
+                sums[i + 1] += sums[i]
+            last = np.append(~again, True)
+            self.total[own[heads[last]]] += sums[last]
 
 
 def unit_vectors(total: np.ndarray) -> np.ndarray:
@@ -198,7 +209,7 @@ def token_vectors(docs: DataFrame, text_col: str = "text", seed: int = SEED) ->
             sums = sums or TokenSums(seed)
             sums.add([text or "" for text in batch.column(0).to_pylist()])
         if sums is not None:
-            yield rows(sums.flush())
+            yield rows(sums.total.ravel())
 
     def merged(group: pa.Table) -> pa.Table:
         total = sum(unpack(packed.as_py(), np.int64) for packed in group["sums"])
@@ -283,13 +294,14 @@ def fit_on_labels(
         .select(F.xxhash64("doc_id").alias("hash"), F.col("doc_id").cast("string").alias("id"), (F.col("quality") > 0).cast("int").alias("label"), "text")
     )
 
-    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for batch in row_slices(batches, 128):
-            found = [_pooled(text or "", shared.value).tobytes() for text in batch.column(3).to_pylist()]
+            found = [row.tobytes() for row in pooled([text or "" for text in batch.column(3).to_pylist()], shared.value, known)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["hash", "id", "label", "pooled"])
 
-    fitted = rows.mapInArrow(pooled, "hash long, id string, label int, pooled binary").orderBy("hash", "id").limit(sample_rows).collect()
-    x = np.array([np.frombuffer(row.pooled, dtype=np.float32) for row in fitted]).reshape(len(fitted), 2 * WIDTH)
+    fitted = rows.mapInArrow(pool, "hash long, id string, label int, pooled binary").orderBy("hash", "id").limit(sample_rows).collect()
+    x = np.array([np.frombuffer(row.pooled) for row in fitted]).reshape(len(fitted), 2 * WIDTH)
     return fit(vectors, x, [row.label for row in fitted])
 
 
@@ -299,12 +311,11 @@ def with_score(docs: DataFrame, model: Model, text_col: str, kept: list[str], sc
     rows = docs.select(F.struct(*kept).alias("kept"), F.col(text_col).alias("text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
-        for batch in row_slices(batches, 512):
-            texts = batch.column(1).to_pylist()
-            pooled = np.stack([_pooled(text or "", fitted.vectors) for text in texts])
+        fitted, known = shared.value, Words()
+        for batch in row_slices(batches, 128):
+            found = pooled([text or "" for text in batch.column(1).to_pylist()], fitted.vectors, known)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fitted.probabilities(pooled), pa.float64())], ["kept", "score"]
+                [batch.column(0), pa.array(fitted.probabilities(found), pa.float64())], ["kept", "score"]
             )
 
     schema = f"kept {rows.schema['kept'].dataType.simpleString()}, score double"
