@@ -238,6 +238,16 @@ def _stored_rules(artifact: str) -> Rules:
     return rules
 
 
+def broken_texts(payloads: DataFrame) -> DataFrame:
+    """``payloads`` with ``rules``, the strict rules that each stored text breaks, whatever document it is; no shuffle."""
+    rules = F.expr("CAST(NULL AS ARRAY<STRING>)")
+    for artifact in DOCUMENT_SCHEMAS:
+        own = ", ".join(f"CASE WHEN CAST(({rule}) AS BIGINT) > 0 THEN '{name}' END" for name, rule in _stored_rules(artifact).items())
+        rules = F.when(F.col("artifact") == artifact, F.expr(f"array_compact(array({own}))")).otherwise(rules)
+    parsed = payloads.withColumn("document", F.try_parse_json("value"))
+    return parsed.withColumn("rules", rules).drop("document")
+
+
 def stored_json_violations(payloads: DataFrame, artifact: str, by: Sequence[str] = ()) -> DataFrame:
     """``(*by, rule, violations)`` of stored JSON text, read strictly.
 

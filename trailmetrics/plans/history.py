@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmetrics import fixed_values as fixed
-from trailmetrics.operators.contracts import run_consistency, stored_json_violations
+from trailmetrics.operators.contracts import broken_texts, run_consistency
 from trailmetrics.sources.objects import exists, names_in, put_once, read_text
 
 COMPACT_AFTER = 16
@@ -340,7 +340,8 @@ def altered_pages(runs: DataFrame, documents: DataFrame) -> DataFrame:
         .when(F.col("found").isNull(), "missing")
         .when(F.col("noted") != F.col("found"), "altered")
     )
-    pages = noted.join(stored, ["run_id", "attempt", "page"], "full").withColumn("reason", reason)
+    both = noted.unionByName(stored, allowMissingColumns=True).groupBy("run_id", "attempt", "page")
+    pages = both.agg(F.max("noted").alias("noted"), F.max("found").alias("found")).withColumn("reason", reason)
     wrong = kept.where(~F.col("digest").eqNullSafe(combined_digest(F.col("digests"))))
     return pages.where(F.col("reason").isNotNull()).select("run_id", "page", "reason").unionAll(
         wrong.select("run_id", F.lit(None).cast("string"), F.lit("digests do not add up"))
@@ -355,17 +356,10 @@ def faults(runs: DataFrame, documents: DataFrame) -> DataFrame:
     missing = missing_artifacts(runs, documents).select("run_id", F.concat_ws(" is ", "artifact", "reason").alias("fault"))
     altered = altered_pages(runs, documents)
     altered = altered.select("run_id", F.concat_ws(" is ", F.col("page"), F.col("reason")).alias("fault"))
-    broken = reduce(
-        DataFrame.unionAll,
-        [
-            stored_json_violations(documents, artifact, by=["run_id"])
-            .where("violations > 0")
-            .select("run_id", F.concat(F.lit(f"{artifact}: "), "rule").alias("fault"))
-            for artifact in fixed.ALL_ARTIFACTS
-        ],
-    )
+    broken = broken_texts(documents).select("run_id", "artifact", F.explode("rules").alias("rule"))
+    broken = broken.select("run_id", F.concat_ws(": ", "artifact", "rule").alias("fault"))
     differing = run_consistency(documents, by=["run_id"]).where("violations > 0").select("run_id", F.col("rule").alias("fault"))
-    return reduce(DataFrame.unionAll, [missing, altered, broken, differing])
+    return reduce(DataFrame.unionAll, [missing, altered, broken, differing])  # a fault may come once for each page
 
 
 def open_current(spark: SparkSession, root: str, last_good: bool = False) -> DataFrame:
@@ -374,22 +368,21 @@ def open_current(spark: SparkSession, root: str, last_good: bool = False) -> Dat
     The newest run has to have succeeded and be without ``faults``. ``last_good`` asks for the
     newest run that did succeed, whatever came after it.
     """
-    newest = None
+    row = None
     for month in _months(spark, root):
         runs = run_status(_registry(spark, [month]))
         if last_good:
             runs = runs.where(F.col("status") == fixed.STATUS_SUCCESS)
-        newest = runs.orderBy(F.desc("run_id")).limit(1)
-        if not newest.isEmpty():
+        row = runs.orderBy(F.desc("run_id")).limit(1).first()
+        if row is not None:
             break
-    row = newest.first() if newest is not None else None
     if row is None:
         raise RunNotReadable(f"no run with status {fixed.STATUS_SUCCESS} below {root}")
     if row.status != fixed.STATUS_SUCCESS:
         raise RunNotReadable(f"{row.run_id}, the newest run, has status {row.status}")
     documents = documents_of(spark, root, row.run_id, row.attempt, row.base)
     run = spark.createDataFrame([row], REGISTRY_SCHEMA)
-    found = sorted(fault.fault for fault in faults(run, documents).collect())
+    found = sorted({fault.fault for fault in faults(run, documents).collect()})
     if found:
         raise RunNotReadable(f"{row.run_id}: " + "; ".join(found))
     return documents
