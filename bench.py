@@ -1,4 +1,4 @@
-"""Time the six metrics, one query each, against the fused rollup and a whole publishing run.
+"""Time the six metrics, one query each, against the fused rollup, a whole publishing run, and 30 runs in one pass.
 
 Prints one JSON line. BENCH_SF_DIR names the tables, BENCH_CPUS the cores.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from checks.bindings import EVENTS, LINEITEM
 from trailmetrics import fixed_values as fixed
 from trailmetrics.operators import catalog, rollup
-from trailmetrics.plans import backfill, history, publish
+from trailmetrics.plans import backfill, history, partials, publish
 from trailmetrics.session import scratch_path
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -63,6 +63,10 @@ def main() -> None:
     instants = [f"2024-01-{day:02d}T12:00:00Z" for day in range(1, 31)]
     actions["events_rollup"] = lambda _: all_rows(rollup.rollup(events, EVENTS.report_ts))
     actions["backfill_rollup"] = lambda _: backfill.backfill_rollup(events, instants).count()
+    counts = scratch_path(spark, "bench-partials")
+    partials.write_partials(facts, counts)
+    actions["rollup_from_partials"] = lambda _: all_rows(partials.rollup_from_partials(facts, counts, report_ts))
+    actions["backfill_reports"] = lambda i: backfill.backfill_reports(spark, events, scratch_path(spark, f"bench-{i}"), instants)
     actions["open_current"] = lambda _: all_rows(history.open_current(spark, root))
 
     timings = {
