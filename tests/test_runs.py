@@ -130,6 +130,13 @@ def test_two_that_compact_at_once_make_one_snapshot(spark, root):
     assert history.committed_runs(spark, root).count() == 6
 
 
+def test_publishing_takes_at_most_ten_jobs(spark, facts, root):
+    publish.publish_run(spark, facts, f"{root}/warm", R)
+    before = jobs(spark)
+    publish.publish_run(spark, facts, f"{root}/one", R)
+    assert jobs(spark) - before <= 10
+
+
 def test_thirty_runs_take_as_many_jobs_as_three(spark, facts, root):
     def taken(n):
         stamps = [(at(R) - timedelta(hours=5 * i)).strftime("%Y-%m-%dT%H:%M:%SZ") for i in range(n)]
