@@ -31,6 +31,7 @@ from trailmetrics.llm.quality import (
     token_vectors,
     word_buckets,
 )
+from trailmetrics.llm.simhash import op4_vantage_simhash
 from trailmetrics.llm.sharding import first_map, load_map, op6_virtual_slots, rebalance, shard_documents
 from trailmetrics.llm.topk import op2_threshold_top_k
 
@@ -78,6 +79,27 @@ def test_packed_documents_are_whole_and_without_conflicts(spark):
     assert op1_best_fit(spark, folder(spark, documents=documents(spark, []))).count() == 0
 
 
+def test_near_copies_share_no_sequence(spark):
+    copies = [(i, prose(77, 40) + (f" end{i}" if i % 2 else "")) for i in range(8)]
+    given = [*copies, *((100 + i, prose(i, 30)) for i in range(40)), (200, None), (201, "")]
+    docs = documents(spark, given, sources=60)
+    component = {r.doc_id: r.component_id for r in op4_vantage_simhash(spark, folder(spark, documents=docs)).collect()}
+    assert len({component[i] for i in range(8)}) < 8
+    placed = op1_best_fit(spark, folder(spark, documents=docs)).collect()
+    assert sorted(r.doc_id for r in placed) == sorted(d for d, _ in given)
+    held: dict = {}
+    for row in placed:
+        held.setdefault((row.shard, row.bin), []).append(component[row.doc_id])
+    assert all(len(own) == len(set(own)) for own in held.values())
+    sizes = [len((t or "").split()) + 1 for _, t in given]
+    order = sorted(range(len(given)), key=lambda i: (-sizes[i], given[i][0]))
+    numbers = {c: i for i, c in enumerate(sorted({*component.values()}))}
+    sources = {r.doc_id: r.source for r in docs.collect()}
+    shared = {s: 1 << (100 + i) for i, s in enumerate(sorted({x for x in sources.values() if x}))}
+    bits = [(1 << numbers[component[given[i][0]]]) | shared.get(sources[given[i][0]], 0) for i in order]
+    assert len(held) == len({b for b, _ in plain_pack([sizes[i] for i in order], bits, 2_048)})
+
+
 VECTORS = [
     *((i, [float(x) for x in np.random.default_rng(i).normal(0, 0.1, 6)]) for i in range(0, 120)),
     (200, None), (201, [0.1, None, 0.1, 0.1, 0.1, 0.1]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (None, [9.0] * 6),

@@ -1,6 +1,7 @@
 """Best-fit packing of documents into sequences of fixed capacity, under conflicts.
 
-No sequence holds two pieces of one source or of one cluster of duplicates. Open bins are kept in order of the
+No sequence holds two pieces of one source or of one cluster of duplicates: of near copies by their fingerprints in ``op1_best_fit``, of equal
+texts where none are given, as in the pipeline, in which one of each group of near copies is left. Open bins are kept in order of the
 space they have left, and carry a bitmap of their sources and clusters. A piece goes to the tightest bin that
 fits and has none of its bits: a search tree over the space left holds in each node the bits that all bins below
 share, so the successor search passes over subtrees in which every bin conflicts, and goes on
@@ -25,10 +26,11 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmetrics.llm.common import ascii_lower, table
+from trailmetrics.llm.common import ascii_lower, join_counted, table, text_key
+from trailmetrics.llm.simhash import grouped_by_fingerprint
 from trailmetrics.session import materialise
 
 CAPACITY = 2_048
@@ -113,12 +115,25 @@ def _bits(*columns: pa.ChunkedArray) -> list[int]:
     return out
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, source_col: str, cluster: Column | None, capacity: int) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``key_a, key_b, cluster`` of every text: near-duplicates by their fingerprints share a cluster."""
+    rows, firsts = grouped_by_fingerprint(docs, id_col, text_col)
+    own = join_counted(rows.select("key_a", "key_b", "fp").distinct(), firsts, ["fp"], "inner")
+    first = F.col("first")
+    return materialise(
+        own.select("key_a", "key_b", F.xxhash64(first["doc_id"], first["key_a"], first["key_b"]).alias("cluster")), "clusters"
+    )
+
+
+def pieces(docs: DataFrame, id_col: str, text_col: str, source_col: str, clusters: DataFrame | None, capacity: int) -> DataFrame:
     """``doc_id, piece, tokens, source, cluster`` of every piece of at most ``capacity`` tokens."""
-    words = F.array_remove(F.split(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), _SPACE), "")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("words"), *([] if cluster is None else [cluster.alias("cluster")]))
-    same_text = F.xxhash64(F.array_join("words", " ")) if cluster is None else F.col("cluster")
-    rows = rows.select("doc_id", "source", same_text.alias("cluster"), (F.size("words") + 1).alias("total"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    words = F.array_remove(F.split(ascii_lower(text), _SPACE), "")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("words"), *text_key(text))
+    same_text = F.xxhash64(F.array_join("words", " "))
+    rows = rows.select("doc_id", "source", *([same_text.alias("cluster")] if clusters is None else ["key_a", "key_b"]), (F.size("words") + 1).alias("total"))
+    if clusters is not None:
+        rows = join_counted(rows, clusters, ["key_a", "key_b"], "left").drop("key_a", "key_b")
     last = F.floor((F.col("total") - 1) / capacity).cast("int")
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
     tokens = F.least(F.lit(capacity), F.col("total") - F.col("piece") * capacity).cast("int")
@@ -127,10 +142,13 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, source_col: str, cluster
 
 def pack_documents(
     docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",
-    source_col: str = "source", cluster: Column | None = None, shard_rows: int = SHARD_ROWS,
+    source_col: str = "source", clusters: DataFrame | None = None, shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
-    """``doc_id, piece, tokens, shard, bin, bin_offset``: where each piece of each document lies."""
-    rows = materialise(pieces(docs, id_col, text_col, source_col, cluster, capacity), "pieces")
+    """``doc_id, piece, tokens, shard, bin, bin_offset``: where each piece of each document lies.
+
+    ``clusters`` names the cluster of each text, as ``near_copies`` does; without it, equal texts are a cluster.
+    """
+    rows = materialise(pieces(docs, id_col, text_col, source_col, clusters, capacity), "pieces")
     n_shards = max(1, -(-rows.count() // shard_rows))
     own = F.xxhash64("doc_id", "piece", "cluster", F.monotonically_increasing_id())
     dealt = rows.withColumn("shard", F.pmod(own, F.lit(n_shards)).cast("int"))
@@ -146,4 +164,5 @@ def pack_documents(
 
 
 def op1_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return pack_documents(docs, clusters=near_copies(docs))
