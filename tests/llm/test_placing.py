@@ -358,3 +358,23 @@ def test_marks_in_texts_with_very_many_spans(spark):
     found = {row.doc_id: row.text for row in redact_documents(docs).collect()}
     assert found[1] == " ".join(f"[EMAIL] é{i}" for i in range(3_000))
     assert (found[2], found[3], found[4]) == ("[EMAIL]", "none", None)
+
+
+def test_pipeline_of_awkward_and_empty_tables(spark):
+    """Nulls in every column, empty and long texts, repeated rows, ids that come twice; and tables without rows."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    given = [(d, t, "en", f"s{d % 3}", len(t)) for d, t, _ in labelled()]
+    odd = [(d, t, None, None, None) for d, t in awkward()]
+    docs = spark.createDataFrame([*given, *odd, *odd[4:7]], schema)
+    labels = spark.createDataFrame([*((d, q, 0) for d, q in ((d, q) for d, _, q in labelled())), (None, None, None)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, prose(4, 60)), (None, None), (2, "")], "item_id long, text string")
+    path = folder(spark, documents=docs, labels=labels, benchmark=benchmark)
+    packed = corpus_pipeline.run(spark, path)
+    kept = packed.groupBy("doc_id").agg(F.sum("tokens").alias("tokens")).collect()
+    ids = {row.doc_id for row in kept}
+    assert ids <= {d for d, *_ in [*given, *odd]} and 13 not in ids  # its passage is an item's
+    for empty in ("documents", "labels", "benchmark"):
+        tables = {"documents": docs, "labels": labels, "benchmark": benchmark}
+        tables[empty] = tables[empty].limit(0)
+        found = corpus_pipeline.run(spark, folder(spark, **tables))
+        assert (found.count() == 0) == (empty == "documents"), empty

@@ -152,3 +152,42 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.coalesce("item_ids", none), ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+OP10_SQL = """
+WITH docs AS (
+    SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+'
+    ) AS words
+    FROM documents
+), items AS (
+    SELECT item_id, words, least(len(words), 10) AS span
+    FROM (
+        SELECT item_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+'
+        ) AS words
+        FROM benchmark
+    )
+    WHERE len(words) > 0
+), wanted AS (
+    SELECT DISTINCT item_id, span, array_to_string(words[i:i + span - 1], ' ') AS run
+    FROM (SELECT *, unnest(range(1, len(words) - span + 2)) AS i FROM items)
+), held AS (
+    SELECT row_id, span, i, array_to_string(words[i:i + span - 1], ' ') AS run
+    FROM (
+        SELECT row_id, words, span, unnest(range(1, len(words) - span + 2)) AS i
+        FROM docs CROSS JOIN (SELECT DISTINCT span FROM items) WHERE len(words) >= span
+    )
+), hits AS (
+    SELECT row_id, h.span, i, item_id FROM held h JOIN wanted w ON h.span = w.span AND h.run = w.run
+), places AS (
+    SELECT row_id, count(DISTINCT place) AS n_hit
+    FROM (SELECT row_id, unnest(range(i, i + span)) AS place FROM (SELECT DISTINCT row_id, span, i FROM hits)) GROUP BY row_id
+), listed AS (
+    SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+    FROM (SELECT DISTINCT row_id, item_id::VARCHAR AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY row_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN places USING (row_id) LEFT JOIN listed USING (row_id)
+"""

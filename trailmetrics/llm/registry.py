@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trailmetrics.llm.alignment import op11_fragment_monoid
-from trailmetrics.llm.decontaminate import op10_winnowing
+from trailmetrics.llm.decontaminate import OP10_SQL, op10_winnowing
 from trailmetrics.llm.lines import OP12_SQL, op12_levelled_runs
 from trailmetrics.llm.lm import op7_backoff_automaton
 from trailmetrics.llm.packing import op1_best_fit
@@ -46,6 +46,7 @@ def llm_queries() -> dict[str, Query]:
 def llm_oracles() -> dict[str, str]:
     return {
         op2_threshold_top_k.__name__: OP2_SQL,
+        op10_winnowing.__name__: OP10_SQL,
         op12_levelled_runs.__name__: OP12_SQL,
         op13_reversed_search.__name__: OP13_SQL,
     }
