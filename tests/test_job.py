@@ -39,6 +39,14 @@ def test_job_scopes_a_run_to_a_client(spark, table, root):
     assert found["failures_last_24h"] == 18
 
 
+def test_job_publishes_all_clients_in_one_pass(spark, table, root):
+    batch = publish_job.main(["--facts", table, "--root", root, "--report-ts", R, "--all-clients"])
+    assert len(batch.published) == 2
+    publish_job.main(["--facts", table, "--root", f"{root}/alone", "--report-ts", R, "--client", "acme"])
+    found, alone = (summary(spark, f"{folder}/client=acme") for folder in (root, f"{root}/alone"))
+    assert found["top_sites"] == alone["top_sites"] and found["failures_last_24h"] == 18
+
+
 def test_job_stops_without_facts(root):
     with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
         publish_job.main(["--facts", f"{root}/none", "--root", root])
