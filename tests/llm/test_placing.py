@@ -22,14 +22,12 @@ from trailmetrics.llm.quality import (
     FOLDS,
     REACH,
     WIDTH,
-    Words,
     fit,
     good_documents,
     index_vectors,
     op9_random_indexing,
     pooled,
     token_vectors,
-    word_buckets,
 )
 from trailmetrics.llm.simhash import op4_vantage_simhash
 from trailmetrics.llm.sharding import first_map, load_map, op6_virtual_slots, rebalance, shard_documents
@@ -222,7 +220,7 @@ def test_quality_ignores_labels_of_the_held_out_fold(spark):
 
 def test_a_model_of_one_class_stays_in_range():
     model = fit(np.zeros((BUCKETS, WIDTH), np.float32), np.zeros((12, 2 * WIDTH)), [1] * 12)
-    assert 0.5 < float(model.probabilities(np.zeros((1, 128)))[0]) <= 1
+    assert 0.5 < float(model.probabilities(np.zeros((1, 2 * WIDTH)))[0]) <= 1
 
 
 def test_pipeline_stages_keep_columns_and_take_effect(spark):
@@ -248,7 +246,7 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
 
 
 def buckets_of(word):
-    return tuple(word_buckets([word])[0].tolist())
+    return tuple(quality.streams_of([word])[0][:, 0].tolist())
 
 
 def plain_vectors(texts):
@@ -283,7 +281,7 @@ def test_pooled_vectors_are_means_over_both_streams():
         for i, word in enumerate(words):
             shape = quality._AGAIN if i and words[i - 1] == word else buckets_of(word)[1]
             want += np.concatenate([vectors[buckets_of(word)[0]], vectors[shape]]) / len(words)
-        assert np.allclose(pooled(["", text, "two words"], vectors, Words())[1], want, atol=1e-5)
+        assert np.allclose(pooled(["", text, "two words"], vectors)[1], want, atol=1e-5)
 
 
 def test_sums_of_a_word_said_over_and_over():
@@ -295,22 +293,27 @@ def test_sums_of_a_word_said_over_and_over():
     assert (sums.total[buckets_of("a")[0]] == (2 * (8_999 + 8_998) + 2) * one + 2 * two).all()
 
 
-def test_what_is_known_of_words_may_be_forgotten(monkeypatch):
-    monkeypatch.setattr(quality, "CACHED", 5)
-    known, texts = Words(), [prose(i, 4) + " again again" for i in range(20)] + [""]
-    for text in texts:
-        (words, shapes), counts = known.streams([text, "", text])
-        fresh, _ = Words().streams([text])
-        assert counts.tolist() == [len(text.split()), 0, len(text.split())]
-        assert words.tolist() == fresh[0].tolist() * 2 and shapes.tolist() == fresh[1].tolist() * 2
-    assert len(known) < 20
+def test_features_do_not_depend_on_what_stands_around_a_word(monkeypatch):
+    texts = [prose(i, 4) + " again again" for i in range(20)] + ["", " ", "Grüße ÀÉ×÷ß", "x" * 300, "(a) 'B' !!! 12a"]
+    alone = [quality.streams_of([text]) for text in texts]
+    for piece in (1 << 20, 7):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        streams, counts = quality.streams_of(texts)
+        assert counts.tolist() == [len(text.split()) for text in texts]
+        assert streams.tolist() == np.concatenate([own for own, _ in alone], axis=1).tolist()
+    assert quality.streams_of([])[0].shape == (2, 0)
 
 
 def test_the_shape_of_a_word_is_that_of_all_of_it():
     assert buckets_of("a" * 70 + "!")[1] != buckets_of("a" * 70)[1]
-    many = ["Word", "WORD", "word!", "(word)", "12", "1a", "é", "İ", "ΟΔΟΣ", "--", "x" * 300]
-    assert word_buckets(many).tolist() == [list(buckets_of(word)) for word in many]
-    assert buckets_of("Word")[0] == buckets_of("word!")[0] and buckets_of("ab")[1] == buckets_of("wxyz")[1]
+    def same(i, *words):
+        return len({buckets_of(word)[i] for word in words}) == 1
+
+    assert same(0, "Word", "word!", "(WORD)", '"word".') and same(0, "ÀÉ", "àé") and not same(0, "word", "words")
+    assert same(1, "ab", "wxyz", "ßü") and same(1, "Ab", "Wxyz", "Éa") and same(1, "12", "9") and same(1, "AB12!", "Z9!")
+    assert not same(1, "ab", "Ab") and not same(1, "a!", "a!!") and not same(1, "×", "Á")
+    assert same(0, "!!!", "?") and not same(1, "!!!", "?")
+
 
 
 #: Every name that an operator gives a column of its own.

@@ -128,7 +128,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def pieces(docs: DataFrame, id_col: str, text_col: str, source_col: str, clusters: DataFrame | None, capacity: int) -> DataFrame:
     """``doc_id, piece, tokens, source, cluster`` of every piece of at most ``capacity`` tokens."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.array_remove(F.split(ascii_lower(text), _SPACE), "")
+    words = F.array_remove(F.split(ascii_lower(text) if clusters is None else text, _SPACE), "")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("words"), *text_key(text))
     same_text = F.xxhash64(F.array_join("words", " "))
     rows = rows.select("doc_id", "source", *([same_text.alias("cluster")] if clusters is None else ["key_a", "key_b"]), (F.size("words") + 1).alias("total"))

@@ -2,7 +2,7 @@
 
 Each bucket of hashed tokens owns a fixed sparse ternary index vector. The vector of a token is the sum of
 the index vectors that stand near it in all documents. A document has two streams of tokens, its
-words and their shapes (``AA!!``, ``Aa``, ``9``, a repeat of the word before), and is pooled to the mean
+words and their shapes (``A!!``, ``Aa``, ``9``, a repeat of the word before), and is pooled to the mean
 vector of each stream. A network with one hidden layer scores it, and one temperature, fitted on
 rows that the weights have not seen, turns scores into probabilities.
 
@@ -21,7 +21,6 @@ Only the named columns are looked at, so other columns may have any name.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,7 +36,7 @@ from trailmetrics.session import materialise
 
 SAMPLE_ROWS = 6_000
 BUCKETS = 1 << 16
-WIDTH = 64
+WIDTH = 32
 NONZEROS = 4
 REACH = 2
 HIDDEN = 24
@@ -47,13 +46,22 @@ KEEP_AT = 0.3
 SEED = 11
 SLICES = 64
 MERGED = 64
-CACHED = 1 << 18
+PIECE = 1 << 18
 OFFSET = 2 * REACH * NONZEROS
 LANE_ROWS = 2048
 CHUNK = 4096
 
-_RUNS = ((re.compile("[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile("[a-zß-öø-ÿ]+"), "a"), (re.compile("[0-9]+"), "9"))
 _AGAIN = zlib.crc32(b"\0again") % BUCKETS
+#: Bytes of text as flags and classes; in UTF-8 the letters of Latin-1 are 0xC3 and one byte more.
+_BLANK = np.isin(np.arange(256), list(b"\t\n\x0b\x0c\r "))
+_MARK = np.isin(np.arange(256), list(b"!?.,;:*$%&#|\"'()[]"))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+_CLASS = np.arange(256, dtype=np.uint8)
+_CLASS[0x41:0x5B], _CLASS[0x61:0x7B], _CLASS[0x30:0x3A] = ord("A"), ord("a"), ord("9")
+_IN_RUNS = np.isin(np.arange(256), list(b"Aa9"))
+_RANDOM = np.random.default_rng(SEED).integers(1, 1 << 63, (3, 256), dtype=np.uint64)
+_BASE = 0xD1342543DE82EF95
 
 
 @dataclass(frozen=True)
@@ -81,55 +89,97 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -60.0, 60.0)))
 
 
-def word_buckets(words: list[str]) -> np.ndarray:
-    """For each word its bucket, lower-cased and without marks at its ends, and that of its shape.
+_POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64)] * 2
 
-    Words hold no white space, so all of them are made over as the lines of one text.
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first ``n`` powers of the base and more, and of its inverse modulo 2^64."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(max(n, PIECE), base, dtype=np.uint64)
+            steps[0] = 1
+            _POWERS[i] = np.multiply.accumulate(steps)
+    return _POWERS
+
+
+def _hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of random numbers: a polynomial, out of sums up to its two ends."""
+    power, inverse = _powers(len(values) + 1)
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * power[: len(values)], out=sums[1:])
+    mixed = (sums[ends] - sums[starts]) * inverse[starts]
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def word_features(data: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+    """Of each word in some bytes: where it starts, its hash, its bucket without marks at its ends and in lower case, and that of its shape.
+
+    Four rows. In a shape, runs of capitals, of small letters and of digits are one sign each. A text's start begins a word.
     """
-    if not words:
-        return np.zeros((0, 2), dtype=np.int64)
-    shapes = "\n".join(words)
-    for run, letter in _RUNS:
-        shapes = run.sub(letter, shapes)
-    bare = "\n".join([word.strip("!?.,;:*$%&#|\"'()[]") for word in words]).lower()
-    found = [[zlib.crc32(line, start) for line in text.encode().split(b"\n")] for text, start in ((bare, 0), (shapes, 1))]
-    return np.array(found, dtype=np.int64).T % BUCKETS
-
-
-class Words(dict):
-    """A number for each word, and the buckets of words and shapes by number; forgets all when it holds ``CACHED``."""
-
-    def __init__(self) -> None:
-        self.new: list[str] = []
-        self.buckets = np.zeros((0, 2), dtype=np.int64)
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        self.new.append(word)
-        return number
-
-    def streams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The buckets of the words of some texts and of their shapes, two rows, and how many words each text has."""
-        if len(self) > CACHED:
-            self.clear()
-            self.buckets = self.buckets[:0]
-        parts = [text.split() for text in texts]
-        counts = np.array([len(words) for words in parts], dtype=np.int64)
-        words = [word for some in parts for word in some]
-        found = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        if self.new:
-            self.buckets = np.concatenate([self.buckets, word_buckets(self.new)])
-            self.new = []
-        streams = self.buckets[found].T.copy()
-        again = np.append(False, found[1:] == found[:-1])[: len(found)]
-        again[(np.cumsum(counts) - counts)[counts > 0]] = False  # the first word of a text repeats none
-        streams[1][again] = _AGAIN
-        return streams, counts
-
-
-def pooled(texts: list[str], vectors: np.ndarray, known: Words) -> np.ndarray:
+    letter = np.zeros(len(data), dtype=bool)
+    letter[1:] = data[:-1] == 0xC3  # the second byte of a letter of Latin-1
+    large = letter & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
+    small = letter & (data >= 0x9F) & (data <= 0xBF) & (data != 0xB7)
+    in_word = ~_BLANK[data]
+    breaks = np.zeros(len(data) + 1, dtype=bool)
+    breaks[text_starts] = True
+    opens = in_word & (np.append(True, ~in_word[:-1]) | breaks[:-1])
+    closes = in_word & (np.append(~in_word[1:], True) | breaks[1:])
+    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    if not len(starts):
+        return np.zeros((4, 0), dtype=np.uint64)
+    whole = _hashes(_RANDOM[0][data], starts, ends)
+
+    plain = in_word & ~_MARK[data]
+    inner = np.flatnonzero(plain)
+    before = np.zeros(len(data) + 1, dtype=np.int32)
+    np.cumsum(plain, out=before[1:])
+    low, high = before[starts], before[ends]
+    some = high > low
+    first, last = starts.copy(), starts.copy()
+    first[some], last[some] = inner[low[some]], inner[high[some] - 1] + 1
+    bare = _hashes(_RANDOM[1][np.where(large, data + 0x20, _LOWER[data]).astype(np.uint8)], first, last)
+
+    sign = np.where(large, ord("A"), np.where(small, ord("a"), _CLASS[data])).astype(np.uint8)
+    lead = np.append((large | small)[1:], False)  # goes with the byte after it
+    kept = np.flatnonzero(in_word & ~lead)
+    sign, word = sign[kept], np.cumsum(opens, dtype=np.int32)[kept]
+    new = np.append(True, (sign[1:] != sign[:-1]) | (word[1:] != word[:-1]) | ~_IN_RUNS[sign[1:]])[: len(sign)]
+    sign, word = sign[new], word[new]
+    heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))  # every word has a sign
+    shape = _hashes(_RANDOM[2][sign], heads, np.append(heads[1:], len(sign)))
+    n = np.uint64(BUCKETS)
+    return np.stack([starts.astype(np.uint64), whole, bare % n, shape % n])
+
+
+def streams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the words of some texts and of their shapes, two rows, and how many words each text has."""
+    raw = [text.encode() for text in texts]
+    sizes = np.array([len(text) for text in raw], dtype=np.int64)
+    data, ends = np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum(sizes)
+    starts = ends - sizes
+    parts, low = [], 0
+    while low < len(data):  # some PIECE bytes at a time, up to a blank
+        high = min(low + PIECE, len(data))
+        while high < len(data) and not _BLANK[data[high]]:
+            high += 1
+        own = starts[(starts >= low) & (starts < high)] - low
+        found = word_features(data[low:high], own)
+        found[0] += np.uint64(low)
+        parts.append(found)
+        low = high
+    at, whole, bare, shape = np.concatenate(parts, axis=1) if parts else np.zeros((4, 0), dtype=np.uint64)
+    counts = np.bincount(np.searchsorted(ends, at.astype(np.int64), side="right"), minlength=len(texts))
+    again = np.append(False, whole[1:] == whole[:-1])[: len(whole)]
+    again[(np.cumsum(counts) - counts)[counts > 0]] = False  # the first word of a text repeats none
+    shape = np.where(again, np.uint64(_AGAIN), shape)
+    return np.stack([bare, shape]).astype(np.int64), counts
+
+
+def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
     """For each text the mean vector of its words, then of their shapes."""
-    streams, counts = known.streams(texts)
+    streams, counts = streams_of(texts)
     out = np.zeros((len(texts), 2 * WIDTH))
     for low, stream in zip((0, WIDTH), streams):
         own = vectors[stream]
@@ -155,11 +205,11 @@ class TokenSums:
     """Random indexing: for every bucket the sum of its neighbours' index vectors."""
 
     def __init__(self, seed: int = SEED) -> None:
-        self.vectors, self.known = index_vectors(seed), Words()
+        self.vectors = index_vectors(seed)
         self.total = np.zeros((BUCKETS, WIDTH), dtype=np.int64)
 
     def add(self, texts: list[str]) -> None:
-        streams, counts = self.known.streams(texts)
+        streams, counts = streams_of(texts)
         # as many places without a word after each text as a word has neighbours on one side
         at = np.arange(streams.shape[1]) + np.repeat(np.arange(len(counts)), counts) * REACH + REACH
         for stream in streams:
@@ -295,9 +345,8 @@ def fit_on_labels(
     )
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
         for batch in row_slices(batches, 128):
-            found = [row.tobytes() for row in pooled([text or "" for text in batch.column(3).to_pylist()], shared.value, known)]
+            found = [row.tobytes() for row in pooled([text or "" for text in batch.column(3).to_pylist()], shared.value)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], ["hash", "id", "label", "pooled"])
 
     fitted = rows.mapInArrow(pool, "hash long, id string, label int, pooled binary").orderBy("hash", "id").limit(sample_rows).collect()
@@ -311,9 +360,9 @@ def with_score(docs: DataFrame, model: Model, text_col: str, kept: list[str], sc
     rows = docs.select(F.struct(*kept).alias("kept"), F.col(text_col).alias("text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted, known = shared.value, Words()
+        fitted = shared.value
         for batch in row_slices(batches, 128):
-            found = pooled([text or "" for text in batch.column(1).to_pylist()], fitted.vectors, known)
+            found = pooled([text or "" for text in batch.column(1).to_pylist()], fitted.vectors)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(fitted.probabilities(found), pa.float64())], ["kept", "score"]
             )
