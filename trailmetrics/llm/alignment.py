@@ -24,7 +24,6 @@ as a whole; a stretch in which a tokenizer has no safe place stays in one chunk.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import json
 import pickle
