@@ -297,3 +297,43 @@ def test_passages_of_similar_shingles_are_found(spark, like):
     for row in op5_collinear_chains(spark, folder(spark, documents=documents(spark, given))).collect():
         found[row.doc_id] = max(found.get(row.doc_id, 0), min(row.end_word, 150) - max(row.start_word, 50))
     assert sum(found.get(1_000 + i, 0) >= 80 for i in range(40)) >= 36
+
+
+def far_and_near(seed, words, changes):
+    """Texts that each have a few words of the passage, every run of 8 of which stands in two of them, once before and once after the text it came from."""
+    stock = [" ".join([prose(seed + i, 6), *words[i : i + 8], prose(seed + 500 + i, 6)]) for i in range(0, len(words) - 7)]
+    changed = [f"other{seed}x{i}" if i in changes else word for i, word in enumerate(words)]
+    return stock, changed
+
+
+@pytest.mark.parametrize("copies", [1, 12])
+def test_a_passage_is_found_in_a_text_that_no_seed_has_first_or_last(spark, copies):
+    """52 words, one changed, of a document whose seeds all stand in earlier and in later ones; with 12 of these each, all seeds are common."""
+    words = prose(7_010, 52).split()
+    given, stocks = [], [far_and_near(20_000 + 2_000 * i, words, {11}) for i in range(2 * copies)]
+    for stock, _ in stocks[:copies]:
+        given += stock
+    source = len(given)
+    given.append(" ".join([prose(7_902, 30), *words, prose(7_903, 30)]))
+    for stock, _ in stocks[copies:]:
+        given += stock
+    given.append(" ".join([prose(7_904, 20), *stocks[0][1], prose(7_905, 20)]))
+    found = op5_collinear_chains(spark, folder(spark, documents=documents(spark, list(enumerate(given))))).collect()
+    last = [(row.source_doc_id, row.start_word, row.end_word) for row in found if row.doc_id == len(given) - 1]
+    assert last == [(source, 20, 72)]
+
+
+def test_no_two_texts_with_a_seed_or_a_pair_of_common_ones_are_left_apart(spark):
+    """Each text meets each earlier one that it shares a rare seed with, and of common pairs the first with each wording."""
+    from trailmetrics.llm import passages
+
+    line = [prose(8_100 + i, 20) for i in range(2)]
+    rare = [prose(8_200 + i, 20) for i in range(3)]
+    texts = [f"{prose(8_300 + i, 20)} {rare[i % 3]} {prose(8_400 + i, 20)}" for i in range(12)]
+    texts += [f"{prose(8_500 + i, 20)} {line[0]} fill{i % 7} in {line[1]} {prose(8_600 + i, 20)}" for i in range(40)]
+    frame = spark.createDataFrame([(i, i, i, text) for i, text in enumerate(texts)], "doc_order long, key_a long, key_b long, text string")
+    for block_bytes in (1 << 9, 1 << 20):
+        met = {(row.number, row.partner) for row in passages.chained(frame, block_bytes)[0].collect()}
+        assert {(i, j) for i in range(12) for j in range(i % 3, i, 3)} <= met
+        assert {(12 + i, 12 + j) for i in range(7) for j in range(i)} <= met
+        assert all(other < own for own, other in met)

@@ -5,13 +5,18 @@ Seeds are runs of ``SEED_WORDS`` words; of every ``WINDOW`` neighbouring ones th
 12 words, hence a seed in common, so this choice loses none. Passages whose words are as similar but whose shingles are not, such as one with every
 eighth word changed, are found as far as their seeds meet; the README has figures.
 
-A block of texts reports each seed once, in its first text that has it, and learns the first text of all with the seed and the one before its own. The
-block's other texts with the seed meet its first one and the one before them. So a seed that a third of all documents
-share is one entry per block, gives each text two matches, never all pairs, and each repeated seed has a match.
+A seed in at most ``EVERY`` places of all texts meets each of its places in earlier texts. A commoner one meets the first text that has it and the one before,
+and all others through pairs: two shared seeds that start within ``REACH`` words of each other, which is as far as chains bridge, are a key if one of them
+is common. A pair in at most ``EVERY`` places meets all earlier ones again. The places of a commoner pair that say the same from its first seed to its
+second are a class; the first place of each class meets those of all other classes. The rest of a class says what its first place says, so from seed to seed it has the same words in
+common with other texts. Beyond the outer seeds of a common pair, words that a text other than the first of the class goes on with, at most six on a side, may stay unmatched; more are a long run.
 
-These two documents may have a common seed in other surroundings only. So runs of ``LEAST_PIECE`` words whose seed, that with the least hash,
-other documents share are joined in the same way, every such run, wherever it starts: a match of it is a piece in itself, whichever
-document it is found in. So each word of a passage that lies in 12 words that an earlier document has is matched.
+A block of texts reports each seed once, and each wording of a pair that it has more than ``EVERY`` times. So a line that a third of all documents share is one
+entry per block, never all pairs of them; a line in many wordings costs the pairs of its wordings.
+
+Unbroken runs of ``LEAST_PIECE`` words whose seed, that with the least hash, other documents share are joined too, every such run, wherever it starts, with the
+first text that has it and the one before: a match of it is a piece in itself, whichever
+document it is found in. So each word of a passage that lies in 12 words that an earlier document has is matched, and a chain of one seed alone is not aligned.
 
 For each pair of documents, matches on one diagonal are joined to segments, and segments in order in both documents
 chained: a segment gains its words and pays ``GAP_COST`` for each word left out on either side. The best
@@ -55,6 +60,10 @@ GAP_COST = 0.1
 GAP = 32
 MARGIN = 16
 STEP = 8
+#: Places up to which each place of a seed, or of a pair of seeds, meets all earlier ones; with more, pairs and classes do.
+EVERY = 16
+#: Words from the start of a seed to that of another with which it makes a pair; chains bridge no more.
+REACH = 2 * GAP + SEED_WORDS
 BLOCK_BYTES = 2 << 20
 LEAST_RANGES = 32
 KEY = ["key_a", "key_b"]
@@ -345,10 +354,25 @@ def range_cuts(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.append(np.searchsorted(hashes, edges), len(hashes))
 
 
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, 2 … up to each of the sizes, one after another."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it; the first one does."""
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[:1] = True
+    for column in columns:
+        new[1:] |= column[1:] != column[:-1]
+    return new
+
+
 class SeedBlock:
-    """The words and seeds of a block's texts, seeds in order of hash, text and place; the first of each text only.
+    """The words and seeds of a block's texts, seeds in order of hash, text and place.
 
-    Of a seed, the block reports its first text only (``head``). The texts after it meet that one and the one before them within the block.
+    The block reports each hash once, with its places; of one in more than ``EVERY`` places with the first only, and the texts after it meet that one and
+    the one before them within the block.
     """
 
     def __init__(self, row: dict) -> None:
@@ -360,78 +384,161 @@ class SeedBlock:
         order = np.lexsort((places, self.numbers[doc], hashes))
         hashes, doc, places = hashes[order], doc[order], places[order]
         # a seed that comes again at once, as in a word said over and over, stands for STEP words of such a run
-        step = places // STEP
-        new = np.append(True, (np.diff(hashes) != 0) | (np.diff(doc) != 0) | (np.diff(step) != 0))[: len(order)]
+        new = _changes(hashes, doc, places // STEP)
         self.hash, self.doc, self.place = hashes[new], doc[new], places[new]
-        first = np.append(True, (np.diff(self.hash) != 0) | (np.diff(self.doc) != 0))[: len(self.hash)]
-        self.first = np.flatnonzero(first)
-        self.entry = np.cumsum(first) - 1  # of each seed, the place of its text's first with that hash
-        head = np.append(True, np.diff(self.hash[self.first]) != 0)[: len(self.first)]
+        first = _changes(self.hash, self.doc)
+        self.first = np.flatnonzero(first)  # of each text with a hash, its first place
+        self.entry = np.cumsum(first) - 1  # of each seed, which of these is its own
+        head = _changes(self.hash[self.first])
         self.head = np.flatnonzero(head)  # of the entries, the first of each hash
-        self.of_head = np.cumsum(head) - 1  # of each entry, which of these is its hash's
-
-    def words(self, doc: int) -> np.ndarray:
-        return self.hashes[self.starts[doc] : self.starts[doc] + self.counts[doc]]
+        self.kind = (np.cumsum(head) - 1)[self.entry]  # of each seed, which of the hashes it has
+        self.times = np.bincount(self.kind, minlength=len(self.head))
 
     def reported(self) -> np.ndarray:
-        """The seeds this block reports."""
+        """The seeds this block reports: the first of each hash."""
         return self.first[self.head]
 
-    def cuts(self, bits: int) -> np.ndarray:
-        return range_cuts(self.hash[self.reported()], bits)
-
-    def partners(self, first: np.ndarray, first_at: np.ndarray, previous: np.ndarray, previous_at: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For each entry two earlier texts that have its seed, and where, out of the answers for the reported ones; -1 for none."""
-        numbers, places = self.numbers[self.doc[self.first]], self.place[self.first]
-        head = self.head[self.of_head]
-        is_head = np.arange(len(self.first)) == head
-        before = np.maximum(np.arange(len(self.first)) - 1, 0)
-        known = first[self.of_head]
-        alone = np.where(known == numbers, np.int64(-1), known)  # the first text of all meets none
-        one = np.where(is_head, alone, numbers[head])
-        one_at = np.where(is_head, first_at[self.of_head], places[head])
-        two = np.where(is_head, np.where(alone < 0, np.int64(-1), previous[self.of_head]), numbers[before])
-        two_at = np.where(is_head, previous_at[self.of_head], places[before])
-        return one, one_at, two, two_at
-
-    def shared(self, first: np.ndarray) -> np.ndarray:
-        """The hashes of seeds that another text has, in this block or elsewhere; sorted."""
-        repeated = np.bincount(self.of_head, minlength=len(self.head)) > 1
-        return self.hash[self.reported()][repeated | (first >= 0)]
+    def told(self) -> np.ndarray:
+        """The seeds whose places the reports have."""
+        told = (self.times <= EVERY)[self.kind]
+        told[self.reported()] = True
+        return np.flatnonzero(told)
+
+    def known(self, shared: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each hash, whether another text has it, and whether it is a common one, out of the answers for the places told."""
+        kind, n = self.kind[self.told()], len(self.head)
+        repeated = np.diff(np.append(self.head, len(self.first))) > 1
+        return repeated | (np.bincount(kind, shared, n) > 0), (self.times > EVERY) | (np.bincount(kind, common, n) > 0)
+
+    def links(self, n: np.ndarray, partners: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Number, place, partner and their place of matches of seeds, out of the ``n`` answers for each place told."""
+        told, often = self.told(), np.flatnonzero((self.times > EVERY)[self.kind])
+        head = self.head[self.kind[often]]
+        of_head = self.entry[often] == head
+        again = often[of_head & (often != self.first[head])]  # other places of the text that the block reports
+        own = np.concatenate([told, again])
+        answer = np.searchsorted(told, np.concatenate([told, self.reported()[self.kind[again]]]))
+        at = np.repeat((np.cumsum(n) - n)[answer], n[answer]) + _within(n[answer])
+        own = np.repeat(own, n[answer])
+        later, one = often[~of_head], self.first[head[~of_head]]
+        two = self.first[self.entry[later] - 1]
+        inside, other = np.concatenate([later, later[two != one]]), np.concatenate([one, two[two != one]])
+        mine = np.concatenate([own, inside])
+        partner = np.concatenate([partners[at], self.numbers[self.doc[other]]])
+        return self.numbers[self.doc[mine]], self.place[mine].astype(np.int32), partner, np.concatenate([theirs[at], self.place[other].astype(np.int32)])
+
+    def pairs(self, shared: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Key, hash of the words from the first seed to the second, number, place, distance and how many it stands for, of pairs of shared seeds.
+
+        One of the two is common. They are in order of key; of one wording in more than ``EVERY`` places only the first is given.
+        """
+        at = np.flatnonzero(shared[self.kind])
+        at = at[np.lexsort((self.place[at], self.doc[at]))]
+        doc, place, often = self.doc[at], self.place[at], common[self.kind[at]]
+        left, right, step = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], 1
+        while step < len(at) and (near := (doc[step:] == doc[:-step]) & (place[step:] - place[:-step] <= REACH)).any():
+            left.append(np.flatnonzero(near & (often[step:] | often[:-step])))
+            right.append(left[-1] + step)
+            step += 1
+        one, two = at[np.concatenate(left)], at[np.concatenate(right)]
+        key = remixed(remixed(self.hash[one]) ^ (self.hash[two] * np.uint64(_BASE)))
+        power, inverse = _powers(len(self.hashes) + 1)
+        sums = np.append(np.uint64(0), np.cumsum(self.hashes * power[: len(self.hashes)]))
+        low, high = self.starts[self.doc[one]] + self.place[one], self.starts[self.doc[two]] + self.place[two] + SEED_WORDS
+        wording = remixed((sums[high] - sums[low]) * inverse[low] + (high - low).astype(np.uint64))
+        number, place, apart = self.numbers[self.doc[one]], self.place[one], self.place[two] - self.place[one]
+        order = np.lexsort((place, number, wording, key))
+        key, wording, number, place, apart = (column[order] for column in (key, wording, number, place, apart))
+        new = _changes(key, wording)
+        times = np.diff(np.append(np.flatnonzero(new), len(new)))[np.cumsum(new) - 1]
+        kept = new | (times <= EVERY)
+        times = np.where(times > EVERY, times, 1)
+        return tuple(column[kept] for column in (key, wording, number, place.astype(np.int32), apart.astype(np.int32), times.astype(np.int32)))
+
+
+def _unpacked(reports: pa.Table, **kinds: type) -> list[np.ndarray]:
+    """Columns of packed numbers, one after another; those of ``hashes`` ascend in each report."""
+    return [np.concatenate([np.empty(0, kind), *(unpack(x.as_py(), kind, name == "hashes") for x in reports[name])]) for name, kind in kinds.items()]
 
 
 def _partners(reports: pa.Table) -> pa.Table:
-    """For each seed of a text: the number and place of the first text that has it, and of the one before.
+    """For each place told of a seed: its places in all earlier texts, or of a common seed in the first text and the one before.
 
-    Of the first text itself these are its own number, or -1 if no other has the seed.
+    Further ``n``, how many these are, and whether another of these texts has the seed (1) and whether it is common (2).
     """
-    sizes = [x.as_py() for x in reports["n"]]
-    hashes = np.concatenate([unpack(x.as_py(), np.uint64, True) for x in reports["hashes"]])
-    numbers = np.concatenate([unpack(x.as_py(), np.int64) for x in reports["numbers"]])
-    places = np.concatenate([unpack(x.as_py(), np.int32) for x in reports["places"]])
-    order = np.lexsort((numbers, hashes))
-    hashes, numbers, places = hashes[order], numbers[order], places[order]
-    new = np.append(True, hashes[1:] != hashes[:-1])
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    previous = np.arange(len(order)) - 1
-    alone = np.where(np.append(new[1:], True), -1, numbers)
-    columns = []
-    for source in (first, previous):
-        columns += [np.where(new, alone, numbers[source]), np.where(new, 0, places[source]).astype(np.int32)]
+    hashes, numbers, places, times = _unpacked(reports, hashes=np.uint64, numbers=np.int64, places=np.int32, times=np.int32)
+    told = np.where(times > EVERY, 1, times)
+    sizes = np.add.reduceat(told, np.append(0, np.cumsum([x.as_py() for x in reports["n"]])[:-1]))
+    hashes, times = np.repeat(hashes, told), np.repeat(times // told, told)
+    order = np.lexsort((places, numbers, hashes))
+    hashes, numbers, places, times = hashes[order], numbers[order], places[order], times[order]
+    new, new_text = _changes(hashes), _changes(hashes, numbers)
+    kind, text = np.cumsum(new) - 1, np.cumsum(new_text) - 1
+    start, text_start = np.flatnonzero(new)[kind], np.flatnonzero(new_text)
+    own = text_start[text]
+    before = text_start[text[np.maximum(own - 1, 0)]]
+    common = (np.bincount(kind, times) > EVERY)[kind]
+    n = np.where(common, (own > start).astype(np.int64) + ((own > start) & (before > start)), own - start)
+    flags = ((np.bincount(kind[text_start]) > 1)[kind] + 2 * common).astype(np.uint8)
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    step = _within(n[rank])
+    row = np.repeat(rank, n[rank])
+    at = np.where(common[row] & (step > 0), before[row], start[row] + step)
+    cuts = np.cumsum(sizes)[:-1]
+    found_cuts = np.append(0, np.cumsum(n[rank]))[cuts]
+    columns = {"met": (n[rank].astype(np.int32), cuts), "flags": (flags[rank], cuts), "partners": (numbers[at], found_cuts), "theirs": (places[at], found_cuts)}
     out: dict = {"block": reports["block"], "part": reports["part"]}
-    for name, column in zip(("first", "first_at", "previous", "previous_at"), columns):
-        back = np.empty_like(column)
-        back[order] = column
-        out[name] = pa.array([pack(part) for part in np.split(back, np.cumsum(sizes)[:-1])], pa.binary())
+    for name, (column, bounds) in columns.items():
+        out[name] = pa.array([pack(part) for part in np.split(column, bounds)], pa.binary())
     return pa.table(out)
 
 
+def _pair_links(reports: pa.Table) -> pa.Table:
+    """Matches of the seeds of pairs, by block: of each place with all earlier texts, or of common pairs of the first text of each wording with those of others."""
+    block = np.repeat(reports["block"].to_numpy(), [x.as_py() for x in reports["n"]])
+    kinds = {"hashes": np.uint64, "wordings": np.uint64, "numbers": np.int64, "places": np.int32, "apart": np.int32, "times": np.int32}
+    key, wording, number, place, apart, times = _unpacked(reports, **kinds)
+    order = np.lexsort((place, number, wording, key))
+    key, wording, number, times = key[order], wording[order], number[order], times[order]
+    kind = np.cumsum(_changes(key)) - 1
+    kept = (np.bincount(kind, times) <= EVERY)[kind] | _changes(key, wording)
+    order, key, number = order[kept], key[kept], number[kept]
+    again = np.lexsort((place[order], number, key))
+    order, key, number = order[again], key[again], number[again]
+    block, place, apart = block[order], place[order], apart[order]
+    new, new_text = _changes(key), _changes(key, number)
+    start = np.flatnonzero(new)[np.cumsum(new) - 1]
+    n = np.flatnonzero(new_text)[np.cumsum(new_text) - 1] - start
+    out = []
+    for rows in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // LINKS)) + 1):
+        rows = rows[np.argsort(block[rows], kind="stable")]
+        for own in np.split(rows, np.flatnonzero(np.diff(block[rows])) + 1):
+            if len(own) and n[own].sum():
+                other = np.repeat(start[own], n[own]) + _within(n[own])
+                own = np.repeat(own, n[own])
+                mine, theirs = (np.concatenate([place[x], place[x] + apart[x]]) for x in (own, other))
+                out.append((int(block[own[0]]), pack(np.tile(number[own], 2)), pack(mine), pack(np.tile(number[other], 2)), pack(theirs)))
+    return _met_table(out)
+
+
 _CHAIN = "number long, partner long, start int, size int, their_start int, their_size int, chain binary, words binary"
 
 
-_REPORT = "part int, block long, n int, hashes binary, numbers binary, places binary"
-_MET_FIELDS = [("block", pa.int64()), *((name, pa.binary()) for name in ("m_numbers", "mine", "partners", "theirs"))]
-_REPORT_FIELDS = [("part", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), *((name, pa.binary()) for name in ("hashes", "numbers", "places"))]
+_REPORT = "part int, block long, n int, hashes binary, numbers binary, places binary, times binary"
+_PAIR = f"{_REPORT}, wordings binary, apart binary"
+_MET = "block long, numbers binary, mine binary, partners binary, theirs binary"
+#: Matches that one row of them holds, but for those of one place.
+LINKS = 1 << 18
+
+
+def _names(kinds: str) -> list[str]:
+    return [part.split()[0] for part in kinds.split(", ")]
+
+
+def _met_table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int64(), *[pa.binary()] * 4]
+    return pa.table([pa.array(column, kind) for column, kind in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=_names(_MET))
 
 
 def _long_matches(reports: pa.Table) -> pa.Table:
@@ -457,9 +564,7 @@ def _long_matches(reports: pa.Table) -> pa.Table:
     for at in np.split(np.arange(len(own)), np.flatnonzero(np.diff(block[own])) + 1):
         if len(at):
             out.append((int(block[own[at[0]]]), pack(numbers[own[at]]), pack(places[own[at]]), pack(numbers[other[at]]), pack(places[other[at]])))
-    kinds = [pa.int64(), *[pa.binary()] * 4]
-    names = ["block", "numbers", "mine", "partners", "theirs"]
-    return pa.table([pa.array(column, kind) for column, kind in zip(zip(*out) if out else [[]] * 5, kinds)], names=names)
+    return _met_table(out)
 
 
 def _long_runs(told: pa.Table) -> pa.Table:
@@ -496,90 +601,106 @@ def chained(texts: DataFrame, block_bytes: int) -> tuple[DataFrame, DataFrame, D
     blocks = blocks_of(texts, block_bytes)
     bits = max(LEAST_RANGES, blocks.count() // 16).bit_length()
 
+    def by_part(block: int, hashes: np.ndarray, **columns: tuple[np.ndarray | None, np.ndarray]) -> list[dict]:
+        """A report for each range of the sorted hashes; columns with several values for a hash say where those of each end."""
+        out, cuts = [], range_cuts(hashes, bits).tolist()
+        for part, (low, high) in enumerate(zip(cuts, cuts[1:])):
+            if high > low:
+                packed = {}
+                for name, (until, column) in columns.items():
+                    own = slice(low, high) if until is None else slice(until[low - 1] if low else 0, until[high - 1])
+                    packed[name] = pack(column[own])
+                out.append({"part": part, "block": block, "n": high - low, "hashes": pack(hashes[low:high], True), **packed})
+        return out
+
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches, 1):
             row = batch.to_pylist()[0]
-            found, out = SeedBlock(row), []
-            cuts = found.cuts(bits)
-            for part, (low, high) in enumerate(zip(cuts, cuts[1:])):
-                own = found.reported()[low:high]
-                if len(own):
-                    out.append({"part": part, "block": row["block"], "n": len(own), "hashes": pack(found.hash[own], True), "numbers": pack(found.numbers[found.doc[own]]), "places": pack(found.place[own].astype(np.int32))})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema(_REPORT_FIELDS))
+            found = SeedBlock(row)
+            told = found.told()
+            until = np.cumsum(np.where(found.times > EVERY, 1, found.times))
+            columns = {"numbers": (until, found.numbers[found.doc[told]]), "places": (until, found.place[told].astype(np.int32)), "times": (None, found.times.astype(np.int32))}
+            fields = [pa.field(name, {"n": pa.int32(), "part": pa.int32(), "block": pa.int64()}.get(name, pa.binary())) for name in _names(_REPORT)]
+            yield pa.RecordBatch.from_pylist(by_part(row["block"], found.hash[found.reported()], **columns), schema=pa.schema(fields))
 
     reports = blocks.mapInArrow(report, _REPORT)
-    partners = reports.groupBy("part").applyInArrow(
-        _partners, "block long, part int, first binary, first_at binary, previous binary, previous_at binary"
-    )
+    partners = reports.groupBy("part").applyInArrow(_partners, "block long, part int, met binary, flags binary, partners binary, theirs binary")
+
+    def link(block: pa.Table, told: pa.Table) -> pa.Table:
+        row = block.to_pylist()[0]
+        found = SeedBlock(row)
+        n, flags, partners, theirs = _unpacked(told.sort_by("part"), met=np.int32, flags=np.uint8, partners=np.int64, theirs=np.int32)
+        shared, common = found.known(flags & 1, flags & 2)
+        linked = found.links(n.astype(np.int64), partners, theirs)
+        rows = [{"kind": 0, "block": row["block"], **dict(zip(_names(_MET)[1:], map(pack, linked)))}] if len(linked[0]) else []
+        key, *columns = found.pairs(shared, common)
+        pairs = dict(zip(("wordings", "numbers", "places", "apart", "times"), columns))
+        rows += [{"kind": 1, **x} for x in by_part(row["block"], key, **{name: (None, column) for name, column in pairs.items()})]
+        rows += long_runs(found, found.hash[found.reported()][shared], row["block"])
+        fields = {"kind": pa.int32(), "part": pa.int32(), "block": pa.int64(), "n": pa.int32()}
+        return pa.Table.from_pylist(rows, schema=pa.schema([(name, fields.get(name, pa.binary())) for name in _names(every)]))
 
     def chain(block: pa.Table, told: pa.Table) -> pa.Table:
-        found, rows = SeedBlock(block.to_pylist()[0]), []
-        answers = sorted(told.to_pylist(), key=lambda row: row["part"])
-        kinds = {"first": np.int64, "first_at": np.int32, "previous": np.int64, "previous_at": np.int32}
-        got = {name: np.concatenate([unpack(x[name], kind) for x in answers]) if answers else np.empty(0, kind) for name, kind in kinds.items()}
-        one, one_at, two, two_at = found.partners(*got.values())
-        sides = []
-        for partner, at in ((one, one_at), (np.where(two == one, -1, two), two_at)):
-            again = np.flatnonzero(partner[found.entry] >= 0)
-            sides.append((found.doc[again], found.place[again], partner[found.entry[again]], at[found.entry[again]]))
-        doc, mine, partner, theirs = (np.concatenate(column).astype(np.int64) for column in zip(*sides))
-        order = np.lexsort((partner, doc))
-        doc, mine, partner, theirs = doc[order], mine[order], partner[order], theirs[order]
-        pair = np.cumsum(np.append(0, (np.diff(doc) != 0) | (np.diff(partner) != 0)))[: len(doc)]
-        heads = np.flatnonzero(np.append(True, np.diff(pair) != 0))[: len(doc)]
-        part, c, a, n = segments(pair, mine, theirs)
-        bounds = np.append(np.flatnonzero(np.append(True, np.diff(part) != 0)), len(part)).tolist() if len(part) else [0]
+        rows: list[tuple] = []
+        numbers, mine, partner, theirs = _unpacked(told, numbers=np.int64, mine=np.int32, partners=np.int64, theirs=np.int32)
+        if len(numbers):
+            rows = chains_of(block.to_pylist()[0], numbers, mine.astype(np.int64), partner, theirs.astype(np.int64))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(column, kind) for column, kind in zip(zip(*rows) if rows else [[]] * 8, kinds)], names=_names(_CHAIN))
+
+    def chains_of(block: dict, numbers: np.ndarray, mine: np.ndarray, partner: np.ndarray, theirs: np.ndarray) -> list[tuple]:
+        order = np.lexsort((theirs, mine, partner, numbers))
+        order = order[_changes(numbers[order], partner[order], mine[order], theirs[order])]  # a match may be in many pairs
+        numbers, mine, partner, theirs = numbers[order], mine[order], partner[order], theirs[order]
+        hashes, counts = hashed_words(zstandard.ZstdDecompressor().decompress(block["texts"]), np.frombuffer(block["sizes"], dtype=np.int64))
+        texts = dict(zip(np.frombuffer(block["orders"], dtype=np.int64).tolist(), np.split(hashes, np.cumsum(counts)[:-1])))
+        new, rows = _changes(numbers, partner), []
+        heads = np.flatnonzero(new)
+        part, c, a, n = segments(np.cumsum(new) - 1, mine, theirs)
+        bounds = np.append(np.flatnonzero(_changes(part)), len(part)).tolist()
         c, a, n = c.tolist(), a.tolist(), n.tolist()
         for low, high in zip(bounds, bounds[1:]):
-            own = int(doc[heads[part[low]]])
-            other, words = int(partner[heads[part[low]]]), found.words(own)
+            own, other = int(numbers[heads[part[low]]]), int(partner[heads[part[low]]])
+            words = texts[own]
             if high - low == 1:
                 linked = [[(c[low], a[low], n[low])]]
             else:
                 linked = chains(list(zip(c[low:high], a[low:high], n[low:high])))
             for parts in linked:
+                if len(parts) == 1 and parts[0][2] == SEED_WORDS:  # an unbroken run of words: of 12 words and more these are joined as such
+                    continue
                 (c0, a0, _), (last_c, last_a, last_n) = parts[0], parts[-1]
                 start, end = max(0, c0 - MARGIN), min(len(words), last_c + last_n + MARGIN)
                 their_start, their_end = max(0, a0 - MARGIN), last_a + last_n + MARGIN
                 shifted = np.array([(x - start, y - their_start, size) for x, y, size in parts], dtype=np.int32)
-                rows.append((int(found.numbers[own]), other, start, end - start, their_start, their_end - their_start, shifted.tobytes(), short_words(words[start:end])))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        names = [part.split()[0] for part in _CHAIN.split(", ")]
-        out = pa.table([pa.array(column, kind) for column, kind in zip(zip(*rows) if rows else [[]] * 8, kinds)], names=names)
-        reported, met = long_runs(found, found.shared(got["first"]), block["block"][0].as_py())
-        more = pa.Table.from_pylist(reported, schema=pa.schema(_REPORT_FIELDS))
-        local = pa.Table.from_pylist(met, schema=pa.schema(_MET_FIELDS))
-        every = [*names, *more.column_names, *(name for name, _ in _MET_FIELDS if name != "block")]
-        return pa.concat_tables([out, more, local], promote_options="default").select(every)
-
-    def long_runs(found: SeedBlock, shared: np.ndarray, block: int) -> tuple[list[dict], list[dict]]:
+                rows.append((own, other, start, end - start, their_start, their_end - their_start, shifted.tobytes(), short_words(words[start:end])))
+        return rows
+
+    def long_runs(found: SeedBlock, shared: np.ndarray, block: int) -> list[dict]:
         """Reports of the long runs, each in the block's first text that has it, and the matches of the texts after that one with it."""
         hashes, doc, places = long_grams(found.hashes, found.counts, shared)
         order = np.lexsort((places, found.numbers[doc], hashes))
         hashes, numbers, places = hashes[order], found.numbers[doc[order]], places[order].astype(np.int32)
-        new = np.append(True, np.diff(hashes) != 0)[: len(hashes)]
+        new = _changes(hashes)
         first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(hashes) else np.empty(0, dtype=np.int64)
         of_first = numbers == numbers[first]
         later = np.flatnonzero(~of_first)
-        met = []
+        out = [{"kind": 2, **x} for x in by_part(block, hashes[of_first], numbers=(None, numbers[of_first]), places=(None, places[of_first]))]
         if len(later):
             packed = pack(numbers[later]), pack(places[later]), pack(numbers[first[later]]), pack(places[first[later]])
-            met.append(dict(zip(("block", "m_numbers", "mine", "partners", "theirs"), (block, *packed))))
-        hashes, numbers, places = hashes[of_first], numbers[of_first], places[of_first]
-        out, cuts = [], range_cuts(hashes, bits)
-        for part, (low, high) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
-            if high > low:
-                out.append({"part": part, "block": block, "n": high - low, "hashes": pack(hashes[low:high], True), "numbers": pack(numbers[low:high]), "places": pack(places[low:high])})
-        return out, met
+            out.append({"kind": 3, "block": block, **dict(zip(_names(_MET)[1:], packed))})
+        return out
 
+    every = f"kind int, {_PAIR}, mine binary, partners binary, theirs binary"
     together = blocks.groupBy("block").cogroup(materialise(partners, "partners").groupBy("block"))
-    kinds = f"{_CHAIN}, {_REPORT}, m_numbers binary, mine binary, partners binary, theirs binary"
-    both = materialise(together.applyInArrow(chain, kinds), "chains")
-    names = lambda kinds: [part.split()[0] for part in kinds.split(", ")]
+    told = materialise(together.applyInArrow(link, every), "links")
+    paired = told.where("kind = 1").select(_names(_PAIR)).groupBy("part").applyInArrow(_pair_links, _MET)
+    linked = told.where("kind = 0").select(_names(_MET)).unionAll(paired)
+    found = blocks.groupBy("block").cogroup(linked.groupBy("block")).applyInArrow(chain, _CHAIN)
     return (
-        both.where("number IS NOT NULL").select(names(_CHAIN)),
-        both.where("part IS NOT NULL").select(names(_REPORT)),
-        both.where("mine IS NOT NULL").select("block", F.col("m_numbers").alias("numbers"), "mine", "partners", "theirs"),
+        materialise(found, "chains"),
+        told.where("kind = 2").select([name for name in _names(_REPORT) if name != "times"]),
+        told.where("kind = 3").select(_names(_MET)),
     )
 
 
