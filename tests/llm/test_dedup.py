@@ -337,3 +337,48 @@ def test_no_two_texts_with_a_seed_or_a_pair_of_common_ones_are_left_apart(spark)
         assert {(i, j) for i in range(12) for j in range(i % 3, i, 3)} <= met
         assert {(12 + i, 12 + j) for i in range(7) for j in range(i)} <= met
         assert all(other < own for own, other in met)
+
+
+def test_a_group_of_many_wordings_costs_no_pair_of_each(spark):
+    """Texts that each say two common lines in a wording of their own: the matches grow with their number, not with its square."""
+    from trailmetrics.llm import passages
+
+    line = [prose(8_700 + i, 20) for i in range(2)]
+    made = []
+    for n in (40, 160):
+        texts = [f"{prose(9_000 + i, 20)} {line[0]} fill{i} in {line[1]} {prose(9_300 + i, 20)}" for i in range(n)]
+        frame = spark.createDataFrame([(i, i, i, text) for i, text in enumerate(texts)], "doc_order long, key_a long, key_b long, text string")
+        made.append(passages.chained(frame, 1 << 12)[0].count())
+    assert made[1] <= 6 * made[0]
+
+
+def test_words_that_many_wordings_hide_are_matched_with_the_text_that_has_them(spark):
+    """Nine words of a common passage and three of the text's own, eight times: fewer than 0.8 are the first text's; the last text has one more of each
+    three in common with a text in the middle, which makes 0.85. The passage's seeds are common, and their pairs across other words have a wording in each text."""
+    base = [prose(9_700 + i, 9) for i in range(8)]
+
+    def said(name, shared=None):
+        return " ".join(f"{run} {name}a{i} {shared or name}b{i} {name}c{i}" for i, run in enumerate(base))
+
+    texts = [f"{prose(9_800 + i, 25)} {said(f'own{i}', 'shared' if i in (12, 25) else None)} {prose(9_850 + i, 25)}" for i in range(26)]
+    found = op5_collinear_chains(spark, folder(spark, documents=documents(spark, list(enumerate(texts))))).collect()
+    assert {row.doc_id for row in found} == {25}
+    (row,) = found
+    assert row.source_doc_id == 12 and row.end_word - row.start_word >= 80 and row.similarity > 0.8
+
+
+def test_texts_that_differ_alike_from_a_third_meet_through_it():
+    from trailmetrics.llm.passages import differences, matches, through
+
+    base = np.arange(100, 140, dtype=np.uint32)
+    one, two = np.append(7, base), base.copy()
+    one[[16, 21]] = two[[15, 22]] = 5, 6
+    keys = []
+    for text, start in ((one, 1), (two, 0)):
+        where, _ = matches(text, base, [(start, 0, 5), (start + 30, 30, 5)])
+        at, own, asks = differences(text, where, 3, 1_000, np.array([[0], [17]], dtype=np.int32).tobytes())
+        keys.append((at.tolist(), own.reshape(-1, 4), asks.tolist()))
+    assert [x[0] for x in keys] == [[16, 21], [15, 22]] and keys[0][2] == [False, True]
+    assert (keys[0][1][0] == keys[1][1][0]).all() and not np.isin(keys[0][1][1][:2], keys[1][1]).any()
+    assert through([[1, 0, 15], [17, 16, 4], [22, 21, 9]], [[0, 0, 15], [16, 16, 6], [90, 120, 9]]) == [[(1, 0, 15), (17, 16, 4), (22, 21, 1)]]
+    assert through([[0, 0, 9], [90, 90, 9]], [[0, 0, 9], [90, 90, 9]]) == [[(0, 0, 9)], [(90, 90, 9)]]

@@ -8,11 +8,17 @@ eighth word changed, are found as far as their seeds meet; the README has figure
 A seed in at most ``EVERY`` places of all texts meets each of its places in earlier texts. A commoner one meets the first text that has it and the one before,
 and all others through pairs: two shared seeds that start within ``REACH`` words of each other, which is as far as chains bridge, are a key if one of them
 is common. A pair in at most ``EVERY`` places meets all earlier ones again. The places of a commoner pair that say the same from its first seed to its
-second are a class; the first place of each class meets those of all other classes. The rest of a class says what its first place says, so from seed to seed it has the same words in
+second are a class; of at most ``EVERY`` classes the first place of each meets those of all others. The rest of a class says what its first place says, so from seed to seed it has the same words in
 common with other texts. Beyond the outer seeds of a common pair, words that a text other than the first of the class goes on with, at most six on a side, may stay unmatched; more are a long run.
 
+Of more classes, each meets the one before and the references: the first class, and each whose two seeds stand nearer to each other than in all before it. A word that
+an earlier text has between the two seeds, too, is then matched with a reference, or both texts differ from the reference by it. Such words are joined: each that
+no long run has meets the first text that has it after the same word of the reference, else before the same word, else in the same stretch of it. The
+two texts are aligned by what both have in common with the reference. So a line in many wordings costs what they differ in, never the pairs of its wordings. A word that occurs
+several times in a stretch, with other words on both sides, may be asked of a text that has it elsewhere in that stretch, and references miss pairs over 25 words apart that chains just bridge.
+
 A block of texts reports each seed once, and each wording of a pair that it has more than ``EVERY`` times. So a line that a third of all documents share is one
-entry per block, never all pairs of them; a line in many wordings costs the pairs of its wordings.
+entry per block, never all pairs of them.
 
 Unbroken runs of ``LEAST_PIECE`` words whose seed, that with the least hash, other documents share are joined too, every such run, wherever it starts, with the
 first text that has it and the one before: a match of it is a piece in itself, whichever
@@ -41,6 +47,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -64,6 +71,8 @@ STEP = 8
 EVERY = 16
 #: Words from the start of a seed to that of another with which it makes a pair; chains bridge no more.
 REACH = 2 * GAP + SEED_WORDS
+#: Words of a reference in which texts that differ from it are compared; seeds of a pair lie within.
+STRETCH = REACH + 2 * SEED_WORDS
 BLOCK_BYTES = 2 << 20
 LEAST_RANGES = 32
 KEY = ["key_a", "key_b"]
@@ -265,15 +274,21 @@ def chains(parts: list[tuple[int, int, int]], gap_cost: float = GAP_COST, gap: i
     return out
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Places in both of the words of a longest common subsequence of two short runs."""
-    table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int64)
-    for i, word in enumerate(a):
-        row = table[i]
-        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == word)))
-    if not table[-1, -1]:
+def _common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places in both of the words of a longest common subsequence of two short runs; words that one of them lacks take no part."""
+    in_b = set(b)
+    mine = [i for i, word in enumerate(a) if word in in_b]
+    if not mine:
         return []
-    best, out, i, j = table.tolist(), [], len(a), len(b)
+    in_a = {a[i] for i in mine}
+    theirs = [j for j, word in enumerate(b) if word in in_a]
+    best = [[0] * (len(theirs) + 1)]
+    for at in mine:
+        word, above, row = a[at], best[-1], [0]
+        for j, other in enumerate(theirs):
+            row.append(max(above[j + 1], row[j], above[j] + (b[other] == word)))
+        best.append(row)
+    out, i, j = [], len(mine), len(theirs)
     while best[i][j]:
         if best[i - 1][j] == best[i][j]:
             i -= 1
@@ -281,14 +296,15 @@ def _common(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            out.append((i, j))
+            out.append((mine[i], theirs[j]))
     return out[::-1]
 
 
 def matches(mine: np.ndarray, theirs: np.ndarray, chain: list[tuple[int, int, int]]) -> tuple[np.ndarray, tuple[int, int, int, int]]:
     """For each of my words the place of its equal in the other run or -1; my start and end, and theirs."""
     c, a, _ = chain[0]
-    while c and a and mine[c - 1] == theirs[a - 1]:
+    own, other = mine.tolist(), theirs.tolist()
+    while c and a and own[c - 1] == other[a - 1]:
         c, a = c - 1, a - 1
     at_c, at_a, where = c, a, np.full(len(mine), -1, dtype=np.int64)
     for i, (start_c, start_a, n) in enumerate(chain):
@@ -300,13 +316,13 @@ def matches(mine: np.ndarray, theirs: np.ndarray, chain: list[tuple[int, int, in
         if n <= 0:
             continue
         if start_c > at_c and start_a > at_a:
-            for x, y in _common(mine[at_c:start_c], theirs[at_a:start_a]):
+            for x, y in _common(own[at_c:start_c], other[at_a:start_a]):
                 where[at_c + x] = at_a + y
         equal = np.flatnonzero(mine[start_c : start_c + n] == theirs[start_a : start_a + n])
         where[start_c + equal] = start_a + equal
         at_c, at_a = start_c + n, start_a + n
         stop_c, stop_a = (chain[i + 1][0], chain[i + 1][1]) if i + 1 < len(chain) else (len(mine), len(theirs))
-        while at_c < stop_c and at_a < stop_a and mine[at_c] == theirs[at_a]:
+        while at_c < stop_c and at_a < stop_a and own[at_c] == other[at_a]:
             where[at_c] = at_a
             at_c, at_a = at_c + 1, at_a + 1
     return where, (c, at_c, a, at_a)
@@ -495,7 +511,10 @@ def _partners(reports: pa.Table) -> pa.Table:
 
 
 def _pair_links(reports: pa.Table) -> pa.Table:
-    """Matches of the seeds of pairs, by block: of each place with all earlier texts, or of common pairs of the first text of each wording with those of others."""
+    """Matches of the seeds of pairs, by block: of each place with all earlier texts, or of common pairs of the first text of each wording with those of others.
+
+    Of more than ``EVERY`` wordings, these are the references and the text before.
+    """
     block = np.repeat(reports["block"].to_numpy(), [x.as_py() for x in reports["n"]])
     kinds = {"hashes": np.uint64, "wordings": np.uint64, "numbers": np.int64, "places": np.int32, "apart": np.int32, "times": np.int32}
     key, wording, number, place, apart, times = _unpacked(reports, **kinds)
@@ -508,26 +527,45 @@ def _pair_links(reports: pa.Table) -> pa.Table:
     order, key, number = order[again], key[again], number[again]
     block, place, apart = block[order], place[order], apart[order]
     new, new_text = _changes(key), _changes(key, number)
-    start = np.flatnonzero(new)[np.cumsum(new) - 1]
-    n = np.flatnonzero(new_text)[np.cumsum(new_text) - 1] - start
+    kind = np.cumsum(new) - 1
+    start, text_start = np.flatnonzero(new)[kind], np.flatnonzero(new_text)[np.cumsum(new_text) - 1]
+    many = (np.bincount(kind) > EVERY)[kind]
+    # of many classes, a reference is one whose seeds stand nearer to each other than those of all before it
+    least = np.minimum.accumulate(apart - 2 * REACH * kind)
+    reference = _changes(least)
+    references = np.flatnonzero(reference)
+    n_before = np.cumsum(reference) - reference
+    n_references = n_before[text_start] - n_before[start]
+    before = text_start[np.maximum(text_start - 1, 0)]
+    n = np.where(many, n_references + ((text_start > start) & ~reference[before]), text_start - start)
     out = []
     for rows in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // LINKS)) + 1):
         rows = rows[np.argsort(block[rows], kind="stable")]
         for own in np.split(rows, np.flatnonzero(np.diff(block[rows])) + 1):
             if len(own) and n[own].sum():
-                other = np.repeat(start[own], n[own]) + _within(n[own])
+                step = _within(n[own])
                 own = np.repeat(own, n[own])
-                mine, theirs = (np.concatenate([place[x], place[x] + apart[x]]) for x in (own, other))
-                out.append((int(block[own[0]]), pack(np.tile(number[own], 2)), pack(mine), pack(np.tile(number[other], 2)), pack(theirs)))
-    return _met_table(out)
+                of_many = many[own] & (step < n_references[own])
+                other = np.where(many[own], before[own], start[own] + step)
+                other[of_many] = references[(n_before[start[own]] + step)[of_many]]
+                for marked in (False, True):
+                    x, y = own[of_many == marked], other[of_many == marked]
+                    if len(x):
+                        mine, theirs = (np.concatenate([place[at], place[at] + apart[at]]) for at in (x, y))
+                        out.append((int(block[x[0]]), pack(np.tile(number[x], 2)), pack(mine), pack(np.tile(number[y], 2)), pack(theirs), marked))
+    kinds = [pa.int64(), *[pa.binary()] * 4, pa.bool_()]
+    return pa.table([pa.array(column, kind) for column, kind in zip(zip(*out) if out else [[]] * 6, kinds)], names=_names(_MARKED))
 
 
-_CHAIN = "number long, partner long, start int, size int, their_start int, their_size int, chain binary, words binary"
+_CHAIN = "number long, partner long, start int, size int, their_start int, their_size int, chain binary, words binary, reference boolean, inside boolean, known binary"
 
 
 _REPORT = "part int, block long, n int, hashes binary, numbers binary, places binary, times binary"
 _PAIR = f"{_REPORT}, wordings binary, apart binary"
 _MET = "block long, numbers binary, mine binary, partners binary, theirs binary"
+_MARKED = f"{_MET}, reference boolean"
+_PIECE = "number long, start long, end long, partner long, runs binary"
+_ALIGNED = f"{_PIECE}, n int, at int, words binary, places array<int>, keys array<long>, asks array<boolean>"
 #: Matches that one row of them holds, but for those of one place.
 LINKS = 1 << 18
 
@@ -589,15 +627,41 @@ def _long_runs(told: pa.Table) -> pa.Table:
     return pa.table([*columns, pa.array(runs, pa.binary())], names=["number", "start", "end", "partner", "runs"])
 
 
-def long_pieces(reports: DataFrame, met: DataFrame) -> DataFrame:
+def long_pieces(met: DataFrame) -> DataFrame:
     """``number, start, end, partner, runs`` of runs of ``LEAST_PIECE`` words and more that stand in an earlier text."""
-    found = met.unionByName(reports.groupBy("part").applyInArrow(_long_matches, "block long, numbers binary, mine binary, partners binary, theirs binary"))
-    return found.groupBy("block").applyInArrow(_long_runs, "number long, start long, end long, partner long, runs binary")
+    return met.groupBy("block").applyInArrow(_long_runs, _PIECE)
+
+
+class LongRuns:
+    """Where each text of a block has long runs that an earlier text has, in order of start and, as none lies in another, of end."""
+
+    def __init__(self, told: pa.Table) -> None:
+        self.of: dict[int, tuple[list[int], list[int]]] = {}
+        if told.num_rows:
+            for number, start, end in zip(*(column.to_pylist() for column in _long_runs(told).columns[:3])):
+                starts, ends = self.of.setdefault(number, ([], []))
+                starts.append(start)
+                ends.append(end)
 
+    def hold(self, number: int, start: int, end: int) -> bool:
+        """Whether one run has all these words."""
+        starts, ends = self.of.get(number, ([], []))
+        at = bisect_right(starts, start) - 1
+        return at >= 0 and ends[at] >= end
 
-def chained(texts: DataFrame, block_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stored chains between a text and an earlier one, with the words of the text around them; stored reports of long runs, and
-    the matches of these within blocks."""
+    def within(self, number: int, start: int, end: int) -> bytes:
+        """Starts and ends of the runs that have some of these words, counted from the first of these."""
+        starts, ends = self.of.get(number, ([], []))
+        low, high = bisect_right(ends, start), bisect_left(starts, end)
+        return (np.array([starts[low:high], ends[low:high]], dtype=np.int32) - np.int32(start)).tobytes()
+
+
+def chained(texts: DataFrame, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Stored chains between a text and an earlier one, with the words of the text around them, and stored matches of long runs.
+
+    A chain that lies in one long run, with as many words on each side as an exact run of it can have beyond its seeds without being a long one
+    itself, is ``inside``: its words are matched without it, and most of no passage stands in it.
+    """
     blocks = blocks_of(texts, block_bytes)
     bits = max(LEAST_RANGES, blocks.count() // 16).bit_length()
 
@@ -642,13 +706,17 @@ def chained(texts: DataFrame, block_bytes: int) -> tuple[DataFrame, DataFrame, D
 
     def chain(block: pa.Table, told: pa.Table) -> pa.Table:
         rows: list[tuple] = []
+        of_long = told["reference"].is_null()
+        runs, told = LongRuns(told.filter(of_long)), told.filter(pa.compute.invert(of_long))
         numbers, mine, partner, theirs = _unpacked(told, numbers=np.int64, mine=np.int32, partners=np.int64, theirs=np.int32)
         if len(numbers):
-            rows = chains_of(block.to_pylist()[0], numbers, mine.astype(np.int64), partner, theirs.astype(np.int64))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(column, kind) for column, kind in zip(zip(*rows) if rows else [[]] * 8, kinds)], names=_names(_CHAIN))
+            marked = _unpacked(told.filter(told["reference"]), numbers=np.int64, partners=np.int64)
+            marked = set(zip(*(column.tolist() for column in marked)))
+            rows = chains_of(block.to_pylist()[0], numbers, mine.astype(np.int64), partner, theirs.astype(np.int64), marked, runs)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.bool_(), pa.binary()]
+        return pa.table([pa.array(column, kind) for column, kind in zip(zip(*rows) if rows else [[]] * 11, kinds)], names=_names(_CHAIN))
 
-    def chains_of(block: dict, numbers: np.ndarray, mine: np.ndarray, partner: np.ndarray, theirs: np.ndarray) -> list[tuple]:
+    def chains_of(block: dict, numbers: np.ndarray, mine: np.ndarray, partner: np.ndarray, theirs: np.ndarray, marked: set, runs: LongRuns) -> list[tuple]:
         order = np.lexsort((theirs, mine, partner, numbers))
         order = order[_changes(numbers[order], partner[order], mine[order], theirs[order])]  # a match may be in many pairs
         numbers, mine, partner, theirs = numbers[order], mine[order], partner[order], theirs[order]
@@ -673,7 +741,11 @@ def chained(texts: DataFrame, block_bytes: int) -> tuple[DataFrame, DataFrame, D
                 start, end = max(0, c0 - MARGIN), min(len(words), last_c + last_n + MARGIN)
                 their_start, their_end = max(0, a0 - MARGIN), last_a + last_n + MARGIN
                 shifted = np.array([(x - start, y - their_start, size) for x, y, size in parts], dtype=np.int32)
-                rows.append((own, other, start, end - start, their_start, their_end - their_start, shifted.tobytes(), short_words(words[start:end])))
+                beyond = LEAST_PIECE - SEED_WORDS - 1
+                inside = runs.hold(own, max(0, c0 - beyond), min(len(words), last_c + last_n + beyond))
+                reference = not inside and (own, other) in marked
+                told = (reference, inside, runs.within(own, start, end) if reference else None)
+                rows.append((own, other, start, end - start, their_start, their_end - their_start, shifted.tobytes(), b"" if inside else short_words(words[start:end]), *told))
         return rows
 
     def long_runs(found: SeedBlock, shared: np.ndarray, block: int) -> list[dict]:
@@ -694,18 +766,17 @@ def chained(texts: DataFrame, block_bytes: int) -> tuple[DataFrame, DataFrame, D
     every = f"kind int, {_PAIR}, mine binary, partners binary, theirs binary"
     together = blocks.groupBy("block").cogroup(materialise(partners, "partners").groupBy("block"))
     told = materialise(together.applyInArrow(link, every), "links")
-    paired = told.where("kind = 1").select(_names(_PAIR)).groupBy("part").applyInArrow(_pair_links, _MET)
-    linked = told.where("kind = 0").select(_names(_MET)).unionAll(paired)
+    paired = told.where("kind = 1").select(_names(_PAIR)).groupBy("part").applyInArrow(_pair_links, _MARKED)
+    linked = told.where("kind = 0").select(*_names(_MET), F.lit(False).alias("reference")).unionAll(paired)
+    long_found = told.where("kind = 2").select([name for name in _names(_REPORT) if name != "times"]).groupBy("part").applyInArrow(_long_matches, _MET)
+    long_met = materialise(told.where("kind = 3").select(_names(_MET)).unionAll(long_found), "long-matches")
+    linked = linked.unionAll(long_met.withColumn("reference", F.lit(None).cast("boolean")))
     found = blocks.groupBy("block").cogroup(linked.groupBy("block")).applyInArrow(chain, _CHAIN)
-    return (
-        materialise(found, "chains"),
-        told.where("kind = 2").select([name for name in _names(_REPORT) if name != "times"]),
-        told.where("kind = 3").select(_names(_MET)),
-    )
+    return materialise(found, "chains"), long_met
 
 
 def pieces(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """``number, start, end, partner, runs`` of every aligned piece; the runs say which of its words are matched, and where.
+    """``number, start, end, partner, runs`` of every aligned piece, those of texts that meet through a reference included; the runs say which of its words are matched, and where.
 
     Chains meet the words of the earlier text in a join whose skewed side Spark splits; of these words only the chain's own stretch goes on.
     """
@@ -717,6 +788,7 @@ def pieces(found: DataFrame, texts: DataFrame) -> DataFrame:
             words = [short_words(own) for own in np.split(hashes, np.cumsum(counts)[:-1])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["partner", "their_words"])
 
+    found = found.where("not inside")
     wanted = materialise(found.select(F.col("partner").alias("doc_order")).distinct(), "partner-texts")
     earlier = join_counted(texts.select("doc_order", "text"), wanted, ["doc_order"], "left_semi")
     words = earlier.mapInArrow(hashed, "partner long, their_words binary")
@@ -726,18 +798,93 @@ def pieces(found: DataFrame, texts: DataFrame) -> DataFrame:
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches, 512):
             out = []
-            for number, partner, start, their_start, chain, mine, theirs in zip(*(batch.column(i).to_pylist() for i in range(7))):
+            for number, partner, start, their_start, chain, mine, theirs, reference, known in zip(*(batch.column(i).to_pylist() for i in range(9))):
                 parts = [tuple(part) for part in np.frombuffer(chain, dtype=np.int32).reshape(-1, 3).tolist()]
-                where, (c0, c1, _, _) = matches(from_short(mine), from_short(theirs), parts)
-                if (where >= 0).sum() >= LEAST_PIECE:
+                words = from_short(mine)
+                where, (c0, c1, _, _) = matches(words, from_short(theirs), parts)
+                own, keys, asks = differences(words, where, partner, their_start, known) if reference and (where[c0:c1] < 0).any() else [[]] * 3
+                n = int((where >= 0).sum())
+                if n >= LEAST_PIECE or len(own):
                     runs = matched_runs(where) + (start, their_start, 0)
-                    out.append((number, start + c0, start + c1, partner, runs.astype(np.int32).tobytes()))
+                    told = (start, mine, own, keys, asks) if len(own) else [None] * 5
+                    out.append((number, start + c0, start + c1, partner, runs.astype(np.int32).tobytes(), n, *told))
+            kinds = [*[pa.int64()] * 4, pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+            yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out) if out else [[]] * 11, kinds)], _names(_ALIGNED))
+
+    ready = joined.select("number", "partner", "start", "their_start", "chain", "words", "their_words", "reference", "known")
+    numbered = ready.mapInArrow(aligned, _ALIGNED).withColumn("piece", F.monotonically_increasing_id())
+    stored = materialise(numbered, "aligned")
+    return stored.where(F.col("n") >= LEAST_PIECE).select(_names(_PIECE)).unionAll(alike_pieces(stored))
+
+
+def differences(words: np.ndarray, where: np.ndarray, partner: int, their_start: int, known: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the words that a text has between matched ones and the reference has not, keys of them, and which are in no long run.
+
+    A word has keys with the matched word before it, with that after it, and with the stretch of the reference that it belongs to, in this order.
+    """
+    own = np.flatnonzero(where >= 0)
+    at = np.flatnonzero(where < 0)
+    after = np.searchsorted(own, at)
+    at, after = at[(after > 0) & (after < len(own))], after[(after > 0) & (after < len(own))]
+    left, right = where[own[after - 1]] + their_start, where[own[after]] + their_start
+    places = np.stack([4 * left, 4 * right + 1, 4 * (left // STRETCH) + 2, 4 * (left // STRETCH) + 6], axis=1).ravel().astype(np.uint64)
+    key = remixed(np.repeat(words[at].astype(np.uint64), 4) + (places << np.uint64(24)))
+    starts, ends = np.frombuffer(known, dtype=np.int32).reshape(2, -1)
+    held = np.searchsorted(starts, at, side="right") - 1
+    asks = (held < 0) | (np.append(ends, 0)[held] <= at)
+    return at.astype(np.int32), remixed(key ^ (np.uint64(partner) * np.uint64(_BASE))).view(np.int64), asks
+
+
+def through(mine: list[list[int]], theirs: list[list[int]]) -> list[list[tuple[int, int, int]]]:
+    """Chains of the words of two texts that are matched with the same words of a third, given the runs that each has in common with that."""
+    parts, i, j = [], 0, 0
+    while i < len(mine) and j < len(theirs):
+        (a, same_a, n_a), (b, same_b, n_b) = mine[i], theirs[j]
+        low, high = max(same_a, same_b), min(same_a + n_a, same_b + n_b)
+        if low < high:
+            parts.append((a + low - same_a, b + low - same_b, high - low))
+        i, j = (i + 1, j) if same_a + n_a == high else (i, j + 1)
+    out: list[list[tuple[int, int, int]]] = []
+    for part in parts:
+        if out and part[0] + part[1] - sum(out[-1][-1][:2]) - 2 * out[-1][-1][2] < 2 * GAP:
+            out[-1].append(part)
+        else:
+            out.append([part])
+    return out
+
+
+def alike_pieces(stored: DataFrame) -> DataFrame:
+    """Pieces of texts that differ from a reference in the same word at the same place: each with the first text that does.
+
+    Each such word that no long run has asks for one text: one in which it follows the same word, else comes before the same word, else is in the same stretch.
+    """
+    told = stored.where("places is not null")
+    each = told.select("piece", "number", "places", "asks", F.posexplode("keys").alias("nth", "key"))
+    each = each.selectExpr("piece", "number", "key", "nth % 4 as kind", "places[nth div 4] as place", "asks[nth div 4] as asks")
+    firsts = each.groupBy("key").agg(F.min(F.struct("number", "piece")).alias("first"), F.max(F.when(F.col("asks"), F.col("number"))).alias("last"))
+    firsts = firsts.where("last > first.number").select("key", F.col("first.piece").alias("other"), F.col("first.number").alias("partner"))
+    asked = each.where("asks").join(firsts, "key").where("number > partner")
+    answers = asked.groupBy("piece", "place").agg(F.min(F.struct("kind", "other")).alias("best"))
+    pairs = answers.select("piece", F.col("best.other").alias("other")).distinct()
+    mine = told.select("piece", "number", "at", "words", "runs")
+    theirs = told.select(F.col("piece").alias("other"), F.col("number").alias("partner"), F.col("at").alias("their_at"), F.col("words").alias("their_words"), F.col("runs").alias("their_runs"))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_slices(batches, 512):
+            out = []
+            for number, start, words, runs, partner, their_start, their_words, their_runs in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                one, two = ((np.frombuffer(x, dtype=np.int32).reshape(-1, 3) - (at, 0, 0)).tolist() for x, at in ((runs, start), (their_runs, their_start)))
+                own, other = from_short(words), from_short(their_words)
+                for parts in through(one, two):
+                    where, (c0, c1, _, _) = matches(own, other, parts)
+                    if (where >= 0).sum() >= LEAST_PIECE:
+                        found = matched_runs(where) + (start, their_start, 0)
+                        out.append((number, start + c0, start + c1, partner, found.astype(np.int32).tobytes()))
             kinds = [*[pa.int64()] * 4, pa.binary()]
-            names = ["number", "start", "end", "partner", "runs"]
-            yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out) if out else [[]] * 5, kinds)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out) if out else [[]] * 5, kinds)], _names(_PIECE))
 
-    ready = joined.select("number", "partner", "start", "their_start", "chain", "words", "their_words")
-    return ready.mapInArrow(aligned, "number long, start long, end long, partner long, runs binary")
+    both = pairs.join(mine, "piece").join(theirs, "other")
+    return both.select(*mine.columns[1:2], "at", "words", "runs", "partner", "their_at", "their_words", "their_runs").mapInArrow(met, _PIECE)
 
 
 def island_passages(partners: list[int], runs: list[bytes]) -> list[tuple[int, int, float, int, int]]:
@@ -792,8 +939,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     firsts = materialise(firsts.withColumn("doc_order", F.monotonically_increasing_id()), "numbered")  # rises with the id
     texts = join_counted(rows.select(*KEY, "place", "text"), firsts, [*KEY, "place"], "inner")
     texts = once(texts.select("doc_order", *KEY, "text"), firsts)
-    chains_found, long_reports, met = chained(texts, block_bytes)
-    found = materialise(passages(pieces(chains_found, texts).unionAll(long_pieces(long_reports, met))), "passages")
+    chains_found, met = chained(texts, block_bytes)
+    found = materialise(passages(pieces(chains_found, texts).unionAll(long_pieces(met))), "passages")
     names = firsts.select(F.col("doc_order"), F.when(F.col("place") != LAST, F.col("place")).alias("doc_id"))
     own = join_counted(found.withColumnRenamed("number", "doc_order"), names, ["doc_order"], "inner").drop("doc_order")
     source = names.select(F.col("doc_order").alias("partner"), F.col("doc_id").alias("source_doc_id"))
