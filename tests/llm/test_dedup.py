@@ -382,3 +382,24 @@ def test_texts_that_differ_alike_from_a_third_meet_through_it():
     assert (keys[0][1][0] == keys[1][1][0]).all() and not np.isin(keys[0][1][1][:2], keys[1][1]).any()
     assert through([[1, 0, 15], [17, 16, 4], [22, 21, 9]], [[0, 0, 15], [16, 16, 6], [90, 120, 9]]) == [[(1, 0, 15), (17, 16, 4), (22, 21, 1)]]
     assert through([[0, 0, 9], [90, 90, 9]], [[0, 0, 9], [90, 90, 9]]) == [[(0, 0, 9)], [(90, 90, 9)]]
+
+
+def test_the_text_that_differs_alike_is_aligned(spark):
+    """Of three texts two have the same other word at the same place of a reference: the later one meets the earlier one, and no other."""
+    from trailmetrics.llm.passages import _ALIGNED, alike_pieces, differences, matched_runs, matches, short_words
+
+    rng = np.random.default_rng(12)
+    base = rng.integers(1 << 40, 1 << 62, 40).astype(np.uint64)
+    base &= ~np.uint64(0xFF000000)
+    stored = []
+    for number, changes in ((9, {15: 1, 20: 2}), (5, {15: 1, 22: 3}), (7, {15: 4, 20: 5})):
+        text = base.copy()
+        text[list(changes)] = list(changes.values())
+        short, other = (x.astype(np.uint32) & np.uint32(0xFFFFFF) for x in (text, base))
+        where, _ = matches(short, other, [(0, 0, 5), (30, 30, 5)])
+        told = differences(short, where, 3, 0, b"")
+        stored.append((number, 0, 40, 3, matched_runs(where).astype(np.int32).tobytes(), 38, 0, short_words(text), *(x.tolist() for x in told), number))
+    frame = spark.createDataFrame([(*row[:4], bytearray(row[4]), *row[5:7], bytearray(row[7]), *row[8:]) for row in stored], f"{_ALIGNED}, piece long")
+    (found,) = alike_pieces(frame).collect()
+    assert (found.number, found.start, found.end, found.partner) == (9, 0, 40, 5)
+    assert np.frombuffer(found.runs, dtype=np.int32).reshape(-1, 3).tolist() == [[0, 0, 20], [21, 21, 1], [23, 23, 17]]
